@@ -198,7 +198,9 @@ def train_merges(pieces: DataFrame, merges: int, min_count: int = 1, coverage: f
             kept.select("token", F.ascii("token").alias("cp")), "token", "cp", UNKNOWN, "int",
             L.CODE_POINTS,
         )
-    written = materialize(symbol_state(pieces, known), "pieces")
+    # The pieces are few bytes but much work: one part per core, not per megabyte.
+    parts = pieces.sparkSession.sparkContext.defaultParallelism
+    written = materialize(symbol_state(pieces, known).repartition(parts), "pieces")
     model, done, rounds = MergeModel(), 0, 0
     while len(model.pairs) < merges:
         if rounds and rounds % write_every == 0:

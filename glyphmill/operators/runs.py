@@ -146,12 +146,14 @@ def stop_rule(logs: DataFrame, bucket: Column, patience: int = 3, delta: float =
     """
     order = [F.col("step")]
     best = running(logs, "_best", "min", F.col("value"), order, bucket, ["run"], inclusive=False)
-    better = F.col("_best").isNull() | (F.col("_best") - F.col("value") > delta)
+    first = F.col("_best").isNull()
+    better = first | (F.col("_best") - F.col("value") > delta)
     placed = ordered_index(best, "_i", order, bucket, ["run"])
     marked = running(placed, "_last", "max", F.when(better, F.col("_i")), order, bucket, ["run"])
     stale = F.col("_i") - F.col("_last") >= patience
     return marked.groupBy("run").agg(
-        F.min_by("step", F.struct("value", "step")).alias("best_step"),
+        # The last row below everything before it is the first with the smallest value.
+        F.max(F.when(first | (F.col("value") < F.col("_best")), F.col("step"))).alias("best_step"),
         F.min("value").alias("best"),
         F.min(F.when(stale, F.col("step"))).alias("stop_step"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.codes import parse_code_dict
 from ..operators.tasks import task_fields, task_table
@@ -43,12 +43,20 @@ def read_lines(spark: SparkSession, path: str, keep_newline: bool = False) -> Da
     )
 
 
+def _decoded(name: Column) -> Column:
+    """A percent-encoded name; unlike in form data, a plus sign stands for itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_eval_logs(spark: SparkSession, pattern: str) -> DataFrame:
     """(run, step, value, line_no) of `step,value` files; the run is the name of the
     directory that holds the file. Directories without a log give no rows."""
     logs = spark.read.schema("step bigint, value double").csv(pattern)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1)
-    name = F.regexp_replace(F.url_decode(folder), r"\Arun=", "")
+    folder = _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1))
+    # A partition folder `run=<name>` carries the name in its own escaped form.
+    name = F.when(
+        folder.startswith("run="), _decoded(F.regexp_replace(folder, r"\Arun=", ""))
+    ).otherwise(folder)
     return logs.select(
         name.alias("run"), "step", "value", F.monotonically_increasing_id().alias("line_no")
     )
