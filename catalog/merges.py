@@ -90,7 +90,7 @@ SELECT l AS "left", r AS "right", n FROM ({sql_pairs('state0')})
 def pair_counts(t):
     """Weighted counts of neighbouring characters in words."""
     pieces = merges.piece_counts(t.documents, merges.word_pieces(F.col("text")))
-    return merges.pair_counts(merges.symbol_state(pieces))
+    return merges.pair_counts(merges.symbol_state(merges.spread(pieces)))
 
 
 # The training text of the merged vocabularies: lines of at most 32,768 bytes. The
@@ -262,4 +262,4 @@ SELECT token, n FROM remap
 """)
 def merged_token_counts(t):
     fitted = tokenizer(t).fit(t.documents)
-    return vocab.token_counts(t.documents.select(fitted.ids(F.col("text")).alias("tokens")))
+    return vocab.token_counts(t.documents, fitted.ids(F.col("text")))

@@ -127,10 +127,11 @@ FROM (SELECT batch, avg(nats / ln(2) / tokens) AS per_token, sum(tokens) AS toke
 def bits_per_byte(t):
     """The unigram model's own bits per byte on the documents, batches of 16."""
     model = metrics.unigram_model(t.documents)
-    stats = metrics.batch_id(t.documents.select("doc_id", "text"), 16).select(
-        "batch", metrics.text_nll(F.col("text"), model).alias("nats"),
+    stats = t.documents.select(
+        "doc_id", metrics.text_nll(F.col("text"), model).alias("nats"),
         F.length("text").alias("tokens"), F.octet_length("text").alias("n_bytes"),
     )
+    stats = metrics.batch_id(stats, 16)
     result = metrics.bits_per_byte(stats)
     return result.select(*[F.round(c, 6).alias(c) for c in result.columns])
 
@@ -172,7 +173,7 @@ def batch_id(t):
 
 
 @query("argmax", """
-SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings
+SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings
 """)
 def argmax(t):
     return t.embeddings.select("vec_id", A.argmax(F.col("embedding")).alias("best"))

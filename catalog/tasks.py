@@ -37,13 +37,17 @@ def write_split(t):
 
 
 def sql_draw(word: int) -> str:
-    return f"('0x' || substr(md5(doc_id || ':' || i || ':7'), {1 + 8 * word}, 8))::BIGINT / 4294967296.0::DOUBLE"
+    x = f"(i * 3 + {word})::BIGINT"
+    for k, (factor, prime) in enumerate(tasks.DRAW_STEPS):
+        x = f"(({x} + seeds[{k + 1}]) % {prime} * {factor} % {prime})"
+    return f"{x} / {tasks.DRAW_STEPS[-1][1]}.0::DOUBLE"
 
 
 @query("mask_tokens", f"""
 WITH cells AS (
-  SELECT doc_id, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS x
-  FROM (SELECT doc_id, list_concat([1], list_transform({sql_bytes('text')}, lambda b: b + 4), [2]) AS ids FROM documents)
+  SELECT doc_id, seeds, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS x
+  FROM (SELECT doc_id, list_transform([1, 9, 17], lambda k: ('0x' || substr(md5(doc_id || ':7'), k, 8))::BIGINT % 2147483648) AS seeds,
+               list_concat([1], list_transform({sql_bytes('text')}, lambda b: b + 4), [2]) AS ids FROM documents)
 ), drawn AS (
   SELECT doc_id, i, x, x > 3 AND {sql_draw(0)} < 0.15 AS chosen, {sql_draw(1)} AS how, {sql_draw(2)} AS pick FROM cells
 )

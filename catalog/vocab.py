@@ -40,9 +40,8 @@ ranked_words AS (
 )"""
 
 
-def words_of(docs):
-    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    return docs.select("doc_id", found.alias("tokens"))
+def words():
+    return F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
 
 
 def ranked_chars(t):
@@ -64,7 +63,7 @@ GROUP BY token
 """)
 def token_counts(t):
     """Counts of byte tokens."""
-    return vocab.token_counts(t.documents.select(T.byte_tokens(F.col("text")).alias("tokens")))
+    return vocab.token_counts(t.documents, T.byte_tokens(F.col("text")))
 
 
 @query("distinct_chars", f"""
@@ -92,14 +91,14 @@ WITH {SQL_WORDS} SELECT token, n, first_doc, first_pos, rank FROM ranked_words
 """)
 def word_frequency_rank(t):
     """The same over words: an open set of tokens, a third of them seen once."""
-    return vocab.ranked_tokens(t.documents, words_of, bounded=False)
+    return vocab.ranked_tokens(t.documents, words())
 
 
 @query("top_tokens", f"""
 WITH {SQL_WORDS} SELECT token, n, first_doc, first_pos FROM ranked_words WHERE rank < 50
 """)
 def top_tokens(t):
-    return vocab.top_tokens(vocab.counts_with_first(t.documents, words_of, bounded=False), 50)
+    return vocab.top_tokens(vocab.counts_with_first(t.documents, words()), 50)
 
 
 @query("assign_ids", f"WITH {SQL_VOCAB} SELECT token, id::BIGINT AS id FROM vocab")
@@ -221,7 +220,7 @@ FROM codes
 """)
 def assign_byte_codes(t):
     """Byte codes of every word by rank."""
-    coded = repack.assign_byte_codes(vocab.ranked_tokens(t.documents, words_of, bounded=False))
+    coded = repack.assign_byte_codes(vocab.ranked_tokens(t.documents, words()))
     return coded.withColumn(
         "code", F.array_join(F.transform("code", lambda b: F.lpad(F.hex(b), 2, "0")), "")
     )

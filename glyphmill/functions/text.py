@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space when text is stripped.
@@ -33,17 +35,19 @@ def last_mark_index(text: Column, mark: str = "。", limit: int = 256) -> Column
 
 
 def drop_separators(text: Column) -> Column:
-    return F.translate(text, SEPARATORS, "")
+    for mark in SEPARATORS:
+        text = F.replace(text, F.lit(mark))
+    return text
 
 
 def char_tokens(text: Column) -> Column:
     """Array of code points as strings; an empty text gives an empty array."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return F.array_remove(F.split(text, ""), "")
 
 
-def code_points(text: Column) -> Column:
-    """Array of Unicode code points."""
-    return F.transform(char_tokens(text), lambda c: F.ascii(c))
+def code_points(text: Column, of: Callable[[Column], Column] = lambda cp: cp) -> Column:
+    """Array of Unicode code points, or of a function of each."""
+    return F.transform(char_tokens(text), lambda c: of(F.ascii(c)))
 
 
 def latin1_text(text: Column) -> Column:
@@ -51,9 +55,9 @@ def latin1_text(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def byte_tokens(text: Column) -> Column:
-    """Array of the UTF-8 byte values."""
-    return code_points(latin1_text(text))
+def byte_tokens(text: Column, of: Callable[[Column], Column] = lambda b: b) -> Column:
+    """Array of the UTF-8 byte values, or of a function of each."""
+    return code_points(latin1_text(text), of)
 
 
 def bytes_to_text(values: Column) -> Column:
@@ -64,11 +68,12 @@ def bytes_to_text(values: Column) -> Column:
 
 def circle_tone(syllable: Column) -> Column:
     """A final tone digit 1..4 becomes its circled form."""
+    last = F.right(syllable, F.lit(1))
     return F.when(
-        F.regexp_like(syllable, F.lit(rf"[{TONE_DIGITS}]\z")),
+        last.isin(*TONE_DIGITS),
         F.concat(
             F.substring(syllable, F.lit(1), F.length(syllable) - 1),
-            F.translate(F.right(syllable, F.lit(1)), TONE_DIGITS, CIRCLED_TONES),
+            F.translate(last, TONE_DIGITS, CIRCLED_TONES),
         ),
     ).otherwise(syllable)
 

@@ -71,11 +71,15 @@ def readings_joined(text: Column, readings: DataFrame, reading: str, circled: bo
         items = F.regexp_extract_all(text, F.lit(ITEM_PATTERN), F.lit(0))
     else:
         items = phrase_items(text, phrases, reading)
-    table = L.char_table(readings, "ch", reading, "", "string", L.CODE_POINTS)
+    # Tones are circled in the table, once per character, and per item only elsewhere.
+    mark = T.circle_tone if circled else (lambda item: item)
+    written = readings.select("ch", mark(F.col(reading)).alias("reading"))
+    table = L.char_table(written, "ch", "reading", "", "string", L.CODE_POINTS)
 
     def convert(item: Column) -> Column:
-        found = F.when(F.length(item) == 1, L.text_at(table, F.ascii(item), item)).otherwise(item)
-        return T.circle_tone(found) if circled else found
+        return F.when(F.length(item) == 1, L.text_at(table, F.ascii(item), mark(item))).otherwise(
+            mark(item)
+        )
 
     return F.array_join(F.transform(items, convert), JOINER)
 

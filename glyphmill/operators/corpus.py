@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
+from .ordering import bucket_of, key_bounds
 
 
 def non_empty(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -23,16 +26,44 @@ def trim_to_mark(docs: DataFrame, mark: str = "。", low: int = 100, high: int =
     )
 
 
+# Up to this many keys are sorted at once to find one of them.
+_SORTED_AT_ONCE = 2_000_000
+
+
+def nth_key(rows: DataFrame, n: int, key: str):
+    """The n-th smallest key, or None when there are fewer rows.
+
+    Far down, the bucket that holds the place is found by counting, again and again
+    until few enough keys are left to sort.
+    """
+    while n > _SORTED_AT_ONCE:
+        bucket = bucket_of(F.col(key), key_bounds(rows, key))
+        sizes = sorted((r.b, r.n) for r in rows.groupBy(bucket.alias("b")).agg(
+            F.count("*").alias("n")).collect())
+        before = 0
+        for place, size in sizes:
+            if before + size >= n:
+                break
+            before += size
+        else:
+            return None
+        if size == sum(s for _, s in sizes):
+            break
+        rows, n = rows.where(bucket == place), n - before
+    found = rows.select(key).orderBy(key).limit(n).agg(
+        F.max(key).alias("top"), F.count("*").alias("n")
+    ).first()
+    return found.top if found.n == n else None
+
+
 def max_examples(docs: DataFrame, n: int | None, key: str = "doc_id") -> DataFrame:
     """The first `n` rows by key, blank ones included; all rows for None.
 
-    Only the key column is sorted. The rows themselves are filtered in place, so
-    the texts are not shuffled and the cut reaches the scan.
+    Only keys are sorted. The rows themselves are filtered in place, so the texts
+    are not shuffled and the cut reaches the scan.
     """
-    if n is None:
-        return docs
-    cut = docs.select(key).orderBy(key).limit(n).agg(F.max(key))
-    return docs.where(F.col(key) <= cut.scalar())
+    top = None if n is None else nth_key(docs, n, key)
+    return docs if top is None else docs.where(F.col(key) <= F.lit(top))
 
 
 def first_n(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
@@ -40,23 +71,34 @@ def first_n(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return docs.orderBy(key).limit(n)
 
 
-def first_passing(docs: DataFrame, n: int, passing, key: str = "doc_id") -> DataFrame:
-    """The first `n` rows by key that `passing` (a function on tables) lets through.
+def widening_prefixes(docs: DataFrame, start: int, key: str = "doc_id") -> Iterator[DataFrame]:
+    """Prefixes of the corpus, each eight times longer, and at last all of it.
+
+    For work that may be able to stop early: the sum of all tries is little more
+    than the last one.
+    """
+    while start <= _SORTED_AT_ONCE:
+        top = nth_key(docs, start, key)
+        if top is None:
+            break
+        yield docs.where(F.col(key) <= F.lit(top))
+        start *= 8
+    yield docs
+
+
+def first_passing(docs: DataFrame, n: int, passing: Callable[[DataFrame], DataFrame],
+                  key: str = "doc_id") -> DataFrame:
+    """The first `n` rows by key that `passing` lets through.
 
-    Stops early like a reader would: it tries a prefix of the keys and widens it
-    until enough rows pass, so a large corpus is not read to its end.
+    Tries prefixes of the corpus until enough rows pass, as a reader that stops
+    would, so a large corpus is not read to its end.
     """
-    reach = 4 * n
-    while True:
-        seen = docs.select(key).orderBy(key).limit(reach).agg(
-            F.max(key).alias("top"), F.count("*").alias("rows")
-        ).first()
-        if seen.rows < reach:
-            return first_n(passing(docs), n, key)
-        prefix = passing(docs.where(F.col(key) <= F.lit(seen.top)))
-        if prefix.limit(n).count() >= n:
-            return first_n(prefix, n, key)
-        reach *= 8
+    held = None
+    for prefix in widening_prefixes(docs, 4 * n, key):
+        if held is not None and passing(held).limit(n).count() >= n:
+            break
+        held = prefix
+    return first_n(passing(held), n, key)
 
 
 def training_lines(docs: DataFrame, text: str = "text", keep_blank: bool = False) -> DataFrame:

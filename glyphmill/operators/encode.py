@@ -14,14 +14,18 @@ BYTE_OFFSET = len(BYTE_SPECIALS)
 def char_ids(text: Column, vocab: DataFrame, unk: str = "<unk>") -> Column:
     """Ids of the characters of `text`. The vocabulary's one-character tokens are
     at most one per code point and travel as a literal array."""
-    found = vocab.where(F.col("token") == unk).select("id").first()
-    unknown = found.id if found else -1
-    table = L.char_table(vocab, "token", "id", unknown, "int", L.CODE_POINTS)
-    return F.transform(T.code_points(text), lambda cp: L.at(table, cp, unknown))
+    rows = L.small_rows(
+        vocab.where((F.length("token") == 1) | (F.col("token") == unk)).select("token", "id"),
+        L.CODE_POINTS + 1,
+    )
+    ids = {row.token: row.id for row in rows}
+    unknown = ids.get(unk, -1)
+    table = L.dense_array({ord(c): i for c, i in ids.items() if len(c) == 1}, unknown, "int")
+    return T.code_points(text, lambda cp: L.at(table, cp, unknown))
 
 
 def byte_ids(text: Column) -> Column:
-    return F.transform(T.byte_tokens(text), lambda b: b + BYTE_OFFSET)
+    return T.byte_tokens(text, lambda b: b + BYTE_OFFSET)
 
 
 def bytes_from_ids(ids: Column) -> Column:

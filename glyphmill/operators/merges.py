@@ -12,7 +12,8 @@ import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lookup as L, text as T
@@ -32,8 +33,8 @@ BYTE_LEVEL_PATTERN = (
 
 # How many of the best pairs a round looks at.
 _CANDIDATES = 256
-# Pieces longer than this are not kept in a task's memory of encoded pieces.
-_MEMO_PIECES = 200_000
+# A task forgets the pieces it has encoded when it holds more than this many.
+_MEMO_PIECES = 500_000
 
 
 def byte_level_table() -> list[int]:
@@ -68,32 +69,37 @@ def piece_counts(docs: DataFrame, pieces: Column) -> DataFrame:
     )
 
 
+def spread(pieces: DataFrame) -> DataFrame:
+    """One part per core. Distinct pieces are few bytes but much work, and parts cut
+    by size alone would leave most cores idle."""
+    return pieces.repartition(pieces.sparkSession.sparkContext.defaultParallelism)
+
+
 def symbol_state(pieces: DataFrame, known: Column | None = None) -> DataFrame:
     """(state, n): pieces as symbol strings; `known` marks covered characters."""
-    points = T.code_points(F.col("piece"))
-    if known is not None:
-        points = F.transform(points, lambda cp: L.at(known, cp, UNKNOWN))
+    points = T.code_points(
+        F.col("piece"), lambda cp: cp if known is None else L.at(known, cp, UNKNOWN)
+    )
     state = F.concat(F.lit("<"), F.array_join(points.cast("array<string>"), "><"), F.lit(">"))
     return pieces.where(F.length("piece") > 1).select(state.alias("state"), "n")
 
 
 def symbols(state: Column) -> Column:
-    return F.split(F.substring(state, F.lit(2), F.length(state) - 2), "><").cast("array<int>")
+    """Ids of a symbol string. The state is named once: it may be a long expression."""
+    return F.split(F.btrim(state, F.lit("<>")), "><").cast("array<int>")
 
 
 def pair_counts(states: DataFrame) -> DataFrame:
     """(left, right, n): neighbouring symbols, weighted by the piece counts."""
     pairs = F.arrays_zip(
-        F.slice(F.col("s"), F.lit(1), F.size("s") - 1).alias("left"),
-        F.slice(F.col("s"), F.lit(2), F.size("s") - 1).alias("right"),
+        F.slice("s", F.lit(1), F.size("s") - 1).alias("left"),
+        F.slice("s", F.lit(2), F.size("s") - 1).alias("right"),
     )
     return (
         states.select(symbols(F.col("state")).alias("s"), "n")
-        .where(F.size("s") > 1)
         .select(F.explode(pairs).alias("p"), "n")
-        .select(F.col("p.left").alias("left"), F.col("p.right").alias("right"), "n")
-        .where((F.col("left") != UNKNOWN) & (F.col("right") != UNKNOWN))
-        .groupBy("left", "right")
+        .where((F.col("p.left") != UNKNOWN) & (F.col("p.right") != UNKNOWN))
+        .groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right"))
         .agg(F.sum("n").alias("n"))
     )
 
@@ -198,9 +204,7 @@ def train_merges(pieces: DataFrame, merges: int, min_count: int = 1, coverage: f
             kept.select("token", F.ascii("token").alias("cp")), "token", "cp", UNKNOWN, "int",
             L.CODE_POINTS,
         )
-    # The pieces are few bytes but much work: one part per core, not per megabyte.
-    parts = pieces.sparkSession.sparkContext.defaultParallelism
-    written = materialize(symbol_state(pieces, known).repartition(parts), "pieces")
+    written = materialize(symbol_state(spread(pieces), known), "pieces")
     model, done, rounds = MergeModel(), 0, 0
     while len(model.pairs) < merges:
         if rounds and rounds % write_every == 0:
@@ -260,28 +264,41 @@ def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unkno
     for rank, (left, right, joined) in enumerate(model.pairs):
         ranks.setdefault((left, right), (rank, joined))
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, list[int]] = {}
-        for batch in batches:
-            out = []
-            for row in batch:
-                ids: list[int] = []
-                for piece in row if row is not None else ():
-                    found = memo.get(piece)
-                    if found is None:
-                        joined = merge_symbols([ord(c) for c in piece], ranks)
-                        found = [numbers.get(s, unknown) for s in joined]
-                        if len(memo) >= _MEMO_PIECES:
-                            memo.clear()
-                        memo[piece] = found
-                    ids += found
-                out.append(ids if row is not None else None)
-            yield pd.Series(out, dtype=object)
+    def ids_of(piece: str) -> np.ndarray:
+        joined = merge_symbols([ord(c) for c in piece], ranks)
+        return np.array([numbers.get(s, unknown) for s in joined], dtype=np.int32)
+
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo: dict[str, np.ndarray] = {}
+        for rows in batches:
+            coded = rows.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(memo) > _MEMO_PIECES:
+                memo.clear()
+            for piece in distinct:
+                if piece not in memo:
+                    memo[piece] = ids_of(piece)
+            yield _gather([memo[p] for p in distinct], coded.indices.to_numpy(), rows)
 
     return encode(pieces)
 
 
+def _gather(ids: list[np.ndarray], pieces: np.ndarray, rows: pa.Array) -> pa.Array:
+    """The ids of every row's pieces in a row, as one list array."""
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    flat = np.concatenate([*ids, np.empty(0, np.int32)])
+    starts = (np.cumsum(sizes) - sizes)[pieces]
+    ends = np.concatenate([[0], np.cumsum(sizes[pieces])])
+    place = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes[pieces])
+    counts = rows.value_lengths().fill_null(0).to_numpy()
+    offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.ListArray.from_arrays(
+        pa.array(offsets, pa.int32()), pa.array(flat[place], pa.int32()),
+        mask=rows.is_null() if rows.null_count else None,
+    )
+
+
 def merged_vocab(model: MergeModel, specials: Sequence[str], chars: Sequence[str],
                  chars_first: bool = False) -> list[str]:
     """Tokens in id order: specials, then merges and characters (or the reverse)."""

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A, lookup as L, text as T
+from ..session import materialize
 from .ordering import bucket_of, key_bounds, ordered_index
 
 # Fixed value: the symbol that ends every document in the unigram model.
@@ -27,8 +28,12 @@ def scale_by_total(counts: DataFrame, value: str = "n", out: str = "p") -> DataF
 
 
 def unigram_model(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, n, p) with the end mark."""
-    return scale_by_total(symbol_counts(docs, text))
+    """(token, n, p) with the end mark: the learned model.
+
+    It is written to the shared folder, so that every use of it costs a read of at
+    most one row per code point and not a pass over the texts.
+    """
+    return scale_by_total(materialize(symbol_counts(docs, text), "unigrams"))
 
 
 def unigram_bits(model: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -108,7 +113,7 @@ def text_nll(text: Column, model: DataFrame, missing: float = 0.0) -> Column:
     costs = model.select("token", (-F.log("p")).alias("nats"))
     table = L.char_table(costs, "token", "nats", missing, "double", L.CODE_POINTS)
     return F.aggregate(
-        T.code_points(text), F.lit(0.0), lambda acc, cp: acc + L.at(table, cp, missing)
+        T.char_tokens(text), F.lit(0.0), lambda acc, c: acc + L.at(table, F.ascii(c), missing)
     )
 
 
@@ -125,4 +130,5 @@ def batch_id(rows: DataFrame, size: int, key: str = "doc_id", out: str = "batch"
     """Number fixed-size batches in key order, without a one-task window."""
     bucket = bucket_of(F.col(key), key_bounds(rows, key))
     numbered = ordered_index(rows, "_place", [F.col(key)], bucket)
-    return numbered.withColumn(out, F.floor(F.col("_place") / size)).drop("_place")
+    whole = F.col("_place") - F.col("_place") % size
+    return numbered.withColumn(out, (whole / size).cast("bigint")).drop("_place")

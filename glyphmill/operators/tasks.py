@@ -26,6 +26,8 @@ TASKS = {
 TASK_POSITIONS = 512
 # Fixed values of masked modelling: shares of targets masked, replaced and kept.
 MASK_SHARE, REPLACE_SHARE = 0.8, 0.1
+# (factor, prime) of the steps that make a draw from a position.
+DRAW_STEPS = [(48271, 2147483647), (1103515245, 2147483629), (69621, 2147483587)]
 
 
 def task_table(spark: SparkSession) -> DataFrame:
@@ -40,10 +42,24 @@ def task_fields(task: str) -> list[str]:
     return TASK_KINDS[TASKS[task][0]]
 
 
-def hash_share(*parts: Column, seed: int = 0, word: int = 0) -> Column:
-    """A number in [0, 1) from an MD5 hash: the same on every engine and every run."""
-    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts], F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1 + 8 * word, 8), 16, 10).cast("bigint") / 2.0**32
+def hash_share(seeds: Column, position: Column) -> Column:
+    """A number in [0, 1) from three seeds and a position.
+
+    Three affine steps modulo three primes: whole-number arithmetic that every
+    engine does alike, without a hash of a string per position. Every product stays
+    below 2**62.
+    """
+    x = position.cast("bigint")
+    for i, (factor, prime) in enumerate(DRAW_STEPS):
+        x = (x + F.get(seeds, F.lit(i))) % prime * factor % prime
+    return x / float(DRAW_STEPS[-1][1])
+
+
+def row_seeds(key: Column, seed: int = 0) -> Column:
+    """Three 31-bit seeds of a row."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(3)]
+    return F.array(*[w % 2**31 for w in words])
 
 
 def shuffle_key(key: Column, seed: int = 0) -> Column:
@@ -81,13 +97,13 @@ def mask_tokens(rows: DataFrame, ids: str, key: str, vocab_size: int, mask_id: i
 
     Adds `masked_ids` and `labels` (-100 where nothing is to be predicted). Of the
     targets 80% become the mask, 10% a token drawn by hash, 10% stay. Special ids
-    are never chosen. The draws are hashes of (key, position), so a re-run task
-    draws the same.
+    are never chosen. The draws come from (key, position), so a re-run task draws
+    the same.
     """
     special = F.array(*[F.lit(s) for s in specials])
 
     def draw(position: Column, word: int) -> Column:
-        return hash_share(F.col(key), position, seed=seed, word=word)
+        return hash_share(F.col("_seeds"), position * 3 + word)
 
     def label(x: Column, i: Column) -> Column:
         chosen = (draw(i, 0) < p) & ~F.array_contains(special, x)
@@ -102,9 +118,10 @@ def mask_tokens(rows: DataFrame, ids: str, key: str, vocab_size: int, mask_id: i
             .otherwise(pair["id"])
         )
 
-    labelled = rows.withColumn("labels", F.transform(F.col(ids), label))
+    seeded = rows.withColumn("_seeds", row_seeds(F.col(key), seed))
+    labelled = seeded.withColumn("labels", F.transform(F.col(ids), label))
     pairs = F.arrays_zip(F.col(ids).alias("id"), F.col("labels").alias("label"))
-    return labelled.withColumn("masked_ids", F.transform(pairs, change))
+    return labelled.withColumn("masked_ids", F.transform(pairs, change)).drop("_seeds")
 
 
 def cut_pair(first: Column, second: Column, room: int) -> tuple[Column, Column]:

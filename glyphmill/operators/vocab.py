@@ -2,59 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from .corpus import max_examples
+from ..session import materialize
+from .corpus import max_examples, widening_prefixes
 from .ordering import bucket_of, key_bounds, ordered_index
 
 # Counts from here on share one bucket per power of two; below, equal counts
 # share one and are cut further by the document where the token came first.
 _FINE_COUNTS = 1024
+# Keys below 2**36 and positions below 2**27 share one BIGINT.
+_PLACE_BITS = 27
+_PACKED_KEYS, _LAST_PLACE = 2 ** (63 - _PLACE_BITS), 2**_PLACE_BITS - 1
 
 
-def tokens_of_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, tokens): the characters of each document, separators left out."""
-    return docs.select(key, T.char_tokens(T.drop_separators(F.col(text))).alias("tokens"))
+def char_column(text: str = "text") -> Column:
+    """The characters of a text column, separators left out."""
+    return T.char_tokens(T.drop_separators(F.col(text)))
 
 
 def char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, n) per character."""
-    chars = F.explode(T.char_tokens(T.drop_separators(F.col(text)))).alias("token")
-    return docs.select(chars).groupBy("token").agg(F.count("*").alias("n"))
+    return token_counts(docs, char_column(text))
 
 
-def token_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
-    """(token, n) over an array column."""
-    return (
-        tokens.select(F.explode(column).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def token_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(token, n) over an array expression.
+
+    The expression is exploded where it is made: exploding a named array column
+    would make the optimizer test its size first, and so compute it twice.
+    """
+    return docs.select(F.explode(tokens).alias("token")).groupBy("token").agg(
+        F.count("*").alias("n")
     )
 
 
-def counts_with_first(docs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame] = tokens_of_text,
-                      key: str = "doc_id", bounded: bool = True) -> DataFrame:
+def counts_with_first(docs: DataFrame, tokens: Column | None = None,
+                      key: str = "doc_id") -> DataFrame:
     """(token, n, first_doc, first_pos): counts with the place of first appearance.
 
-    The counting pass keeps only the smallest document per token, a plain number.
-    Positions are then read from those documents alone, at most one per token.
-    `bounded` says the tokens have a proven bound (code points, or the ids of a
-    merged vocabulary): then the texts stay where they are. Pass False for open
-    sets such as words.
+    Key and position are packed into one BIGINT, so that one pass with a plain hash
+    aggregation finds both. Where a key or a position does not fit, a second pass
+    reads the positions from the documents that hold a first appearance. The result
+    is written to the shared folder: it is small next to the texts, and ranking
+    reads it twice.
     """
-    small = F.broadcast if bounded else (lambda df: df)
-    counts = (
-        tokens_of(docs)
-        .select(F.col(key).alias("first_doc"), F.explode("tokens").alias("token"))
+    tokens = char_column() if tokens is None else tokens
+    ends = docs.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if ends.low is not None and ends.low >= 0 and ends.high < _PACKED_KEYS:
+        packed = F.shiftleft(F.col(key).cast("bigint"), _PLACE_BITS) + F.least(
+            "pos", F.lit(_LAST_PLACE)
+        )
+        counts = (
+            docs.select(key, F.posexplode(tokens).alias("pos", "token"))
+            .groupBy("token")
+            .agg(F.count("*").alias("n"), F.min(packed).alias("place"))
+        )
+        found = materialize(
+            counts.select(
+                "token", "n", F.shiftright("place", _PLACE_BITS).alias("first_doc"),
+                F.col("place").bitwiseAND(F.lit(_LAST_PLACE)).cast("bigint").alias("first_pos"),
+            ),
+            "counts",
+        )
+        if found.where(F.col("first_pos") == _LAST_PLACE).isEmpty():
+            return found
+    return materialize(_counts_in_two_passes(docs, tokens, key), "counts")
+
+
+def _counts_in_two_passes(docs: DataFrame, tokens: Column, key: str) -> DataFrame:
+    counts = materialize(
+        docs.select(F.col(key).alias("first_doc"), F.explode(tokens).alias("token"))
         .groupBy("token")
-        .agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc"))
+        .agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc")),
+        "counts",
     )
     holders = counts.select(F.col("first_doc").alias(key)).distinct()
-    places = tokens_of(docs.join(small(holders), key, "left_semi")).select(
-        F.col(key).alias("first_doc"), "tokens"
+    places = docs.join(holders, key, "left_semi").select(
+        F.col(key).alias("first_doc"), tokens.alias("tokens")
     )
-    return places.join(small(counts), "first_doc").select(
+    return places.join(counts, "first_doc").select(
         "token", "n", "first_doc",
         (F.array_position("tokens", F.col("token")) - 1).alias("first_pos"),
     )
@@ -74,10 +104,10 @@ def frequency_rank(counts: DataFrame, bounds: Sequence) -> DataFrame:
     return ordered_index(counts, "rank", order, bucket)
 
 
-def ranked_tokens(docs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame] = tokens_of_text,
-                  key: str = "doc_id", bounded: bool = True) -> DataFrame:
-    """(token, n, first_doc, first_pos, rank) of a corpus."""
-    return frequency_rank(counts_with_first(docs, tokens_of, key, bounded), key_bounds(docs, key))
+def ranked_tokens(docs: DataFrame, tokens: Column | None = None,
+                  key: str = "doc_id") -> DataFrame:
+    """(token, n, first_doc, first_pos, rank) of a corpus; characters by default."""
+    return frequency_rank(counts_with_first(docs, tokens, key), key_bounds(docs, key))
 
 
 def top_tokens(counts: DataFrame, k: int) -> DataFrame:
@@ -87,11 +117,9 @@ def top_tokens(counts: DataFrame, k: int) -> DataFrame:
 
 def _first_docs(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, first_doc) for every character."""
-    tokens = tokens_of_text(docs, key, text)
-    return (
-        tokens.select(F.col(key).alias("first_doc"), F.explode("tokens").alias("token"))
-        .groupBy("token")
-        .agg(F.min("first_doc").alias("first_doc"))
+    chars = F.explode(char_column(text)).alias("token")
+    return docs.select(F.col(key).alias("first_doc"), chars).groupBy("token").agg(
+        F.min("first_doc").alias("first_doc")
     )
 
 
@@ -100,19 +128,27 @@ def cap_documents(docs: DataFrame, max_distinct: int | None, max_docs: int | Non
     """Documents up to the one at which the distinct characters reach the cap.
 
     That document stays whole. The running sum goes over documents that bring a
-    new character: at most one row per Unicode code point.
+    new character: at most one row per Unicode code point. Prefixes of the corpus
+    are tried first, since the cap is often reached early.
     """
     docs = max_examples(docs, max_docs, key)
     if max_distinct is None:
         return docs
-    new_chars = _first_docs(docs, key, text).groupBy("first_doc").agg(F.count("*").alias("fresh"))
-    so_far = F.sum("fresh").over(Window.orderBy("first_doc"))
-    cut = (
-        new_chars.select("first_doc", so_far.alias("seen"))
-        .where(F.col("seen") >= max_distinct)
-        .agg(F.min("first_doc"))
-    )
-    return docs.where(F.col(key) <= F.coalesce(cut.scalar(), F.col(key)))
+    for prefix in widening_prefixes(docs, 20_000, key):
+        new_chars = _first_docs(prefix, key, text).groupBy("first_doc").agg(
+            F.count("*").alias("fresh")
+        )
+        so_far = F.sum("fresh").over(Window.orderBy("first_doc"))
+        cut = (
+            new_chars.select("first_doc", so_far.alias("seen"))
+            .where(F.col("seen") >= max_distinct)
+            .agg(F.min("first_doc").alias("doc"))
+            .first()
+            .doc
+        )
+        if cut is not None:
+            return docs.where(F.col(key) <= F.lit(cut))
+    return docs
 
 
 def distinct_chars(docs: DataFrame, cap: int | None = None, key: str = "doc_id",
@@ -120,7 +156,7 @@ def distinct_chars(docs: DataFrame, cap: int | None = None, key: str = "doc_id",
     """(token, first_doc, first_pos) of the characters, reading stops above `cap`."""
     if cap is not None:
         docs = cap_documents(docs, cap + 1, None, key, text)
-    return counts_with_first(docs, lambda d: tokens_of_text(d, key, text), key).drop("n")
+    return counts_with_first(docs, char_column(text), key).drop("n")
 
 
 def assign_ids(specials: Sequence[str], ranked: DataFrame, max_vocab: int) -> DataFrame:
@@ -177,10 +213,10 @@ def covered_chars(counts: DataFrame, coverage: float) -> DataFrame:
     One row per code point at most, so one ordered window is bounded.
     """
     order = Window.orderBy(F.desc("n"), F.asc("token"))
-    before = F.coalesce(
-        F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("n").over(
+        order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("_before", before).where(
-        F.col("_before") < F.lit(coverage) * total
-    ).drop("_before")
+    spread = counts.withColumn("_before", before).withColumn("_total", total)
+    kept = F.coalesce("_before", F.lit(0)) < F.lit(coverage) * F.col("_total")
+    return spread.where(kept).drop("_before", "_total")

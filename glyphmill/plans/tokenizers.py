@@ -88,8 +88,7 @@ class CharacterTokenizer(Tokenizer):
             docs.select(self.key, self.text), config.max_vocab_size, config.max_examples,
             self.key, self.text,
         )
-        tokens_of = lambda d: vocab.tokens_of_text(d, self.key, self.text)
-        ranked = vocab.ranked_tokens(kept, tokens_of, self.key)
+        ranked = vocab.ranked_tokens(kept, vocab.char_column(self.text), self.key)
         specials = list(config.special_tokens.values())
         return self.load(
             materialize(vocab.assign_ids(specials, ranked, config.max_vocab_size), "vocab")
@@ -211,13 +210,11 @@ class RepackedTokenizer(Tokenizer):
         super().__init__(config, key, text)
         self.base = base
 
-    def token_ids(self, docs: DataFrame) -> DataFrame:
-        return docs.select(self.key, self.base.ids(T.py_strip(F.col(self.text))).alias("tokens"))
-
     def fit(self, docs: DataFrame) -> "RepackedTokenizer":
         rows = corpus.max_examples(docs.select(self.key, self.text), self.config.max_examples, self.key)
         rows = corpus.non_empty(rows, self.text)
-        ranked = vocab.ranked_tokens(rows, self.token_ids, self.key)
+        tokens = self.base.ids(T.py_strip(F.col(self.text)))
+        ranked = vocab.ranked_tokens(rows, tokens, self.key)
         self.remap = materialize(repack.assign_byte_codes(ranked), "remap")
         table = {r.token: list(r.code) for r in L.small_rows(self.remap)}
         self.unknown = table.pop("<unk>")

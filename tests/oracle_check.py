@@ -40,6 +40,10 @@ def _rows(names, rows):
     return sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+# SQL engine's types for the Spark types that results may have.
+TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, fn, sql, folder):
     """None when equal, else what differs."""
     df = fn(spark, folder)
@@ -51,6 +55,10 @@ def compare(spark, con, name, fn, sql, folder):
     sql_rows = _rows(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(names)}"
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    wrong = {c: (k, kinds[c]) for c, k in df.dtypes if TYPES.get(k) != kinds[c]}
+    if wrong:
+        return f"types {wrong}"
     if len(spark_rows) != len(sql_rows):
         return f"rows {len(spark_rows)} vs {len(sql_rows)}"
     for left, right in zip(spark_rows, sql_rows):
