@@ -36,11 +36,8 @@ def write_split(t):
     return t.spark.read.text(path).groupBy("split", "value").agg(F.count("*").alias("n"))
 
 
-def sql_draw(word: int) -> str:
-    x = f"(i * 3 + {word})::BIGINT"
-    for k, (factor, prime) in enumerate(tasks.DRAW_STEPS):
-        x = f"(({x} + seeds[{k + 1}]) % {prime} * {factor} % {prime})"
-    return f"{x} / {tasks.DRAW_STEPS[-1][1]}.0::DOUBLE"
+CHOSEN, MASKED, REPLACED = tasks.draw_limits(0.15)
+P1, P2, P3 = tasks.DRAW_PRIMES
 
 
 @query("mask_tokens", f"""
@@ -48,13 +45,13 @@ WITH cells AS (
   SELECT doc_id, seeds, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS x
   FROM (SELECT doc_id, list_transform([1, 9, 17], lambda k: ('0x' || substr(md5(doc_id || ':7'), k, 8))::BIGINT % 2147483648) AS seeds,
                list_concat([1], list_transform({sql_bytes('text')}, lambda b: b + 4), [2]) AS ids FROM documents)
-), drawn AS (
-  SELECT doc_id, i, x, x > 3 AND {sql_draw(0)} < 0.15 AS chosen, {sql_draw(1)} AS how, {sql_draw(2)} AS pick FROM cells
-)
+), spread AS (SELECT *, (i::BIGINT + seeds[1]) * {tasks.DRAW_FACTOR} % {P1} AS a FROM cells),
+mixed AS (SELECT *, (a * a + seeds[2]) % {P2} AS b FROM spread),
+drawn AS (SELECT doc_id, i, x, (b * b + seeds[3]) % {P3} AS r FROM mixed)
 SELECT doc_id,
-  string_agg((CASE WHEN NOT chosen THEN x WHEN how < 0.8 THEN 3
-              WHEN how < 0.8::DOUBLE + 0.1::DOUBLE THEN floor(pick * 260) ELSE x END)::BIGINT::VARCHAR, ' ' ORDER BY i) AS masked_ids,
-  string_agg((CASE WHEN chosen THEN x ELSE -100 END)::VARCHAR, ' ' ORDER BY i) AS labels
+  string_agg((CASE WHEN x <= 3 OR r >= {REPLACED} THEN x WHEN r < {MASKED} THEN 3
+              ELSE floor((r - {MASKED}) * 260 / {REPLACED - MASKED}) END)::BIGINT::VARCHAR, ' ' ORDER BY i) AS masked_ids,
+  string_agg((CASE WHEN x > 3 AND r < {CHOSEN} THEN x ELSE -100 END)::VARCHAR, ' ' ORDER BY i) AS labels
 FROM drawn GROUP BY doc_id
 """)
 def mask_tokens(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -47,31 +49,55 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once.
+
+    A plain column named inside a lambda is computed anew for every element; a
+    lambda's own variable is not. So the value becomes the one element of an array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _shifted_exp(values: Column, top: Column) -> Column:
+    return F.transform(values, lambda x: F.exp(x - top))
+
+
 def softmax(values: Column) -> Column:
-    values = values.cast("array<double>")
-    top = F.array_max(values)
-    scaled = F.transform(values, lambda x: F.exp(x - top))
-    total = _sum(scaled)
-    return F.transform(scaled, lambda x: x / total)
+    return let(
+        values.cast("array<double>"),
+        lambda v: let(
+            F.array_max(v),
+            lambda top: let(
+                _shifted_exp(v, top),
+                lambda scaled: let(_sum(scaled), lambda all_: F.transform(scaled, lambda x: x / all_)),
+            ),
+        ),
+    )
 
 
 def centered_log(values: Column, eps: float = 1e-10) -> Column:
     """Logarithm of the clamped values minus its mean."""
-    logs = F.transform(values.cast("array<double>"), lambda x: F.log(F.greatest(x, F.lit(eps))))
-    mean = _sum(logs) / F.size(logs)
-    return F.transform(logs, lambda x: x - mean)
+    return let(
+        F.transform(values.cast("array<double>"), lambda x: F.log(F.greatest(x, F.lit(eps)))),
+        lambda logs: let(
+            _sum(logs) / F.size(logs), lambda mean: F.transform(logs, lambda x: x - mean)
+        ),
+    )
 
 
 def token_nll(logits: Column, index: Column) -> Column:
     """Cross entropy in nats of the 0-based class `index` under `logits`."""
-    logits = logits.cast("array<double>")
-    top = F.array_max(logits)
-    log_sum = F.log(_sum(F.transform(logits, lambda x: F.exp(x - top)))) + top
-    return log_sum - F.get(logits, index)
+    return let(
+        logits.cast("array<double>"),
+        lambda v: let(
+            F.array_max(v),
+            lambda top: F.log(_sum(_shifted_exp(v, top))) + top - F.get(v, index),
+        ),
+    )
 
 
 def total(values: Column) -> Column:

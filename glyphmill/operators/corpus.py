@@ -103,5 +103,5 @@ def first_passing(docs: DataFrame, n: int, passing: Callable[[DataFrame], DataFr
 
 def training_lines(docs: DataFrame, text: str = "text", keep_blank: bool = False) -> DataFrame:
     """Stripped texts as vocabulary training input."""
-    lines = docs.withColumn(text, T.py_strip(F.col(text)))
-    return lines if keep_blank else lines.where(F.col(text) != "")
+    lines = docs if keep_blank else non_empty(docs, text)
+    return lines.withColumn(text, T.py_strip(F.col(text)))

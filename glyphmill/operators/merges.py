@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lookup as L, text as T
 from ..session import materialize
-from .vocab import covered_chars
 
 FIRST_JOINED = L.CODE_POINTS
 UNKNOWN = 0
@@ -35,6 +35,8 @@ BYTE_LEVEL_PATTERN = (
 _CANDIDATES = 256
 # A task forgets the pieces it has encoded when it holds more than this many.
 _MEMO_PIECES = 500_000
+# Up to this length, looking at every pair again is faster than keeping a queue.
+_SHORT_PIECE = 48
 
 
 def byte_level_table() -> list[int]:
@@ -187,9 +189,10 @@ def safe_batch(model: MergeModel, ranked: list, room: int, all_seen: bool, exact
     return len(taken)
 
 
-def train_merges(pieces: DataFrame, merges: int, min_count: int = 1, coverage: float = 1.0,
-                 exact: bool = True, write_every: int = 8) -> MergeModel:
-    """Learn `merges` merges from (piece, n).
+def train_merges(pieces: DataFrame, merges: int, min_count: int = 1,
+                 chars: Sequence[str] | None = None, exact: bool = True,
+                 write_every: int = 8) -> MergeModel:
+    """Learn `merges` merges from (piece, n); with `chars`, other characters join nothing.
 
     Each round is one job over the distinct pieces; only its best pairs reach the
     driver. Merges since the last written state are replayed in the job, and the
@@ -197,13 +200,8 @@ def train_merges(pieces: DataFrame, merges: int, min_count: int = 1, coverage: f
     have no pairs left and are not written again.
     """
     known = None
-    if coverage < 1.0:
-        chars = pieces.select(F.explode(T.char_tokens(F.col("piece"))).alias("token"), "n")
-        kept = covered_chars(chars.groupBy("token").agg(F.sum("n").alias("n")), coverage)
-        known = L.char_table(
-            kept.select("token", F.ascii("token").alias("cp")), "token", "cp", UNKNOWN, "int",
-            L.CODE_POINTS,
-        )
+    if chars is not None:
+        known = L.dense_array({ord(c): ord(c) for c in chars}, UNKNOWN, "int")
     written = materialize(symbol_state(spread(pieces), known), "pieces")
     model, done, rounds = MergeModel(), 0, 0
     while len(model.pairs) < merges:
@@ -228,6 +226,27 @@ def train_merges(pieces: DataFrame, merges: int, min_count: int = 1, coverage: f
 
 def merge_symbols(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges to one piece, lowest rank first and left to right."""
+    if len(ids) > _SHORT_PIECE:
+        return _merge_long(ids, ranks)
+    while len(ids) > 1:
+        found = [r for r in map(ranks.get, zip(ids, ids[1:])) if r]
+        if not found:
+            break
+        rank, joined = min(found)
+        out, i = [], 0
+        while i < len(ids):
+            if i + 1 < len(ids) and ranks.get((ids[i], ids[i + 1])) == (rank, joined):
+                out.append(joined)
+                i += 2
+            else:
+                out.append(ids[i])
+                i += 1
+        ids = out
+    return ids
+
+
+def _merge_long(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The same for a long piece, such as a line without spaces: a queue of pairs."""
     after = [*range(1, len(ids)), -1]
     before = list(range(-1, len(ids) - 1))
     heap = []
@@ -264,13 +283,13 @@ def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unkno
     for rank, (left, right, joined) in enumerate(model.pairs):
         ranks.setdefault((left, right), (rank, joined))
 
-    def ids_of(piece: str) -> np.ndarray:
+    def ids_of(piece: str) -> list[int]:
         joined = merge_symbols([ord(c) for c in piece], ranks)
-        return np.array([numbers.get(s, unknown) for s in joined], dtype=np.int32)
+        return [numbers.get(s, unknown) for s in joined]
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo: dict[str, np.ndarray] = {}
+        memo: dict[str, list[int]] = {}
         for rows in batches:
             coded = rows.flatten().dictionary_encode()
             distinct = coded.dictionary.to_pylist()
@@ -284,10 +303,10 @@ def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unkno
     return encode(pieces)
 
 
-def _gather(ids: list[np.ndarray], pieces: np.ndarray, rows: pa.Array) -> pa.Array:
+def _gather(ids: list[list[int]], pieces: np.ndarray, rows: pa.Array) -> pa.Array:
     """The ids of every row's pieces in a row, as one list array."""
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.concatenate([*ids, np.empty(0, np.int32)])
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())
     starts = (np.cumsum(sizes) - sizes)[pieces]
     ends = np.concatenate([[0], np.cumsum(sizes[pieces])])
     place = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes[pieces])

@@ -26,8 +26,9 @@ TASKS = {
 TASK_POSITIONS = 512
 # Fixed values of masked modelling: shares of targets masked, replaced and kept.
 MASK_SHARE, REPLACE_SHARE = 0.8, 0.1
-# (factor, prime) of the steps that make a draw from a position.
-DRAW_STEPS = [(48271, 2147483647), (1103515245, 2147483629), (69621, 2147483587)]
+# Numbers that make a draw from a position.
+DRAW_FACTOR = 48271
+DRAW_PRIMES = (2147483647, 2147483629, 2147483587)
 
 
 def task_table(spark: SparkSession) -> DataFrame:
@@ -42,19 +43,6 @@ def task_fields(task: str) -> list[str]:
     return TASK_KINDS[TASKS[task][0]]
 
 
-def hash_share(seeds: Column, position: Column) -> Column:
-    """A number in [0, 1) from three seeds and a position.
-
-    Three affine steps modulo three primes: whole-number arithmetic that every
-    engine does alike, without a hash of a string per position. Every product stays
-    below 2**62.
-    """
-    x = position.cast("bigint")
-    for i, (factor, prime) in enumerate(DRAW_STEPS):
-        x = (x + F.get(seeds, F.lit(i))) % prime * factor % prime
-    return x / float(DRAW_STEPS[-1][1])
-
-
 def row_seeds(key: Column, seed: int = 0) -> Column:
     """Three 31-bit seeds of a row."""
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
@@ -62,6 +50,24 @@ def row_seeds(key: Column, seed: int = 0) -> Column:
     return F.array(*[w % 2**31 for w in words])
 
 
+def position_draws(items: Column, key: Column, seed: int = 0) -> Column:
+    """One number below `DRAW_PRIMES[2]` per element, from the row's key and the position.
+
+    One hash per row, then a multiplication and two squarings modulo three primes
+    per position: whole-number arithmetic that every engine does alike. Every
+    product stays below 2**62.
+    """
+    first, second, third = DRAW_PRIMES
+
+    def draw(seeds: Column) -> Column:
+        a, b, c = (F.get(seeds, F.lit(i)) for i in range(3))
+        spread = F.transform(items, lambda _, i: (i.cast("bigint") + a) * DRAW_FACTOR % first)
+        mixed = F.transform(spread, lambda x: (x * x + b) % second)
+        return F.transform(mixed, lambda x: (x * x + c) % third)
+
+    return A.let(row_seeds(key, seed), draw)
+
+
 def shuffle_key(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
 
@@ -96,32 +102,37 @@ def mask_tokens(rows: DataFrame, ids: str, key: str, vocab_size: int, mask_id: i
     """Choose targets for masked modelling and change them.
 
     Adds `masked_ids` and `labels` (-100 where nothing is to be predicted). Of the
-    targets 80% become the mask, 10% a token drawn by hash, 10% stay. Special ids
-    are never chosen. The draws come from (key, position), so a re-run task draws
-    the same.
+    targets 80% become the mask, 10% a drawn token, 10% stay. Special ids are never
+    chosen. One draw per position decides all of it, and comes from (key, position),
+    so a re-run task draws the same.
     """
     special = F.array(*[F.lit(s) for s in specials])
+    chosen, masked, replaced = draw_limits(p)
+    drawn = rows.withColumn("_draws", position_draws(F.col(ids), F.col(key), seed))
 
-    def draw(position: Column, word: int) -> Column:
-        return hash_share(F.col("_seeds"), position * 3 + word)
+    def label(x: Column, r: Column) -> Column:
+        return F.when((r < chosen) & ~F.array_contains(special, x), x).otherwise(F.lit(-100))
 
-    def label(x: Column, i: Column) -> Column:
-        chosen = (draw(i, 0) < p) & ~F.array_contains(special, x)
-        return F.when(chosen, x).otherwise(F.lit(-100))
-
-    def change(pair: Column, i: Column) -> Column:
-        how = draw(i, 1)
+    def change(x: Column, r: Column) -> Column:
+        token = F.floor((r - masked) * vocab_size / (replaced - masked)).cast("int")
         return (
-            F.when(pair["label"] == -100, pair["id"])
-            .when(how < MASK_SHARE, F.lit(mask_id))
-            .when(how < MASK_SHARE + REPLACE_SHARE, F.floor(draw(i, 2) * vocab_size).cast("int"))
-            .otherwise(pair["id"])
+            F.when((r >= replaced) | F.array_contains(special, x), x)
+            .when(r < masked, F.lit(mask_id))
+            .otherwise(token)
         )
 
-    seeded = rows.withColumn("_seeds", row_seeds(F.col(key), seed))
-    labelled = seeded.withColumn("labels", F.transform(F.col(ids), label))
-    pairs = F.arrays_zip(F.col(ids).alias("id"), F.col("labels").alias("label"))
-    return labelled.withColumn("masked_ids", F.transform(pairs, change)).drop("_seeds")
+    return (
+        drawn.withColumn("labels", F.zip_with(ids, "_draws", label))
+        .withColumn("masked_ids", F.zip_with(ids, "_draws", change))
+        .drop("_draws")
+    )
+
+
+def draw_limits(p: float) -> tuple[int, int, int]:
+    """Draws below the first choose a target, below the second mask it, and from
+    there to the third replace it."""
+    chosen = int(DRAW_PRIMES[2] * p)
+    return chosen, int(chosen * MASK_SHARE), int(chosen * (MASK_SHARE + REPLACE_SHARE))
 
 
 def cut_pair(first: Column, second: Column, room: int) -> tuple[Column, Column]:

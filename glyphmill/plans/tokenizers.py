@@ -175,7 +175,8 @@ class MergedTokenizer(Tokenizer):
         self.specials = list(dict.fromkeys(["<unk>", "<s>", "</s>", *user]))
         room = self.config.max_vocab_size - len(self.specials) - len(alphabet)
         wanted = self.merges if self.merges is not None else max(room, 0)
-        self.model = merges.train_merges(pieces, wanted, 1, self.coverage, self.exact)
+        known = alphabet if self.coverage < 1.0 else None
+        self.model = merges.train_merges(pieces, wanted, 1, known, self.exact)
         self.tokens = merges.merged_vocab(self.model, self.specials, alphabet)
         self.numbers = merges.symbol_numbers(self.model, self.tokens, self.specials)
         return self
