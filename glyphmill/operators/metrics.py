@@ -82,8 +82,11 @@ def per_token_ratio(une_value: Column, symbols: Column, tokens: Column) -> Colum
 
 
 def sequence_stats(rows: DataFrame, by: list[str], nll: str = "nll", n_bytes: str = "n_bytes",
-                   weight: str | None = None) -> DataFrame:
-    """Per sequence: nats, tokens and bytes. `weight` counts equal rows."""
+                   weight: str | None = None, pad: str | None = None) -> DataFrame:
+    """Per sequence: nats, tokens and bytes. `weight` counts equal rows; `pad` names a
+    flag of padding rows to leave out, which otherwise count like tokens."""
+    if pad is not None:
+        rows = rows.where(~F.col(pad))
     w = F.col(weight) if weight else F.lit(1)
     return rows.groupBy(*by).agg(
         F.sum(F.col(nll) * w).alias("nats"), F.sum(w).alias("tokens"),
