@@ -89,7 +89,7 @@ SELECT l AS "left", r AS "right", n FROM ({sql_pairs('state0')})
 """)
 def pair_counts(t):
     """Weighted counts of neighbouring characters in words."""
-    pieces = merges.piece_counts(t.documents, merges.word_pieces(F.col("text")))
+    pieces = merges.piece_counts(t.documents, merges.words(F.col("text")), merges.WORD_MARK)
     return merges.pair_counts(merges.symbol_state(merges.spread(pieces)))
 
 

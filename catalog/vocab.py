@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.operators import repack, vocab
@@ -119,8 +119,6 @@ def specials_union_tokens(t):
     found = vocab.distinct_chars(t.documents)
     order = F.struct("first_doc", "first_pos")
     # One row per code point at most: the window is bounded.
-    from pyspark.sql import Window
-
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(order)) - 1)
     return vocab.assign_ids(["<s>", "<pad>", "</s>", "<unk>", "<mask>"], ranked, 0x110000)
 

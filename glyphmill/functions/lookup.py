@@ -7,6 +7,8 @@ array is built from a table whose size is checked first.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed value: number of Unicode code points, the bound of every character table.
@@ -44,6 +46,12 @@ def dense_array(entries: dict[int, object], missing: object, kind: str) -> Colum
     return array if kind == "string" else array.cast(f"array<{kind}>")
 
 
+def dense_lists(entries: dict[int, list[int]]) -> Column:
+    """Literal array of number lists; null where there is no entry."""
+    cells = [entries.get(i) for i in range(max(entries, default=-1) + 1)]
+    return F.from_json(F.lit(json.dumps(cells)), "array<array<int>>")
+
+
 def at(table: Column, index: Column, missing: object) -> Column:
     """`table[index]`, or `missing` beyond the end."""
     return F.coalesce(F.get(table, index), F.lit(missing))

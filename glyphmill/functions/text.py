@@ -18,8 +18,15 @@ CIRCLED_TONES = "①②③④"
 
 
 def py_strip(text: Column) -> Column:
-    """Strip Unicode white space at both ends (`trim` only knows the space)."""
-    return F.regexp_replace(text, rf"\A[{SPACE_CHARS}]+|[{SPACE_CHARS}]+\z", "")
+    """Strip Unicode white space at both ends (`trim` only knows the space).
+
+    Only a text that begins or ends with white space is searched for its runs.
+    """
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(
+        F.regexp_like(ends, F.lit(f"[{SPACE_CHARS}]")),
+        F.regexp_replace(text, rf"\A[{SPACE_CHARS}]+|[{SPACE_CHARS}]+\z", ""),
+    ).otherwise(text)
 
 
 def has_ink(text: Column) -> Column:

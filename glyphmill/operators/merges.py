@@ -23,10 +23,8 @@ from ..session import materialize
 FIRST_JOINED = L.CODE_POINTS
 UNKNOWN = 0
 
-# The mark put before each word, and the patterns that cut a text.
+# The mark put before each word, and the pattern of the byte-level rule.
 WORD_MARK = "▁"
-WORD_PATTERN = r"[^ \n]+"
-WORD_OR_BREAK_PATTERN = r"[^ \n]+|\n"
 BYTE_LEVEL_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
@@ -48,11 +46,10 @@ def byte_level_table() -> list[int]:
     return [b if b in kept else next(spare) for b in range(256)]
 
 
-def word_pieces(text: Column, breaks: bool = False) -> Column:
-    """Words with a mark in front; `breaks` keeps line breaks as pieces."""
-    pattern = WORD_OR_BREAK_PATTERN if breaks else WORD_PATTERN
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda w: F.when(w == "\n", w).otherwise(F.concat(F.lit(WORD_MARK), w)))
+def words(text: Column, breaks: bool = False) -> Column:
+    """Runs of characters between spaces and line breaks; `breaks` keeps the breaks."""
+    spaced = F.replace(text, F.lit("\n"), F.lit(" \n " if breaks else " "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def byte_level_pieces(text: Column) -> Column:
@@ -64,11 +61,12 @@ def byte_level_pieces(text: Column) -> Column:
     )
 
 
-def piece_counts(docs: DataFrame, pieces: Column) -> DataFrame:
-    """(piece, n) of distinct pieces."""
-    return docs.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(
+def piece_counts(docs: DataFrame, pieces: Column, mark: str = "") -> DataFrame:
+    """(piece, n) of distinct pieces, with `mark` put before each."""
+    counts = docs.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(
         F.count("*").alias("n")
     )
+    return counts.select(F.concat(F.lit(mark), "piece").alias("piece"), "n") if mark else counts
 
 
 def spread(pieces: DataFrame) -> DataFrame:
@@ -273,8 +271,10 @@ def _merge_long(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return [s for s in ids if s >= 0]
 
 
-def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unknown: int) -> Column:
-    """Vocabulary ids of an array of pieces, in order, in one array.
+def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unknown: int,
+               mark: str = "") -> Column:
+    """Vocabulary ids of an array of pieces, in order, in one array. `mark` is put
+    before each piece but line breaks.
 
     Runs where the text is: the merges go to the tasks and each task remembers the
     pieces it has met, so nothing is shuffled. `numbers` maps symbols to ids.
@@ -284,7 +284,8 @@ def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unkno
         ranks.setdefault((left, right), (rank, joined))
 
     def ids_of(piece: str) -> list[int]:
-        joined = merge_symbols([ord(c) for c in piece], ranks)
+        marked = piece if piece == "\n" else mark + piece
+        joined = merge_symbols([ord(c) for c in marked], ranks)
         return [numbers.get(s, unknown) for s in joined]
 
     @F.arrow_udf("array<int>")

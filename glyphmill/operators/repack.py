@@ -60,10 +60,6 @@ def repacked_ids(ids: Column, codes: dict[int, list[int]], unknown: list[int], o
 
     The codes travel as one literal array indexed by token id.
     """
-    texts = {i: ",".join(str(b + offset) for b in code) for i, code in codes.items()}
-    table = L.dense_array(texts, "", "string")
-    default = F.lit(",".join(str(b + offset) for b in unknown))
-    joined = F.array_join(F.transform(ids, lambda i: L.text_at(table, i, default)), ",")
-    return F.when(F.size(ids) == 0, F.array().cast("array<int>")).otherwise(
-        F.split(joined, ",").cast("array<int>")
-    )
+    table = L.dense_lists({i: [b + offset for b in code] for i, code in codes.items()})
+    default = F.array(*[F.lit(b + offset) for b in unknown])
+    return F.flatten(F.transform(ids, lambda i: F.coalesce(F.get(table, i), default)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions import lookup as L, text as T
 from ..operators import codes, corpus, encode, merges, repack, vocab
@@ -39,7 +39,8 @@ class TokenizerConfig:
 
     @classmethod
     def from_mapping(cls, config: Mapping, n_positions: int) -> "TokenizerConfig":
-        """From the `tokenizer` part of a configuration."""
+        """From the `tokenizer` part of a configuration, a mapping or a row."""
+        config = config.asDict(recursive=True) if isinstance(config, Row) else config
         return cls(
             name=config["name"],
             n_positions=n_positions,
@@ -160,9 +161,17 @@ class MergedTokenizer(Tokenizer):
     def training_pieces(self, docs: DataFrame) -> DataFrame:
         rows = corpus.max_examples(docs.select(self.key, self.text), self.config.max_examples, self.key)
         lines = corpus.training_lines(rows, self.text, keep_blank=self.form == "codes")
-        line = F.explode(F.split(self.written(F.col(self.text)), "\n")).alias("line")
-        fitting = lines.select(line).where(F.octet_length("line") <= MAX_LINE_BYTES)
-        return merges.piece_counts(fitting, merges.word_pieces(F.col("line")))
+        written = lines.select(self.written(F.col(self.text)).alias("written"))
+        # Lines over the limit are left out; a short text can hold none.
+        fitting = F.when(F.octet_length("written") <= MAX_LINE_BYTES, F.col("written")).otherwise(
+            F.array_join(
+                F.filter(
+                    F.split("written", "\n"), lambda line: F.octet_length(line) <= MAX_LINE_BYTES
+                ),
+                "\n",
+            )
+        )
+        return merges.piece_counts(written, merges.words(fitting), merges.WORD_MARK)
 
     def fit(self, docs: DataFrame) -> "MergedTokenizer":
         pieces = materialize(self.training_pieces(docs), "piece-counts")
@@ -182,8 +191,9 @@ class MergedTokenizer(Tokenizer):
         return self
 
     def ids(self, text: Column) -> Column:
-        pieces = merges.word_pieces(self.written(text), breaks=True)
-        return merges.merged_ids(pieces, self.model, self.numbers, self.tokens.index("<unk>"))
+        pieces = merges.words(self.written(text), breaks=True)
+        unknown = self.tokens.index("<unk>")
+        return merges.merged_ids(pieces, self.model, self.numbers, unknown, merges.WORD_MARK)
 
     @property
     def pad_id(self) -> int:
@@ -217,7 +227,7 @@ class RepackedTokenizer(Tokenizer):
         tokens = self.base.ids(T.py_strip(F.col(self.text)))
         ranked = vocab.ranked_tokens(rows, tokens, self.key)
         self.remap = materialize(repack.assign_byte_codes(ranked), "remap")
-        table = {r.token: list(r.code) for r in L.small_rows(self.remap)}
+        table = {r.token: list(r.code) for r in L.small_rows(self.remap, repack.CODES)}
         self.unknown = table.pop("<unk>")
         self.codes = {int(token): code for token, code in table.items()}
         return self
