@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from glyphmill.sources import readers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,6 +44,10 @@ def joined(values: Column, by: str = " ") -> Column:
     return F.array_join(values.cast("array<string>"), by)
 
 
+# Tables of long texts, with their keys.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
     """The given tables of one folder, as attributes."""
 
@@ -49,7 +55,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return readers.spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 # SQL that several oracles share.

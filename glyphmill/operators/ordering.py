@@ -2,7 +2,7 @@
 
 A window without a partition, or one over a group that holds a third of the
 rows, runs in a single task. Here every group is cut into ordered buckets: the
-bucket totals (at most a few hundred rows per group) are accumulated first, and
+bucket totals (at most a few thousand rows per group) are accumulated first, and
 each bucket then only needs a window over its own rows.
 
 Bucket bounds are plain numbers fixed before the query is built, so both reads of
@@ -11,28 +11,29 @@ the input, and any re-run of a lost task, put a row into the same bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# 2**8 - 1 inner bounds make 256 buckets, found by eight comparisons.
-_DEPTH = 8
+# Buckets are a power of two: at least 256, and some per core up to 4096.
+_LEAST_DEPTH, _MOST_DEPTH = 8, 12
 
 
 def key_bounds(df: DataFrame, key: str) -> list:
-    """255 approximate quantiles of a numeric key; one pass over that column alone."""
-    inner = 2**_DEPTH - 1
-    shares = [i / (inner + 1) for i in range(1, inner + 1)]
-    row = df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()
+    """Approximate quantiles of a numeric key that cut it into 256 to 4096 buckets; one
+    pass over that column alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    count = 2 ** min(max((2 * cores - 1).bit_length(), _LEAST_DEPTH), _MOST_DEPTH)
+    shares = [i / count for i in range(1, count)]
+    row = df.agg(F.percentile_approx(key, shares, 20 * count).alias("b")).first()
     bounds = sorted(row.b or [0])
-    return bounds + [bounds[-1]] * (inner - len(bounds))
+    return bounds + [bounds[-1]] * (count - 1 - len(bounds))
 
 
 def bucket_of(key: Column, bounds: Sequence) -> Column:
     """Number of bounds below the key, by binary search; never decreases with it."""
     table = F.array(*[F.lit(b) for b in bounds])
-    steps = F.array(*[F.lit(2**i) for i in reversed(range(_DEPTH))])
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -40,47 +41,45 @@ def bucket_of(key: Column, bounds: Sequence) -> Column:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 _FUNCTIONS = {"sum": F.sum, "min": F.min, "max": F.max}
-_COMBINE = {
-    "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
-    "min": F.least,
-    "max": F.greatest,
-}
 
 
-def running(df: DataFrame, out: str, how: str, value: Column, order: Sequence[Column],
-            bucket: Column, within: Sequence[str] = (), inclusive: bool = True) -> DataFrame:
-    """Add `out`: the running `how` (sum, min or max) of `value` in `order`.
+def running(df: DataFrame, values: Mapping[str, tuple[str, Column, bool]], order: Sequence[Column],
+            bucket: Column, within: Sequence[str] = ()) -> DataFrame:
+    """Add running sums, minima or maxima in `order`.
+
+    `values` maps a new column to (sum | min | max, expression, whether the row itself
+    counts). `bucket` never decreases along the order; `within` names the groups.
+    What comes before the first row is null.
 
-    `bucket` never decreases along the order. `within` names the groups. With
-    `inclusive` off, the row itself is left out and the first row of a group gets
-    0 for a sum and null otherwise.
+    The totals of the earlier buckets enter each bucket as one more row, ahead of
+    the others. So the rows are shuffled once, by group and bucket, and not joined.
     """
-    function, combine = _FUNCTIONS[how], _COMBINE[how]
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    totals = rows.groupBy(*within, "_bucket").agg(function("_value").alias("_total"))
+    inputs = {name: f"_in_{name}" for name in values}
+    rows = df.withColumn("_bucket", bucket).withColumn("_kind", F.lit(1))
+    for name, (_, value, _) in values.items():
+        rows = rows.withColumn(inputs[name], value)
+    keys = [*within, "_bucket"]
     before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(within)],
-        F.col("_bucket").alias("_b"),
-        function("_total").over(before).alias("_carry"),
-    )
-    matches = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(within)]
-    matches.append(F.col("_bucket").eqNullSafe(F.col("_b")))
-    joined = rows.join(carry, reduce(lambda a, b: a & b, matches), "left")
-    own = Window.partitionBy(*within, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
+    totals = rows.groupBy(*keys).agg(
+        *[_FUNCTIONS[how](inputs[name]).alias(inputs[name]) for name, (how, _, _) in values.items()]
     )
-    return joined.withColumn(out, combine(F.col("_carry"), function("_value").over(own))).drop(
-        "_bucket", "_value", "_b", "_carry", *[f"_k{i}" for i in range(len(within))]
+    carry = totals.select(
+        *keys, F.lit(0).alias("_kind"),
+        *[_FUNCTIONS[how](inputs[name]).over(before).alias(inputs[name])
+          for name, (how, _, _) in values.items()],
     )
+    placed = rows.unionByName(carry, allowMissingColumns=True)
+    own = Window.partitionBy(*keys).orderBy("_kind", *order)
+    for name, (how, _, inclusive) in values.items():
+        frame = own.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        placed = placed.withColumn(name, _FUNCTIONS[how](inputs[name]).over(frame))
+    return placed.where(F.col("_kind") == 1).drop("_bucket", "_kind", *inputs.values())
 
 
 def ordered_index(df: DataFrame, out: str, order: Sequence[Column], bucket: Column,
                   within: Sequence[str] = ()) -> DataFrame:
     """Add `out`: the 0-based position of each row in a total order."""
-    return running(df, out, "sum", F.lit(1).cast("bigint"), order, bucket, within, inclusive=False)
+    ones = F.lit(1).cast("bigint")
+    placed = running(df, {out: ("sum", ones, False)}, order, bucket, within)
+    return placed.withColumn(out, F.coalesce(out, F.lit(0)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..session import materialize
 from .ordering import ordered_index, running
 
 # Runs left out of comparisons, and name replacements in order.
@@ -144,13 +145,21 @@ def stop_rule(logs: DataFrame, bucket: Column, patience: int = 3, delta: float =
     stops the run (null if none). All of it is running minima and maxima, cut into
     buckets so that one long run is spread over tasks.
     """
-    order = [F.col("step")]
-    best = running(logs, "_best", "min", F.col("value"), order, bucket, ["run"], inclusive=False)
+    order, one = [F.col("step")], F.lit(1).cast("bigint")
+    # Written once: the second running value reads it twice.
+    placed = materialize(
+        running(
+            logs.select("run", "step", "value"),
+            {"_best": ("min", F.col("value"), False), "_count": ("sum", one, True)},
+            order, bucket, ["run"],
+        ),
+        "losses",
+    )
     first = F.col("_best").isNull()
     better = first | (F.col("_best") - F.col("value") > delta)
-    placed = ordered_index(best, "_i", order, bucket, ["run"])
-    marked = running(placed, "_last", "max", F.when(better, F.col("_i")), order, bucket, ["run"])
-    stale = F.col("_i") - F.col("_last") >= patience
+    last = {"_last": ("max", F.when(better, F.col("_count")), True)}
+    marked = running(placed, last, order, bucket, ["run"])
+    stale = F.col("_count") - F.col("_last") >= patience
     return marked.groupBy("run").agg(
         # The last row below everything before it is the first with the smallest value.
         F.max(F.when(first | (F.col("value") < F.col("_best")), F.col("step"))).alias("best_step"),

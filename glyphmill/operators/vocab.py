@@ -99,7 +99,7 @@ def frequency_rank(counts: DataFrame, bounds: Sequence) -> DataFrame:
     fine = F.col("n") < _FINE_COUNTS
     size = F.when(fine, F.col("n")).otherwise(_FINE_COUNTS + F.floor(F.log2("n")))
     place = F.when(fine, bucket_of(F.col("first_doc"), bounds)).otherwise(0)
-    bucket = (-size * 256 + place).cast("bigint")
+    bucket = (-size * (len(bounds) + 1) + place).cast("bigint")
     order = [F.desc("n"), F.asc("first_doc"), F.asc("first_pos")]
     return ordered_index(counts, "rank", order, bucket)
 

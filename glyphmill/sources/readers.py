@@ -27,6 +27,16 @@ def read_corpus(spark: SparkSession, path: str, text_col: str = "text",
     return spark.read.parquet(path).select(order_col, text_col, *extra)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table with fewer splits than cores, spread over the cores by key.
+
+    Work on texts is bound by the processor, and a small file is one split. A table
+    with at least as many splits as cores is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_lines(spark: SparkSession, path: str, keep_newline: bool = False) -> DataFrame:
     """(value, file, block, line_no): one document per line.
 
