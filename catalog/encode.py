@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions import arrays as A, text as T
-from glyphmill.operators import encode, metrics
+from glyphmill.operators import encode, metrics, runs
 from glyphmill.plans import compare, tokenizers
 from glyphmill.session import materialize
 
@@ -193,6 +193,18 @@ def token_total(t):
     return metrics.token_total(compare.union_all(masks), by="tokenizer")
 
 
+@query("token_total_wide", f"""
+SELECT sum(least(octet_length(encode(text)), {SIZE}))::BIGINT AS "byte",
+       sum(least(length(text), {SIZE}))::BIGINT AS "character" FROM documents
+""")
+def token_total_wide(t):
+    """The totals as one wide row."""
+    forms = {"character": T.code_points(F.col("text")), "byte": encode.byte_ids(F.col("text"))}
+    counts = compare.encode_all(t.documents.select("doc_id", "text"), forms, SIZE)
+    totals = counts.groupBy("tokenizer").agg(F.sum("tokens").alias("tokens"))
+    return runs.pivot_row(materialize(totals, "totals"), "tokenizer", "tokens")
+
+
 @query("character_vocab", f"""
 WITH {SQL_VOCAB} SELECT token, id::BIGINT AS id FROM vocab
 """)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import corpus
+from glyphmill.operators import corpus, encode
+from glyphmill.session import scratch_path
 from glyphmill.streaming import counts
 
-from .registry import SQL_CHARS, query
+from .registry import SQL_CHARS, SQL_RANKED, joined, query, sql_bytes
 
 SIZE = 1024
 
@@ -37,3 +38,23 @@ def stream_token_totals(t):
         "lang", F.least(F.octet_length("text"), F.lit(SIZE)).cast("bigint").alias("tokens")
     )
     return counts.stream_totals(rows, "lang", "tokens")
+
+
+@query("stream_frequency_rank", f"""
+WITH {SQL_RANKED} SELECT token, n, first_doc, first_pos, rank FROM ranked
+""")
+def stream_frequency_rank(t):
+    """Ranks from counts that batches add to a table."""
+    return counts.stream_ranked_tokens(stream(t).select("doc_id", "text"))
+
+
+@query("stream_non_empty_bytes", f"""
+SELECT doc_id, array_to_string(list_transform({sql_bytes('text')}, lambda b: b + 4), ' ') AS ids
+FROM documents WHERE text <> ''
+""")
+def stream_non_empty_bytes(t):
+    """A filter and an encoding on a stream, appended to a table."""
+    rows = corpus.non_empty(stream(t)).select("doc_id", joined(encode.byte_ids(F.col("text"))).alias("ids"))
+    target = scratch_path(t.spark, "stream-rows")
+    counts.append_rows(rows, target, scratch_path(t.spark, "stream-state"))
+    return t.spark.read.parquet(target)

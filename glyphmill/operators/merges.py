@@ -328,10 +328,10 @@ def merged_vocab(model: MergeModel, specials: Sequence[str], chars: Sequence[str
 
 
 def symbol_numbers(model: MergeModel, vocab: Sequence[str], specials: Sequence[str]) -> dict[int, int]:
-    """Symbol -> vocabulary id, for every token that is not special."""
-    skip = set(specials)
+    """Symbol -> vocabulary id, of joined symbols and of characters."""
+    index = {token: number for number, token in enumerate(vocab)}
+    chars = [token for token in vocab if len(token) == 1 and token not in set(specials)]
     return {
-        model.by_text.get(token) or ord(token): number
-        for number, token in enumerate(vocab)
-        if token not in skip and (token in model.by_text or len(token) == 1)
+        **{ord(char): index[char] for char in chars},
+        **{symbol: index[text] for symbol, text in model.texts.items()},
     }

@@ -111,6 +111,12 @@ def unpivot_row(wide: DataFrame, value: str = "value", ids: Sequence[str] = ())
     return wide.unpivot(list(ids), columns, "run", value)
 
 
+def pivot_row(rows: DataFrame, name: str, value: str) -> DataFrame:
+    """A (name, value) table as one wide row, columns sorted: the form of a totals file."""
+    names = run_names(rows.select(F.col(name).alias("run")))
+    return rows.groupBy().pivot(name, names).agg(F.first(value))
+
+
 def rank_runs(logs: DataFrame, step: int, order: str = "line_no") -> DataFrame:
     """Runs at one step with `place`, by value descending; one row per run."""
     rows = last_per_step(logs.where(F.col("step") == step), order)

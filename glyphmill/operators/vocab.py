@@ -52,7 +52,7 @@ def counts_with_first(docs: DataFrame, tokens: Column | None = None,
     """
     tokens = char_column() if tokens is None else tokens
     ends = docs.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if ends.low is not None and ends.low >= 0 and ends.high < _PACKED_KEYS:
+    if isinstance(ends.low, int) and ends.low >= 0 and ends.high < _PACKED_KEYS:
         packed = F.shiftleft(F.col(key).cast("bigint"), _PLACE_BITS) + F.least(
             "pos", F.lit(_LAST_PLACE)
         )
@@ -90,6 +90,14 @@ def _counts_in_two_passes(docs: DataFrame, tokens: Column, key: str) -> DataFram
     )
 
 
+def add_counts(parts: DataFrame) -> DataFrame:
+    """One (token, n, first_doc, first_pos) table from those of several parts of a corpus."""
+    first = F.min(F.struct("first_doc", "first_pos")).alias("first")
+    return parts.groupBy("token").agg(F.sum("n").alias("n"), first).select(
+        "token", "n", "first.first_doc", "first.first_pos"
+    )
+
+
 def frequency_rank(counts: DataFrame, bounds: Sequence) -> DataFrame:
     """Add `rank`: 0-based, by count descending, ties by first appearance.
 

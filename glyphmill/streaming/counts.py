@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import vocab
-from ..session import scratch_path
+from ..operators.ordering import key_bounds
+from ..session import materialize, scratch_path
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",
@@ -57,6 +58,15 @@ def batch_counts(docs: DataFrame, count: Callable[[DataFrame], DataFrame], targe
     query.awaitTermination()
 
 
+def append_rows(rows: DataFrame, target: str, state: str) -> None:
+    """Append a stream of projected or filtered rows to a table, each row once."""
+    query = (
+        rows.writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", state).trigger(availableNow=True).start(target)
+    )
+    query.awaitTermination()
+
+
 def stream_char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, n) kept up to date by a stateful aggregation."""
     spark = docs.sparkSession
@@ -74,6 +84,20 @@ def stream_char_counts_by_batch(docs: DataFrame, text: str = "text") -> DataFram
     return spark.read.parquet(target).groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def stream_ranked_tokens(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(token, n, first_doc, first_pos, rank) of the characters seen so far.
+
+    A rank needs all counts, so it is made per snapshot: batches add their counts to
+    a table, and the table is added up and ranked when it is read.
+    """
+    spark = docs.sparkSession
+    target = scratch_path(spark, "stream-ranks")
+    batch_counts(docs, lambda b: vocab.counts_with_first(b, key=key), target,
+                 scratch_path(spark, "stream-state"))
+    counts = materialize(vocab.add_counts(spark.read.parquet(target)), "counts")
+    return vocab.frequency_rank(counts, key_bounds(counts, "first_doc"))
+
+
 def stream_totals(rows: DataFrame, by: str, value: str) -> DataFrame:
     """(by, total) of a number column, kept up to date by a stateful aggregation."""
     spark = rows.sparkSession

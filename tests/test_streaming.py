@@ -34,15 +34,23 @@ def test_stateful_counts_resume(spark):
     assert {r.token: r.n for r in spark.read.parquet(target).collect()} == {"a": 3, "b": 2, "c": 1}
 
 
+def test_ranks_over_several_batches(spark):
+    folder = scratch_path(spark, "in")
+    texts = ["bca", "ab", "zzc"]
+    for i, text in enumerate(texts):
+        add(spark, folder, [(i, "en", text)])
+    stream = counts.read_stream(spark, folder, SCHEMA, files_per_batch=1)
+    got = counts.stream_ranked_tokens(stream).orderBy("rank").collect()
+    assert [(r.token, r.n) for r in got] == Counter("".join(texts)).most_common()
+
+
 def test_projections_work_on_streams(spark):
     folder = scratch_path(spark, "in")
     add(spark, folder, [(1, "en", "abc"), (2, "en", " ")])
     stream = counts.read_stream(spark, folder, SCHEMA)
     encoded = encode.pack(stream.withColumn("ids", encode.byte_ids(F.col("text"))), "ids", 5, 0)
     target = scratch_path(spark, "out")
-    query = (encoded.writeStream.option("checkpointLocation", scratch_path(spark, "state"))
-             .trigger(availableNow=True).format("parquet").start(target))
-    query.awaitTermination()
+    counts.append_rows(encoded, target, scratch_path(spark, "state"))
     assert {r.doc_id: r.input_ids for r in spark.read.parquet(target).collect()} == {
         1: [101, 102, 103, 0, 0], 2: [36, 0, 0, 0, 0]}
 
