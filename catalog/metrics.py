@@ -231,8 +231,8 @@ bits AS (SELECT sum(n)::BIGINT AS symbols, sum(-n * log2(n / total)) AS bits FRO
 counts AS (
   SELECT 'character' AS tokenizer, sum(least(length(text), {SIZE}))::BIGINT AS tokens FROM valid
   UNION ALL SELECT 'byte', sum(least(octet_length(encode(text)), {SIZE}))::BIGINT FROM valid
-), losses AS (SELECT CASE WHEN event_type = 'click' THEN 'character' ELSE 'byte' END AS tokenizer, avg(value) AS loss
-              FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)
+), losses AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'character' ELSE 'byte' END AS tokenizer,
+                     avg(value) AS loss FROM events GROUP BY 1)
 SELECT tokenizer, tokens, round(loss / ln(2) * tokens / bits, 6) AS une,
        round(loss / ln(2) * symbols / bits, 6) AS per_token
 FROM counts JOIN losses USING (tokenizer), bits
@@ -242,9 +242,7 @@ def compare_tokenizers(t):
     rows = validation.validation_set(t.documents, mark=".")
     forms = {"character": T.code_points(F.col("text")), "byte": encode.byte_ids(F.col("text"))}
     counts = compare.encode_all(rows, forms, SIZE)
-    name = F.when(F.col("event_type") == "click", "character").otherwise("byte").alias("tokenizer")
-    loss = t.events.where(F.col("event_type").isin("click", "view")).groupBy(name).agg(
-        F.avg("value").alias("loss")
-    )
+    name = F.when(F.col("event_type").isin("click", "view"), "character").otherwise("byte")
+    loss = t.events.groupBy(name.alias("tokenizer")).agg(F.avg("value").alias("loss"))
     result = compare.compare_tokenizers(counts, loss, validation.validation_bits(rows))
     return result.withColumn("une", F.round("une", 6)).withColumn("per_token", F.round("per_token", 6))

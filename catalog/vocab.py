@@ -9,7 +9,7 @@ from glyphmill.operators import repack, vocab
 from glyphmill.session import scratch_path
 from glyphmill.sources import readers, writers
 
-from .registry import SQL_CHARS, SQL_RANKED, query, sql_bytes
+from .registry import SQL_CHARS, SQL_RANK_OF_CHARS, SQL_RANKED, query, sql_bytes
 
 SPECIALS = ["<unk>", "<s>", "</s>", "<pad>", "e", "<s>"]
 VOCAB_CAP = 64
@@ -141,14 +141,14 @@ def cap_documents(t):
 
 @query("vocab_with_added", f"""
 WITH {SQL_VOCAB}, added AS (
-  SELECT token, n + 1000 AS id FROM ranked WHERE rank % 10 = 0
+  SELECT token, n + 1000 AS id FROM ranked WHERE regexp_matches(token, '[A-Z]')
 )
 SELECT token, id::BIGINT AS id FROM added
 UNION ALL
 SELECT token, id::BIGINT FROM vocab WHERE token NOT IN (SELECT token FROM added)
 """)
 def vocab_with_added(t):
-    added = ranked_chars(t).where(F.col("rank") % 10 == 0).select(
+    added = ranked_chars(t).where(F.col("token").rlike("[A-Z]")).select(
         "token", (F.col("n") + 1000).alias("id")
     )
     return vocab.vocab_with_added(char_vocab(t), added)
@@ -247,17 +247,24 @@ def remap_round_trip(t):
 
 
 @query("apply_remap", f"""
-WITH {SQL_RANKED}, codes AS (
-  SELECT token, rank FROM ranked WHERE rank < 70 UNION ALL SELECT '<unk>', 70),
+WITH chars AS (
+  SELECT doc_id, generate_subscripts(cs, 1) - 1 AS i, unnest(cs) AS c
+  FROM (SELECT item_id AS doc_id, string_split(text, '') AS cs FROM benchmark WHERE text <> '')
+), {SQL_RANK_OF_CHARS}, codes AS (
+  SELECT token, rank FROM ranked UNION ALL SELECT '<unk>', count(*) FROM ranked),
 other AS (
   SELECT token, count(*) AS n
-  FROM (SELECT unnest(string_split(text, '')) AS token FROM conversations) GROUP BY token)
-SELECT o.token, o.n, hex(encode(chr((32 + coalesce(c.rank, 70))::INTEGER))) AS code
+  FROM (SELECT unnest(string_split(text, '')) AS token FROM documents) GROUP BY token)
+SELECT o.token, o.n,
+       hex(encode(chr((32 + coalesce(c.rank, (SELECT rank FROM codes WHERE token = '<unk>')))::INTEGER))) AS code
 FROM other o LEFT JOIN codes c ON o.token = c.token
 """)
 def apply_remap(t):
-    remap = repack.assign_byte_codes(ranked_chars(t).where(F.col("rank") < 70))
-    coded = repack.apply_remap(vocab.char_counts(t.conversations), remap)
+    """Codes learned on the benchmark, given to the documents' characters; those the
+    benchmark lacks get the unknown mark's."""
+    texts = t.benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    remap = repack.assign_byte_codes(vocab.ranked_tokens(texts))
+    coded = repack.apply_remap(vocab.char_counts(t.documents), remap)
     return coded.withColumn(
         "code", F.array_join(F.transform("code", lambda b: F.lpad(F.hex(b), 2, "0")), "")
     )

@@ -31,6 +31,8 @@ BYTE_LEVEL_PATTERN = (
 
 # How many of the best pairs a round looks at.
 _CANDIDATES = 256
+# Without exactness, a round takes pairs down to this share of the best one's count.
+_LOOSE_SHARE = 0.5
 # A task forgets the pieces it has encoded when it holds more than this many.
 _MEMO_PIECES = 500_000
 # Up to this length, looking at every pair again is faster than keeping a queue.
@@ -165,11 +167,15 @@ def safe_batch(model: MergeModel, ranked: list, room: int, all_seen: bool, exact
     with it, so every taken pair above the first such pair's count is what
     one-at-a-time merging would choose. A pair of equal sides, or one whose text
     exists already, can make more frequent pairs: it ends the batch. With `exact`
-    off, pairs that share a symbol are passed over and the batch goes on.
+    off, pairs that share a symbol are passed over, and the batch goes on down to
+    `_LOOSE_SHARE` of the best count.
     """
     taken, used, texts = [], set(), set(model.by_text)
     bound, open_ = (0 if all_seen else ranked[-1].n), True
+    floor = 0 if exact else ranked[0].n * _LOOSE_SHARE
     for row in ranked:
+        if row.n < floor:
+            break
         if row.left in used or row.right in used:
             if exact:
                 bound = row.n

@@ -43,6 +43,21 @@ def test_batches_equal_one_at_a_time(spark, seed):
     assert model.pairs == expected.pairs and model.counts == expected.counts
 
 
+def test_loose_batches_learn_as_many(spark):
+    rnd = random.Random(4)
+    pieces = Counter("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(500))
+    table = spark.createDataFrame(list(pieces.items()), "piece string, n bigint")
+    model = merges.train_merges(table, 40, exact=False)
+    assert len(model.pairs) == 40 and len(set(model.pairs)) == 40
+    assert model.pairs[0] == greedy(pieces, 1).pairs[0]
+
+
+def test_rare_characters_join_nothing(spark):
+    table = spark.createDataFrame([("abab", 50), ("azaz", 1)], "piece string, n bigint")
+    model = merges.train_merges(table, 10, chars=["a", "b"])
+    assert all("z" not in text for text in model.texts.values()) and "abab" in model.by_text
+
+
 def test_short_and_long_way_of_merging_agree():
     rnd = random.Random(9)
     for _ in range(300):
