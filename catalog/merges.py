@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import merges, repack, vocab
+from glyphmill.operators import merges, vocab
 from glyphmill.plans import tokenizers
 
 from .codes import SQL_DICT, entries

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from glyphmill.functions import arrays as A, text as T
 from glyphmill.operators import encode, metrics
 from glyphmill.plans import compare, validation
 
-from .registry import SQL_VALIDATION, joined, query, sql_symbols
+from .registry import SQL_VALIDATION, query, sql_symbols
 
 SIZE = 1024
 TOTAL = "(SELECT sum(n) AS total FROM symbols)"
@@ -179,11 +177,6 @@ def argmax(t):
     return t.embeddings.select("vec_id", A.argmax(F.col("embedding")).alias("best"))
 
 
-def rounded(values, digits: int = 6):
-    """An array of numbers as text with a fixed number of digits."""
-    return joined(F.transform(values, lambda x: F.format_string(f"%.{digits}f", x)), " ")
-
-
 @query("softmax", """
 SELECT vec_id, generate_subscripts(s, 1) - 1 AS i, round(unnest(s), 6) AS p FROM (
   SELECT vec_id, list_transform(e, lambda x: exp(x) / list_sum(list_transform(e, lambda y: exp(y)))) AS s

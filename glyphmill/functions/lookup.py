@@ -72,10 +72,3 @@ def char_table(df: DataFrame, char_col: str, value_col: str, missing: object, ki
         limit,
     )
     return dense_array({r.cp: r.value for r in rows}, missing, kind)
-
-
-def id_table(df: DataFrame, id_col: str, value_col: str, missing: object, kind: str,
-             limit: int = MAX_ENTRIES) -> Column:
-    """Literal array by token id from an (id, value) table."""
-    rows = small_rows(df.select(F.col(id_col).alias("i"), F.col(value_col).alias("value")), limit)
-    return dense_array({r.i: r.value for r in rows}, missing, kind)
