@@ -52,6 +52,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         return materialize(df, label)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def identified(docs: DataFrame, key: str, row: str = "_row", *keep: str) -> DataFrame:
     """The columns `key` and `keep` with a unique, non-null BIGINT `row`.
 
@@ -114,17 +122,22 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes.astype(np.int64)) // CHUNK_BYTES
         cuts = np.flatnonzero(np.diff(group)) + 1
+        if not len(cuts):
+            yield batch
+            continue
         for start, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
-            yield batch.slice(start, stop - start)
+            # A copy: some text functions go wrong on a slice, which shares its bytes.
+            yield batch.take(pa.array(np.arange(start, stop)))
 
 
 class Words:
     """The words of a column of texts: a code per word, the row each is in, and the
-    distinct words as bytes. `first` is the place of each row's first word."""
+    words by code, as bytes. `first` is the place of each row's first word. With `lower`, words
+    that differ in case have codes of their own but one hash."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
@@ -132,6 +145,8 @@ class Words:
         if b"" in self.distinct:
             full = codes != self.distinct.index(b"")
             codes, rows = codes[full], rows[full]
+        if lower:
+            self.distinct = [w.lower() for w in self.distinct]  # A-Z only, as these are bytes
         self.codes, self.rows = codes, rows
         self.sizes = np.bincount(rows, minlength=len(texts))
         self.first = np.cumsum(self.sizes) - self.sizes

@@ -76,7 +76,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = {name: grams for name, grams in sets.items() if grams}
     if not sets:
         raise ValueError("no template has a word")
-    low = threshold / (2 - threshold)
+    low = threshold / (2 - threshold) - 1e-9  # a bound may not lose a passage to rounding
     least = min(map(len, sets.values())) * low
     most = max(map(len, sets.values())) / low
     table = F.array(*[
@@ -136,7 +136,6 @@ WITH lines AS (
 SELECT doc_id, passage, licence, n_bigrams, n_shared, round(dice, 9) AS dice FROM (
   SELECT doc_id, passage, licence, len(c.g)::BIGINT AS n_bigrams, len(list_intersect(c.g, t.g))::BIGINT AS n_shared,
          2.0::DOUBLE * len(list_intersect(c.g, t.g)) / (len(c.g) + len(t.g)) AS dice
-  FROM cut c JOIN templates t ON len(c.g) >= {threshold} / (2 - {threshold}) * len(t.g)
-       AND len(t.g) >= {threshold} / (2 - {threshold}) * len(c.g)
+  FROM cut c JOIN templates t ON 2 * least(len(c.g), len(t.g)) >= ({threshold} - 1e-9) * (len(c.g) + len(t.g))
 ) WHERE dice >= {threshold}
 """

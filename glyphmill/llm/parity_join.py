@@ -293,9 +293,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that have the smallest key of their group, all columns as they are. Where keys
     repeat or are null, rows are numbered as they are stored and the first of a group stays."""
-    rows = C.identified(docs, key, "_row", *[c for c in docs.columns if c != key])
-    stay = groups(rows, "_row", text).where(F.col("component_id") == F.col("_row")).select("_row")
-    return rows.join(stay, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = C.free_name(docs, "_row")
+    rows = C.identified(docs, key, row, *[c for c in docs.columns if c != key])
+    stay = groups(rows, row, text).where(F.col("component_id") == F.col(row)).select(row)
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # The same rows in SQL, from the pairs that share a shingle.

@@ -228,10 +228,11 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Rows are matched to their spans by key and text; of spans that overlap,
     the first is masked and the others are left out. Columns, rows and nulls are kept.
     """
-    rows = C.identified(docs, key, "_row", *[c for c in docs.columns if c != key])
-    spans = find(rows, "_row", text).where(F.size("spans") > 0)
+    row, held = C.free_name(docs, "_row"), C.free_name(docs, "_held")
+    rows = C.identified(docs, key, row, *[c for c in docs.columns if c != key])
+    spans = find(rows, row, text).where(F.size("spans") > 0).withColumnRenamed("spans", held)
     body, start = F.col(f"`{text}`"), F.lit(0).cast("bigint")
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(
+    by_place = F.array_sort(F.transform(held, lambda s: F.struct(
         s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     apart = F.aggregate(
         by_place, F.slice(by_place, F.lit(1), F.lit(0)),
@@ -239,12 +240,12 @@ def masked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             s["start"] >= F.coalesce(F.try_element_at(kept, F.lit(-1))["stop"], start), F.concat(kept, F.array(s))
         ).otherwise(kept),
     )
-    rows = rows.join(spans, "_row", "left").withColumn("_apart", F.when(F.col("spans").isNotNull(), apart))
-    ends = F.concat(F.array(start), F.transform("_apart", lambda s: s["stop"]))
-    pieces = F.zip_with("_apart", F.slice(ends, F.lit(1), F.size("_apart")), lambda s, place: F.concat(
+    rows = rows.join(spans, row, "left").withColumn(held, F.when(F.col(held).isNotNull(), apart))
+    ends = F.concat(F.array(start), F.transform(held, lambda s: s["stop"]))
+    pieces = F.zip_with(held, F.slice(ends, F.lit(1), F.size(held)), lambda s, place: F.concat(
         F.substring(body, (place + 1).cast("int"), (s["start"] - place).cast("int")), F.lit("["), s["kind"], F.lit("]")))
     rest = F.substring(body, (F.element_at(ends, -1) + 1).cast("int"), F.length(body))
-    changed = F.when(F.col("_apart").isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    changed = F.when(F.col(held).isNull(), body).otherwise(F.concat(F.array_join(pieces, ""), rest))
     return rows.select(*[
         changed.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns
     ])

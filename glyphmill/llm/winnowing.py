@@ -165,9 +165,10 @@ def contaminated() -> Column:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that are not contaminated, all columns as they are."""
-    rows = C.identified(docs, key, "_row", *[c for c in docs.columns if c != key])
-    bad = contamination(rows, items, "_row", text).where(contaminated()).select("_row")
-    return rows.join(bad, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = C.free_name(docs, "_row")
+    rows = C.identified(docs, key, row, *[c for c in docs.columns if c != key])
+    bad = contamination(rows, items, row, text).where(contaminated()).select(row)
+    return rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 # The same rows in SQL, from all windows: one is a text of words with spaces between.
