@@ -18,7 +18,7 @@ PERCENT = 80
 PARTS, PART_BITS = 0.6, 40
 # Sets below this size have a part for every element.
 SMALL = 32
-# 64-bit words of the sketch that candidates are held against.
+# Least 64-bit words of the sketch that candidates are held against; it grows with the set.
 SKETCH = 16
 # A shingle in this share of a task's documents is common: parts without one are taken first.
 COMMON = 0.004
@@ -115,11 +115,18 @@ def keys_of(sets: Sets, chosen: np.ndarray, common: np.ndarray, percent: int, pa
     return np.concatenate(out_rows), np.concatenate(out_keys), thin
 
 
-def sketches(sets: Sets) -> np.ndarray:
-    """Per row SKETCH words: each element flips one bit, so bits differ no more than elements."""
-    bits = (C.mix(sets.items ^ np.uint64(5)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    flips = np.bincount(sets.rows * 64 * SKETCH + bits, minlength=len(sets.sizes) * 64 * SKETCH) & 1
-    return np.packbits(flips.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(-1, SKETCH)
+def sketches(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """(words, sizes): per row a sketch of two to four bits per element, a power of two of words. Each
+    element flips one bit, so sketches differ in no more bits than sets in elements. A sketch whose
+    halves are joined by exclusive or is the sketch of half the size."""
+    sizes = np.left_shift(1, np.frexp(np.maximum(sets.sizes, 1).astype(float))[1]) * 2 // 64
+    sizes = np.maximum(sizes, SKETCH)
+    first = np.cumsum(sizes) - sizes
+    bits = C.mix(sets.items ^ np.uint64(5)) & (64 * sizes[sets.rows] - 1).astype(np.uint64)
+    words = np.zeros(int(sizes.sum()), np.uint64)
+    np.bitwise_xor.at(
+        words, first[sets.rows] + (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63)))
+    return words, sizes
 
 
 def _mapped(texts: DataFrame, work, schema: str, shingle: int) -> DataFrame:
@@ -134,23 +141,29 @@ def _class(sets: Sets) -> np.ndarray:
     return C.mix(sets.sums(1) ^ C.mix(sets.sums(2) + sets.sizes.astype(np.uint64)))
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), C.signed(values))
+
+
 def _summaries(texts: DataFrame, shingle: int) -> DataFrame:
-    """Per row its set's size and two sums; and, with a null row, the common shingles of each chunk."""
+    """Per row its set's size, class and sketch; and, with a null row, the common shingles of each chunk."""
     def work(batch, sets):
+        classes = _class(sets)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_row"), pa.array(sets.sizes, pa.int64()), C.signed(_class(sets))],
-            names=["_row", "n", "class"],
+            [batch.column("_row"), pa.array(sets.sizes, pa.int64()), C.signed(classes), _lists(*sketches(sets))],
+            names=["_row", "n", "class", "sketch"],
         )
-        _, alone = np.unique(_class(sets), return_index=True)
+        _, alone = np.unique(classes, return_index=True)
         items = sets.items[np.isin(sets.rows, alone)]
         items, counts = np.unique(items, return_counts=True)
         often = counts >= max(4, COMMON * len(alone))
+        size = int(often.sum())
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(int(often.sum()), pa.int64()), pa.array(counts[often], pa.int64()), C.signed(items[often])],
-            names=["_row", "n", "class"],
+            [pa.nulls(size, pa.int64()), pa.array(counts[often], pa.int64()), C.signed(items[often]),
+             pa.nulls(size, pa.list_(pa.int64()))], names=["_row", "n", "class", "sketch"],
         )
 
-    return _mapped(texts, work, "_row bigint, n bigint, class bigint", shingle)
+    return _mapped(texts, work, "_row bigint, n bigint, class bigint, sketch array<bigint>", shingle)
 
 
 def _memberships(texts: DataFrame, shingle: int, common: np.ndarray, percent: int, parts: float) -> DataFrame:
@@ -176,46 +189,54 @@ def _memberships(texts: DataFrame, shingle: int, common: np.ndarray, percent: in
     return texts.mapInArrow(mapped, "key bigint, class bigint, n int")
 
 
-def _set_table(texts: DataFrame, wanted: DataFrame, shingle: int, label: str) -> DataFrame:
-    """(class, n, sketch, items) of the classes in `wanted` (_row, class)."""
+def _set_table(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(class, items) of the classes in `wanted` (_row, class)."""
     def work(batch, sets):
-        arrays = [
-            batch.column("class"), pa.array(sets.sizes, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(sets.sizes) + 1) * SKETCH, pa.int32()),
-                                     C.signed(sketches(sets).ravel())),
-            pa.ListArray.from_arrays(pa.array(np.concatenate([sets.first, [len(sets.items)]]), pa.int32()),
-                                     C.signed(sets.items)),
-        ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["class", "n", "sketch", "items"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("class"), _lists(sets.items, sets.sizes)], names=["class", "items"])
 
     chosen = texts.join(wanted, "_row")
-    schema = "class bigint, n bigint, sketch array<bigint>, items array<bigint>"
-    return C.staged(_mapped(chosen, work, schema, shingle), label)
+    return C.staged(_mapped(chosen, work, "class bigint, items array<bigint>", shingle), "items")
+
+
+def _folded(sketch: Column, to: Column) -> Column:
+    """The sketch at half its size, if it is larger than `to`."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) > F.size(to), F.zip_with(
+        F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y)
+    )).otherwise(sketch)
 
 
 def _close(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
-    """Whether sketches and sizes leave room for a link."""
+    """Whether sketches and sizes leave room for a link. Sizes that do differ by less than half, so
+    their sketches by one fold at most."""
     apart = F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (
-        apart * (100 + percent) <= (na + nb) * (100 - percent))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the class pairs (a, b), those whose sets are linked."""
-    sizes = sets.select("class", "n", "sketch")
-    left = sizes.select(*[F.col(c).alias(d) for c, d in (("class", "a"), ("n", "na"), ("sketch", "sa"))])
-    right = sizes.select(*[F.col(c).alias(d) for c, d in (("class", "b"), ("n", "nb"), ("sketch", "sb"))])
-    near = C.staged(
-        pairs.join(left, "a").join(right, "b")
-        .where(_close(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b"), "near",
+        F.zip_with(_folded(a, b), _folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+        lambda s, x: s + x)
+    return F.when(100 * F.least(na, nb) >= percent * F.greatest(na, nb),
+                  apart * (100 + percent) <= (na + nb) * (100 - percent)).otherwise(False)
+
+
+def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of the class pairs (a, b), those whose sketches leave room for a link."""
+    left, right = (
+        reps.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch")], F.col("class").alias(side))
+        for side in ("a", "b")
     )
+    return C.staged(pairs.join(left, "a").join(right, "b").where(_close(
+        F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near")
+
+
+def _verified(near: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Of the class pairs (a, b), those whose sets are linked. Only their sets are made again."""
+    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = _set_table(texts, wanted.join(reps, "class").select("_row", "class"), shingle)
     left = sets.select(F.col("class").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("class").alias("b"), F.col("items").alias("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    return near.join(left, "a").join(right, "b").select(
+    return C.staged(near.join(left, "a").join(right, "b").select(
         "a", "b", shared.alias("s"), (F.size("ia") + F.size("ib")).alias("t")
-    ).where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b")
+    ).where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b"), "links")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -241,8 +262,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     documents = summaries.where("_row is not null").count()
     often = often.where(F.col("n") >= max(4, COMMON * documents)).select("class").toPandas()["class"]
     common = np.sort(often.to_numpy(np.int64).view(np.uint64))
-    members = summaries.where("_row is not null")
-    reps = members.where("n > 0").groupBy("class").agg(F.min("_row").alias("_row"))
+    members = summaries.where("_row is not null").select("_row", "n", "class")
+    reps = summaries.where("n > 0 and _row is not null").groupBy("class").agg(
+        F.min_by(F.struct("_row", "n", "sketch"), "_row").alias("r")).select("class", "r.*")
+    reps = C.staged(reps, "classes")
 
     parts = PARTS
     while True:
@@ -256,25 +279,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
             break
         parts *= 2
     met = met.where("key is not null")
-    wanted = met.select("class").distinct().join(reps, "class").select("_row", "class")
-    sets = _set_table(texts, wanted, shingle, "items")
-
     star = met.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    links = C.staged(_verified(star, sets, percent), "links")
+    star = C.staged(star, "star")
+    links = _verified(_near(star, reps, percent), texts, reps, shingle, percent)
     roots = C.components(links)
     now = met.join(roots, met["class"] == roots["node"], "left").select(
-        "key", "class", "n", F.coalesce("root", "class").alias("root"))
+        "key", "class", F.coalesce("root", "class").alias("root"))
     now = C.staged(now, "met")
     several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    now = now.join(several.select("key"), "key", "left_semi").join(sets.select("class", "sketch"), "class")
-    a = now.select("key", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "root", "sketch")])
-    b = now.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "root", "sketch")])
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("root_a") < F.col("root_b")) & _close(
+    now = now.join(several.select("key"), "key", "left_semi").join(reps.select("class", "n", "sketch"), "class")
+    a = now.select(F.col("key").alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "root", "sketch")])
+    b = now.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "root", "sketch")])
+    across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _close(
         F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent))
-    pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = C.staged(_verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if more.limit(1).count():
+    pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+    pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near")
+    if pairs.limit(1).count():
+        more = _verified(pairs, texts, reps, shingle, percent)
         roots = C.components(links.unionByName(more))
 
     # The smallest key of a class, then of its group, then back to every row.

@@ -235,7 +235,9 @@ def test_sketches_never_differ_more_than_sets():
     rng = random.Random(1)
     texts = [" ".join(rng.choices("abcdefgh", k=rng.randint(5, 400))) for _ in range(30)]
     sets = parity_join.Sets(pa.array(texts), 5)
-    bits = parity_join.sketches(sets)
+    words, sizes = parity_join.sketches(sets)
+    assert set(sizes) == {parity_join.SKETCH}
+    bits = words.reshape(-1, parity_join.SKETCH)
     items = [set(sets.items[sets.rows == i].tolist()) for i in range(len(texts))]
     for i in range(len(texts)):
         for j in range(i):
