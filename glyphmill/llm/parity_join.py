@@ -20,6 +20,8 @@ PARTS, PART_BITS = 0.6, 40
 SMALL = 32
 # Least 64-bit words of the sketch that candidates are held against; it grows with the set.
 SKETCH = 16
+# So many of a class's keys are looked through for an earlier one of a pair.
+FIRSTS = 16
 # A shingle in this share of a task's documents is common: parts without one are taken first.
 COMMON = 0.004
 
@@ -100,9 +102,10 @@ def keys_of(sets: Sets, chosen: np.ndarray, common: np.ndarray, percent: int, pa
         rows, part, level = rows[starts], part[starts], level[starts]
         full = value != 0
         rows, part, level, value, often = rows[full], part[full], level[full], value[full], often[full]
-        key = C.mix(value ^ C.mix(part + (level << np.uint64(56))))
-        # The order has to follow from place and bits of a part, nothing else of its set.
-        order = np.lexsort((key, often, rows))
+        # The order of keys is that of the parts, and has to follow from place and bits of a part alone.
+        key = C.mix(value ^ C.mix(part + (level << np.uint64(56)))) >> np.uint64(2)
+        key |= often.astype(np.uint64) << np.uint64(62)
+        order = np.lexsort((key, rows))
         rows, key = rows[order], key[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
         given = np.bincount(rows, minlength=len(sizes))
@@ -287,11 +290,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
         "key", "class", F.coalesce("root", "class").alias("root"))
     now = C.staged(now, "met")
     several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    now = now.join(several.select("key"), "key", "left_semi").join(reps.select("class", "n", "sketch"), "class")
-    a = now.select(F.col("key").alias("key_a"), *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "root", "sketch")])
-    b = now.select(F.col("key").alias("key_b"), *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "root", "sketch")])
-    across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & _close(
-        F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent))
+    now = C.staged(now.join(several.select("key"), "key", "left_semi"), "open")
+    firsts = now.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
+    now = now.join(reps.select("class", "n", "sketch").join(firsts, "class"), "class")
+    held = ("key", "class", "n", "root", "sketch", "firsts")
+    a, b = (now.select(*[F.col(c).alias(f"{c}_{side}") for c in held]) for side in ("a", "b"))
+    # Two that meet at many keys are held against each other at the first, if it is among either's first.
+    first = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")), F.col("key_a")) >= F.col("key_a")
+    across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & F.when(
+        first, _close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).otherwise(False))
     pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
     pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near")
     if pairs.limit(1).count():
