@@ -93,12 +93,11 @@ def pair_counts(t):
     return merges.pair_counts(merges.symbol_state(merges.spread(pieces)))
 
 
-# The training text of the merged vocabularies: lines of at most 32,768 bytes. The
-# coverage of 0.9995 leaves out the rarest characters.
+# The training text of the merged vocabularies. The coverage of 0.9995 leaves out the
+# rarest characters.
 SQL_LINES = """
 source AS (
-  SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
-  WHERE octet_length(encode(line)) <= 32768
+  SELECT unnest(string_split(text, chr(10))) AS text FROM documents
 )"""
 SQL_COVERED = """
 piece_chars AS (
@@ -141,15 +140,26 @@ numbers AS (
 
 
 def sql_encoded(text: str, key: str = "doc_id", table: str = "documents") -> str:
-    """(key, i, symbol): merged symbols of each text in order."""
-    pieces = f"regexp_extract_all({text}, '[^ \\n]+|\\n')"
-    marked = f"list_transform({pieces}, lambda w: CASE WHEN w = chr(10) THEN w ELSE '▁' || w END)"
+    """(key, i, id, token): units of each text in order. A word mark stands at the start of the text
+    and for every run of spaces, nowhere else. Merged symbols and covered characters are units with
+    an id; so is a run of other characters, without one."""
+    pieces = f"list_filter(string_split({text}, ' '), lambda w: w <> '')"
+    marked = f"list_transform({pieces}, lambda w: '▁' || w)"
     state = f"list_transform({marked}, lambda w: {SQL_STATE.format('w')})"
     return f"""
-encoded AS (
+symbols AS (
   SELECT {key}, generate_subscripts(x, 1) AS i, unnest(x)::BIGINT AS symbol
   FROM (SELECT {key}, regexp_extract_all({sql_joined(f"array_to_string({state}, '|')")}, '[0-9]+') AS x
         FROM {table})
+), spelled AS (
+  SELECT {key}, i, n.id, coalesce(t.txt, chr(least(symbol, 1114111)::INTEGER)) AS txt,
+         coalesce(lag(n.id IS NULL) OVER (PARTITION BY {key} ORDER BY i), false) AS after_unknown
+  FROM symbols LEFT JOIN numbers n USING (symbol) LEFT JOIN text{ROUNDS} t ON t.id = symbol
+), encoded AS (
+  SELECT {key}, unit AS i, any_value(id) AS id, string_agg(txt, '' ORDER BY i) AS token
+  FROM (SELECT *, sum(CASE WHEN id IS NULL AND after_unknown THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY {key} ORDER BY i) AS unit FROM spelled)
+  GROUP BY {key}, unit
 )"""
 
 
@@ -157,7 +167,7 @@ encoded AS (
 WITH {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
-FROM encoded LEFT JOIN numbers USING (symbol) GROUP BY doc_id
+FROM encoded GROUP BY doc_id
 """)
 def merged_encode(t):
     """The merged ids of every document."""
@@ -170,8 +180,7 @@ latin AS (
   SELECT doc_id, array_to_string(list_transform({sql_bytes('text')}, lambda b: chr(b::INTEGER)), '') AS text
   FROM documents
 ), source AS (
-  SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM latin)
-  WHERE octet_length(encode(line)) <= 32768
+  SELECT unnest(string_split(text, chr(10))) AS text FROM latin
 )"""
 
 
@@ -179,7 +188,7 @@ latin AS (
 WITH {SQL_BYTE_SOURCE}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text', table='latin')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
-FROM encoded LEFT JOIN numbers USING (symbol) GROUP BY doc_id
+FROM encoded GROUP BY doc_id
 """)
 def byte_merged(t):
     """Merges over the UTF-8 bytes of the words."""
@@ -193,8 +202,7 @@ coded AS (
   SELECT doc_id, string_agg(coalesce(code, c), '#' ORDER BY i) AS text
   FROM chars LEFT JOIN entries ON ch = c GROUP BY doc_id
 ), source AS (
-  SELECT line AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM coded)
-  WHERE octet_length(encode(line)) <= 32768
+  SELECT unnest(string_split(text, chr(10))) AS text FROM coded
 )"""
 
 
@@ -202,7 +210,7 @@ coded AS (
 WITH {SQL_CODED}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text', table='coded')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
-FROM encoded LEFT JOIN numbers USING (symbol) GROUP BY doc_id
+FROM encoded GROUP BY doc_id
 """)
 def input_method_merged(t):
     """Merges over texts written in a dictionary's codes."""
@@ -213,7 +221,7 @@ def input_method_merged(t):
 SQL_REPACKED = f"""
 WITH {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text')},
-cells AS (SELECT doc_id, i, coalesce(id, 0) AS token FROM encoded LEFT JOIN numbers USING (symbol)),
+cells AS (SELECT doc_id, i, token, id FROM encoded),
 token_firsts AS (SELECT token, count(*) AS n, min(doc_id) AS doc_id FROM cells GROUP BY token),
 token_ranks AS (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, doc_id, i) - 1 AS rank
@@ -230,7 +238,7 @@ def repacked(t):
 
 
 @query("repack_train", f"""{SQL_REPACKED}
-SELECT token::VARCHAR AS token, rank, code FROM remap
+SELECT token, rank, code FROM remap
 UNION ALL SELECT '<unk>', count(*), hex(encode(chr((32 + count(*))::INTEGER))) FROM remap
 """)
 def repack_train(t):
@@ -258,7 +266,7 @@ def byte_level_vocab(t):
 
 
 @query("merged_token_counts", f"""{SQL_REPACKED}
-SELECT token, n FROM remap
+SELECT coalesce(id, 0)::BIGINT AS token, count(*) AS n FROM cells GROUP BY ALL
 """)
 def merged_token_counts(t):
     fitted = tokenizer(t).fit(t.documents)

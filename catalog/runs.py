@@ -209,9 +209,10 @@ WITH placed AS (
               OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last
   FROM placed
 )
-SELECT run, min(CASE WHEN value = top THEN step END) AS best_step, any_value(top) AS best,
-       min(CASE WHEN i - last >= 3 THEN step END) AS stop_step
-FROM (SELECT *, min(value) OVER (PARTITION BY run) AS top FROM marked) GROUP BY run
+SELECT run, min(CASE WHEN value = top THEN step END) AS best_step, any_value(top) AS best, any_value(stop) AS stop_step
+FROM (SELECT *, min(value) OVER (PARTITION BY run) AS top
+      FROM (SELECT *, min(CASE WHEN i - last >= 3 THEN step END) OVER (PARTITION BY run) AS stop FROM marked)
+      WHERE stop IS NULL OR step <= stop) GROUP BY run
 """)
 def stop_rule(t):
     """Event values as losses in event order: five long runs."""

@@ -34,16 +34,17 @@ def small_rows(df: DataFrame, limit: int = MAX_ENTRIES) -> list:
 def dense_array(entries: dict[int, object], missing: object, kind: str) -> Column:
     """Literal array with `entries[i]` at index i and `missing` between them.
 
-    `kind` is the element type. Strings may be any text without U+001F; a missing
-    string is the empty one.
+    `kind` is the element type; a missing string is null.
     """
     if not entries:
         return F.array().cast(f"array<{kind}>")
+    if kind == "string":
+        return F.from_json(F.lit(json.dumps([entries.get(i) for i in range(max(entries) + 1)])), "array<string>")
     cells = [missing] * (max(entries) + 1)
     for index, value in entries.items():
         cells[index] = value
     array = F.split(F.lit(_CELL.join(str(cell) for cell in cells)), _CELL)
-    return array if kind == "string" else array.cast(f"array<{kind}>")
+    return array.cast(f"array<{kind}>")
 
 
 def dense_lists(entries: dict[int, list[int]]) -> Column:
@@ -59,7 +60,7 @@ def at(table: Column, index: Column, missing: object) -> Column:
 
 def text_at(table: Column, index: Column, default: Column) -> Column:
     """The string at `index`, or `default` where there is none."""
-    return F.coalesce(F.nullif(F.get(table, index), F.lit("")), default)
+    return F.coalesce(F.get(table, index), default)
 
 
 def char_table(df: DataFrame, char_col: str, value_col: str, missing: object, kind: str,

@@ -57,11 +57,14 @@ def nth_key(rows: DataFrame, n: int, key: str):
 
 
 def max_examples(docs: DataFrame, n: int | None, key: str = "doc_id") -> DataFrame:
-    """The first `n` rows by key, blank ones included; all rows for None.
+    """The first `n` rows by key, blank ones included; all rows for None, none for 0.
+    Rows that share the last key are all in.
 
     Only keys are sorted. The rows themselves are filtered in place, so the texts
     are not shuffled and the cut reaches the scan.
     """
+    if n is not None and n <= 0:
+        return docs.where(F.lit(False))
     top = None if n is None else nth_key(docs, n, key)
     return docs if top is None else docs.where(F.col(key) <= F.lit(top))
 

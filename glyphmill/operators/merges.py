@@ -31,8 +31,6 @@ BYTE_LEVEL_PATTERN = (
 
 # How many of the best pairs a round looks at.
 _CANDIDATES = 256
-# Without exactness, a round takes pairs down to this share of the best one's count.
-_LOOSE_SHARE = 0.5
 # A task forgets the pieces it has encoded when it holds more than this many.
 _MEMO_PIECES = 500_000
 # Up to this length, looking at every pair again is faster than keeping a queue.
@@ -48,10 +46,15 @@ def byte_level_table() -> list[int]:
     return [b if b in kept else next(spare) for b in range(256)]
 
 
-def words(text: Column, breaks: bool = False) -> Column:
-    """Runs of characters between spaces and line breaks; `breaks` keeps the breaks."""
-    spaced = F.replace(text, F.lit("\n"), F.lit(" \n " if breaks else " "))
-    return F.array_remove(F.split(spaced, " "), "")
+def words(text: Column) -> Column:
+    """Runs of characters between spaces and line breaks, as a vocabulary is learned from."""
+    return F.array_remove(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " "), "")
+
+
+def spaced_words(text: Column) -> Column:
+    """Runs of characters between spaces, as a text is encoded: a line break is within a
+    run, no merge knows it, and no word mark follows it."""
+    return F.array_remove(F.split(text, " "), "")
 
 
 def byte_level_pieces(text: Column) -> Column:
@@ -159,43 +162,35 @@ class MergeModel:
         return model
 
 
-def safe_batch(model: MergeModel, ranked: list, room: int, all_seen: bool, exact: bool) -> int:
+def safe_batch(model: MergeModel, ranked: list, room: int, all_seen: bool) -> int:
     """Add the leading pairs of `ranked` to the model; returns how many.
 
     Pairs are taken while they share no symbol with one already taken. A new pair
     made by a merge is at most as frequent as an old pair that shares a symbol
     with it, so every taken pair above the first such pair's count is what
     one-at-a-time merging would choose. A pair of equal sides, or one whose text
-    exists already, can make more frequent pairs: it ends the batch. With `exact`
-    off, pairs that share a symbol are passed over, and the batch goes on down to
-    `_LOOSE_SHARE` of the best count.
+    exists already, can make more frequent pairs: it ends the batch.
     """
     taken, used, texts = [], set(), set(model.by_text)
     bound, open_ = (0 if all_seen else ranked[-1].n), True
-    floor = 0 if exact else ranked[0].n * _LOOSE_SHARE
     for row in ranked:
-        if row.n < floor:
-            break
         if row.left in used or row.right in used:
-            if exact:
-                bound = row.n
-                break
-        elif open_ and len(taken) < room:
+            bound = row.n
+            break
+        if open_ and len(taken) < room:
             joined = model.text(row.left) + model.text(row.right)
-            open_ = not exact or (row.left != row.right and joined not in texts)
+            open_ = row.left != row.right and joined not in texts
             taken.append(row)
             used.update((row.left, row.right))
             texts.add(joined)
-    if exact:
-        taken = taken[:1] + [row for row in taken[1:] if row.n > bound]
+    taken = taken[:1] + [row for row in taken[1:] if row.n > bound]
     for row in taken:
         model.add(row.left, row.right, row.n)
     return len(taken)
 
 
 def train_merges(pieces: DataFrame, merges: int, min_count: int = 1,
-                 chars: Sequence[str] | None = None, exact: bool = True,
-                 write_every: int = 8) -> MergeModel:
+                 chars: Sequence[str] | None = None, write_every: int = 8) -> MergeModel:
     """Learn `merges` merges from (piece, n); with `chars`, other characters join nothing.
 
     Each round is one job over the distinct pieces; only its best pairs reach the
@@ -223,7 +218,7 @@ def train_merges(pieces: DataFrame, merges: int, min_count: int = 1,
         )
         if not ranked:
             break
-        safe_batch(model, ranked, merges - len(model.pairs), len(ranked) < _CANDIDATES, exact)
+        safe_batch(model, ranked, merges - len(model.pairs), len(ranked) < _CANDIDATES)
         rounds += 1
     return model
 
@@ -277,26 +272,44 @@ def _merge_long(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -
     return [s for s in ids if s >= 0]
 
 
-def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unknown: int,
-               mark: str = "") -> Column:
-    """Vocabulary ids of an array of pieces, in order, in one array. `mark` is put
-    before each piece but line breaks.
+def _units(joined: list[int], numbers: dict[int, int], text) -> Iterator[tuple[int | None, str]]:
+    """(id, text) of each symbol; neighbours without an id are one unit, with id None."""
+    run = ""
+    for symbol in joined:
+        number = numbers.get(symbol)
+        if number is None:
+            run += text(symbol)
+            continue
+        if run:
+            yield None, run
+            run = ""
+        yield number, text(symbol)
+    if run:
+        yield None, run
+
+
+def _mapped(pieces: Column, model: MergeModel, numbers: dict[int, int], mark: str, kind: str, cell) -> Column:
+    """An array with `cell(id, text)` of each unit of an array of pieces, in order.
 
     Runs where the text is: the merges go to the tasks and each task remembers the
     pieces it has met, so nothing is shuffled. `numbers` maps symbols to ids.
     """
-    ranks = {}
+    ranks: dict[tuple[int, int], tuple[int, int]] = {}
     for rank, (left, right, joined) in enumerate(model.pairs):
         ranks.setdefault((left, right), (rank, joined))
+    texts = dict(model.texts)
+    values = pa.int32() if kind == "int" else pa.string()
+
+    def text(symbol: int) -> str:
+        return texts.get(symbol) or chr(symbol)
 
-    def ids_of(piece: str) -> list[int]:
-        marked = piece if piece == "\n" else mark + piece
-        joined = merge_symbols([ord(c) for c in marked], ranks)
-        return [numbers.get(s, unknown) for s in joined]
+    def cells_of(piece: str) -> list:
+        joined = merge_symbols([ord(c) for c in mark + piece], ranks)
+        return [cell(number, spelled) for number, spelled in _units(joined, numbers, text)]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(f"array<{kind}>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo: dict[str, list[int]] = {}
+        memo: dict[str, list] = {}
         for rows in batches:
             coded = rows.flatten().dictionary_encode()
             distinct = coded.dictionary.to_pylist()
@@ -304,23 +317,37 @@ def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unkno
                 memo.clear()
             for piece in distinct:
                 if piece not in memo:
-                    memo[piece] = ids_of(piece)
-            yield _gather([memo[p] for p in distinct], coded.indices.to_numpy(), rows)
+                    memo[piece] = cells_of(piece)
+            yield _gather([memo[p] for p in distinct], coded.indices.to_numpy(), rows, values)
 
     return encode(pieces)
 
 
-def _gather(ids: list[list[int]], pieces: np.ndarray, rows: pa.Array) -> pa.Array:
-    """The ids of every row's pieces in a row, as one list array."""
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, sizes.sum())
+def merged_ids(pieces: Column, model: MergeModel, numbers: dict[int, int], unknown: int,
+               mark: str = "", runs: dict[str, int] | None = None) -> Column:
+    """Vocabulary ids of an array of pieces, in order, in one array, `mark` put before each piece.
+    Neighbouring unknown characters of a piece are one id: that of their text in `runs`, else `unknown`."""
+    runs = runs or {}
+    return _mapped(pieces, model, numbers, mark, "int",
+                   lambda number, text: runs.get(text, unknown) if number is None else number)
+
+
+def merged_texts(pieces: Column, model: MergeModel, numbers: dict[int, int], mark: str = "") -> Column:
+    """The same units as texts, unknown ones as they stand in the text."""
+    return _mapped(pieces, model, numbers, mark, "string", lambda number, text: text)
+
+
+def _gather(cells: list[list], pieces: np.ndarray, rows: pa.Array, kind: pa.DataType) -> pa.Array:
+    """The cells of every row's pieces in a row, as one list array."""
+    sizes = np.fromiter(map(len, cells), np.int64, len(cells))
+    flat = pa.array(list(chain.from_iterable(cells)), kind)
     starts = (np.cumsum(sizes) - sizes)[pieces]
     ends = np.concatenate([[0], np.cumsum(sizes[pieces])])
     place = np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes[pieces])
     counts = rows.value_lengths().fill_null(0).to_numpy()
     offsets = ends[np.concatenate([[0], np.cumsum(counts)])]
     return pa.ListArray.from_arrays(
-        pa.array(offsets, pa.int32()), pa.array(flat[place], pa.int32()),
+        pa.array(offsets, pa.int32()), flat.take(pa.array(place)),
         mask=rows.is_null() if rows.null_count else None,
     )
 

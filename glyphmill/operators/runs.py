@@ -148,7 +148,7 @@ def stop_rule(logs: DataFrame, bucket: Column, patience: int = 3, delta: float =
 
     An evaluation improves when it beats the best one before it by more than
     `delta`; the first evaluation that is the `patience`-th without improvement
-    stops the run (null if none). All of it is running minima and maxima, cut into
+    stops the run (null if none), and what comes after it does not count. All of it is running minima and maxima, cut into
     buckets so that one long run is spread over tasks.
     """
     order, one = [F.col("step")], F.lit(1).cast("bigint")
@@ -166,9 +166,12 @@ def stop_rule(logs: DataFrame, bucket: Column, patience: int = 3, delta: float =
     last = {"_last": ("max", F.when(better, F.col("_count")), True)}
     marked = running(placed, last, order, bucket, ["run"])
     stale = F.col("_count") - F.col("_last") >= patience
-    return marked.groupBy("run").agg(
+    marked = marked.withColumn("_lowest", first | (F.col("value") < F.col("_best")))
+    stops = marked.groupBy("run").agg(F.min(F.when(stale, F.col("step"))).alias("stop_step"))
+    return marked.join(stops, "run").where(
+        F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step"))
+    ).groupBy("run").agg(
         # The last row below everything before it is the first with the smallest value.
-        F.max(F.when(first | (F.col("value") < F.col("_best")), F.col("step"))).alias("best_step"),
-        F.min("value").alias("best"),
-        F.min(F.when(stale, F.col("step"))).alias("stop_step"),
+        F.max(F.when(F.col("_lowest"), F.col("step"))).alias("best_step"),
+        F.min("value").alias("best"), F.first("stop_step").alias("stop_step"),
     )

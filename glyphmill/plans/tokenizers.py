@@ -17,7 +17,6 @@ DEFAULT_SPECIALS = {
 }
 DEFAULT_VOCAB = 50_257
 TEXT_COVERAGE, CODE_COVERAGE = 0.9995, 1.0
-MAX_LINE_BYTES = 32_768
 LINE_VOCAB, LINE_MIN_COUNT = 52_000, 2
 LINE_SPECIALS = ["<s>", "<pad>", "</s>", "<unk>", "<mask>"]
 
@@ -141,14 +140,13 @@ class MergedTokenizer(Tokenizer):
 
     def __init__(self, config: TokenizerConfig, key: str = "doc_id", text: str = "text",
                  dictionary: DataFrame | None = None, phrases: DataFrame | None = None,
-                 merges: int | None = None, exact: bool = True):
+                 merges: int | None = None, max_line_bytes: int | None = None,
+                 coverage: float | None = None):
         super().__init__(config, key, text)
-        self.dictionary, self.phrases = dictionary, phrases
-        self.merges, self.exact = merges, exact
-
-    @property
-    def coverage(self) -> float:
-        return TEXT_COVERAGE if self.form == "text" else CODE_COVERAGE
+        self.dictionary, self.phrases, self.merges = dictionary, phrases, merges
+        self.max_line_bytes = max_line_bytes
+        usual = TEXT_COVERAGE if self.form == "text" else CODE_COVERAGE
+        self.coverage = usual if coverage is None else coverage
 
     def written(self, text: Column) -> Column:
         """The text in the form that is cut into words."""
@@ -162,15 +160,12 @@ class MergedTokenizer(Tokenizer):
         rows = corpus.max_examples(docs.select(self.key, self.text), self.config.max_examples, self.key)
         lines = corpus.training_lines(rows, self.text, keep_blank=self.form == "codes")
         written = lines.select(self.written(F.col(self.text)).alias("written"))
-        # Lines over the limit are left out; a short text can hold none.
-        fitting = F.when(F.octet_length("written") <= MAX_LINE_BYTES, F.col("written")).otherwise(
-            F.array_join(
-                F.filter(
-                    F.split("written", "\n"), lambda line: F.octet_length(line) <= MAX_LINE_BYTES
-                ),
-                "\n",
-            )
-        )
+        fitting = F.col("written")
+        if self.max_line_bytes is not None:
+            # Longer lines are left out; a short text can hold none.
+            limit = self.max_line_bytes
+            short = F.filter(F.split("written", "\n"), lambda line: F.octet_length(line) <= limit)
+            fitting = F.when(F.octet_length("written") <= limit, fitting).otherwise(F.array_join(short, "\n"))
         return merges.piece_counts(written, merges.words(fitting), merges.WORD_MARK)
 
     def fit(self, docs: DataFrame) -> "MergedTokenizer":
@@ -185,15 +180,21 @@ class MergedTokenizer(Tokenizer):
         room = self.config.max_vocab_size - len(self.specials) - len(alphabet)
         wanted = self.merges if self.merges is not None else max(room, 0)
         known = alphabet if self.coverage < 1.0 else None
-        self.model = merges.train_merges(pieces, wanted, 1, known, self.exact)
+        self.model = merges.train_merges(pieces, wanted, 1, known)
         self.tokens = merges.merged_vocab(self.model, self.specials, alphabet)
         self.numbers = merges.symbol_numbers(self.model, self.tokens, self.specials)
         return self
 
-    def ids(self, text: Column) -> Column:
-        pieces = merges.words(self.written(text), breaks=True)
+    def ids(self, text: Column, runs: dict[str, int] | None = None) -> Column:
+        """Ids of the text; unknown runs that `runs` knows have its ids."""
+        pieces = merges.spaced_words(self.written(text))
         unknown = self.tokens.index("<unk>")
-        return merges.merged_ids(pieces, self.model, self.numbers, unknown, merges.WORD_MARK)
+        return merges.merged_ids(pieces, self.model, self.numbers, unknown, merges.WORD_MARK, runs)
+
+    def texts(self, text: Column) -> Column:
+        """The same units as texts, unknown runs too."""
+        pieces = merges.spaced_words(self.written(text))
+        return merges.merged_texts(pieces, self.model, self.numbers, merges.WORD_MARK)
 
     @property
     def pad_id(self) -> int:
@@ -214,7 +215,8 @@ class InputMethodTokenizer(MergedTokenizer):
 
 
 class RepackedTokenizer(Tokenizer):
-    """Tokens of a fitted merged tokenizer, each written as 1 to 4 bytes by rank."""
+    """Tokens of a fitted merged tokenizer, each written as 1 to 4 bytes by rank. Tokens are
+    told by their text, so every run of unknown characters is a token of its own."""
 
     def __init__(self, config: TokenizerConfig, base: MergedTokenizer, key: str = "doc_id",
                  text: str = "text"):
@@ -224,17 +226,20 @@ class RepackedTokenizer(Tokenizer):
     def fit(self, docs: DataFrame) -> "RepackedTokenizer":
         rows = corpus.max_examples(docs.select(self.key, self.text), self.config.max_examples, self.key)
         rows = corpus.non_empty(rows, self.text)
-        tokens = self.base.ids(T.py_strip(F.col(self.text)))
+        tokens = self.base.texts(T.py_strip(F.col(self.text)))
         ranked = vocab.ranked_tokens(rows, tokens, self.key)
         self.remap = materialize(repack.assign_byte_codes(ranked), "remap")
         table = {r.token: list(r.code) for r in L.small_rows(self.remap, repack.CODES)}
         self.unknown = table.pop("<unk>")
-        self.codes = {int(token): code for token, code in table.items()}
+        known = {self.base.tokens[i]: i for i in self.base.numbers.values()}
+        first = len(self.base.tokens)
+        self.runs = {text: first + k for k, text in enumerate(t for t in table if t not in known)}
+        self.codes = {known.get(text, self.runs.get(text)): code for text, code in table.items()}
         return self
 
     def ids(self, text: Column) -> Column:
         return repack.repacked_ids(
-            self.base.ids(text), self.codes, self.unknown, encode.BYTE_OFFSET)
+            self.base.ids(text, self.runs), self.codes, self.unknown, encode.BYTE_OFFSET)
 
     @property
     def pad_id(self) -> int:
@@ -266,14 +271,14 @@ def tokenizer_from_config(config: Mapping, n_positions: int, **extra) -> Tokeniz
 
 def byte_level_model(docs: DataFrame, text: str = "text", size: int = LINE_VOCAB,
                      min_count: int = LINE_MIN_COUNT, specials: list[str] = LINE_SPECIALS,
-                     exact: bool = True) -> tuple[merges.MergeModel, list[str]]:
+                     ) -> tuple[merges.MergeModel, list[str]]:
     """(model, tokens in id order): specials, 256 bytes, then merges of pairs seen at
     least `min_count` times."""
     alphabet = sorted(chr(c) for c in merges.byte_level_table())
     lines = docs.select(F.explode(F.split(F.col(text), r"(?<=\n)")).alias("line"))
     pieces = merges.piece_counts(lines, merges.byte_level_pieces(F.col("line")))
     room = max(size - len(specials) - len(alphabet), 0)
-    model = merges.train_merges(pieces, room, min_count, exact=exact)
+    model = merges.train_merges(pieces, room, min_count)
     return model, merges.merged_vocab(model, specials, alphabet, chars_first=True)
 
 

@@ -83,3 +83,11 @@ def test_both_component_maps(spark):
     shape = codes.keys_to_components(F.col("t"), codes.SHAPE_CODE_COMPONENTS)
     assert tuple(df.select(five, shape).first()) == ("工Ⓩ[']" + "[?]", "日重'[?]")
     assert len(codes.FIVE_STROKE_COMPONENTS) == 26 and len(codes.SHAPE_CODE_COMPONENTS) == 27
+
+
+def test_any_code_may_stand_in_a_table(spark):
+    from glyphmill.operators import codes
+
+    table = spark.createDataFrame([("a", "x\x1fy"), ("b", ""), ("c", "#")], "ch string, code string")
+    text = spark.createDataFrame([("abcd",)], "text string")
+    assert text.select(codes.codes_joined(F.col("text"), table)).first()[0] == "x\x1fy####d"

@@ -80,9 +80,10 @@ def stop_by_hand(values, patience=3, delta=0.01):
     for step, value in values:
         better = best is None or best - value > delta
         stale = 0 if better else stale + 1
-        if stop is None and stale >= patience:
-            stop = step
         best = value if best is None else min(best, value)
+        if stale >= patience:
+            stop = step
+            break
     return next(s for s, v in values if v == best), best, stop
 
 

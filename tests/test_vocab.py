@@ -136,3 +136,10 @@ def test_first_passing_widens(spark):
     got = [r.doc_id for r in corpus.first_passing(rows, 5, late).collect()]
     assert got == [900, 901, 902, 903, 904]
     assert corpus.first_passing(rows, 5000, late).count() == 4100
+
+
+def test_no_examples_are_none(spark, docs):
+    from glyphmill.operators import corpus
+
+    assert corpus.max_examples(docs, 0).count() == 0
+    assert corpus.max_examples(docs, None).count() == docs.count()
