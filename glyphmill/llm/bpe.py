@@ -7,14 +7,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.merges import byte_level_table
-from . import common as C
 
-# A task forgets the pieces it has encoded when it holds more than this many.
-_MEMO_PIECES = 300_000
+# A task forgets the words it has encoded when it holds more than this many.
+_MEMO_WORDS = 500_000
 _NEVER = 1 << 62
 
 
@@ -100,6 +101,7 @@ class WordCoder:
         self.pieces = regex.compile(rule.replace(r"\s", r"\p{White_Space}")).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(added))) + ")").split
         self.memo: dict[str, list[int]] = {}
+        self.table: pa.Array | None = None
 
     def piece(self, text: str) -> list[int]:
         chars = [self.bytes[b] for b in text.encode()]
@@ -115,17 +117,30 @@ class WordCoder:
                 continue
             # Lower-casing is by character there: a last sigma is like any other.
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in self.pieces(part):
-                ids = memo.get(piece)
+            # No piece goes over white space, so what stands between is encoded once. Other white
+            # space than these two stays inside and is in no piece.
+            for word in part.replace("\n", " ").split(" "):
+                ids = memo.get(word)
                 if ids is None:
-                    if len(memo) > _MEMO_PIECES:
+                    if len(memo) > _MEMO_WORDS:
                         memo.clear()
-                    ids = memo[piece] = self.piece(piece)
+                    ids = memo[word] = [i for piece in self.pieces(word) for i in self.piece(piece)]
                 out += ids
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The texts of a column of id lists; a null list is empty."""
+        if self.table is None:
+            self.table = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
+        flat, sizes = ids.flatten(), pc.fill_null(ids.value_lengths(), 0).to_numpy()
+        numbers = flat.to_numpy(zero_copy_only=False)
+        known = (numbers >= 0) & (numbers < len(self.table))
+        tokens = self.table.take(pa.array(np.where(known, numbers, 0)))
+        known &= tokens.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(ids)), sizes)[known]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(ids)))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens.filter(pa.array(known)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 @lru_cache(maxsize=2)
@@ -140,18 +155,17 @@ def vocabulary_path() -> str:
 
 
 def _mapped(docs: DataFrame, column: str, work, out: str, kind: str) -> DataFrame:
-    """All columns of `docs` and `out` = work(values of `column`), in place of one of that name."""
+    """All columns of `docs` and `out` = work(column as an Arrow array), in place of one of that name."""
     kept = [c for c in docs.columns if c != out]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_value"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    arrow = pa.list_(pa.int32()) if kind.startswith("array") else pa.string()
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Few rows at a time: ids and decoded text are several times the text.
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                values = pa.array([work(v) for v in part.column("_value").to_pylist()], arrow)
+                values = work(part.column("_value"))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], names=[*kept, out])
 
     return source.mapInArrow(mapped, f"{fields}`{out}` {kind}")
@@ -164,11 +178,12 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     existing column named `out` is replaced.
     """
     path = path or vocabulary_path()
-    return _mapped(docs, text, lambda t: coder(path).encode(t or ""), out, "array<int>")
+    return _mapped(docs, text, lambda texts: pa.array(
+        [coder(path).encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32())), out, "array<int>")
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """All columns and the text of each array of ids: the tokens' texts with a space
     between, special ones included, ids outside the vocabulary left out; null is empty."""
     path = path or vocabulary_path()
-    return _mapped(rows, ids, lambda v: coder(path).decode(v or []), out, "string")
+    return _mapped(rows, ids, lambda lists: coder(path).decode(lists), out, "string")
