@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let
 from .common import lower_ascii
 
 
@@ -51,6 +54,37 @@ def _template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
 
 
+def _signs(grams: list[str], threshold: float) -> tuple[list[str], list[str]]:
+    """(all, any): words of a template, all of the first and any of the second of which are in every
+    passage at least `threshold` like it.
+
+    Such a passage shares t / (2 - t) of the template's bigrams, so it lacks at most the rest. A word in
+    more bigrams than that cannot be lacking, nor can all words that more bigrams have between them."""
+    spare = len(grams) - threshold / (2 - threshold) * len(grams) + 1e-9
+    words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w))
+    every = [w for w in words if sum(w in g.split(" ") for g in grams) > spare]
+    some, without = [], list(grams)
+    for word in words:
+        if len(grams) - len(without) > spare:
+            break
+        some.append(word)
+        without = [g for g in without if word not in g.split(" ")]
+    return every, some
+
+
+def _has_signs(low: Column, signs: list[tuple[list[str], list[str]]]) -> Column:
+    """The same of a text in lower case. lower() keeps runs of ASCII letters as runs."""
+    def has(word: str) -> Column:
+        return F.contains(low, F.lit(word))
+
+    return reduce(or_, [reduce(and_, [*map(has, every), reduce(or_, map(has, some))]) for every, some in signs])
+
+
+def _tells(text: Column, signs: list[tuple[list[str], list[str]]]) -> Column:
+    """Whether a text has the signs of a template anywhere."""
+    return F.exists(F.array(F.lower(text)), lambda low: _has_signs(low, signs))
+
+
 def passages(text: Column) -> Column:
     """(passage, text) of a text: its lines by number, and, numbered -1, the whole text if it has
     several lines."""
@@ -68,7 +102,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Dice is 2 * shared / (bigrams of the passage + bigrams of the template), over distinct
     bigrams. It can reach t only if the sizes lie within t / (2 - t) of each other, so a
     passage is held only against templates of fitting size, and one too short or too long
-    for all is never cut into bigrams. All hits are kept, also several per passage. Null or
+    for all is never cut into bigrams. Texts and lines without the words that
+    every passage like a template must have cannot reach t either, and are not cut into words. All hits are kept, also several per passage. Null or
     empty texts and passages without a word give no row; repeated rows give their rows
     again. The templates are a small fixed set and travel in the plan: no join, no shuffle.
     """
@@ -83,26 +118,35 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, grams)).alias("grams"))
         for name, grams in sets.items()
     ])
+    signs = [_signs(grams, threshold) for grams in sets.values()]
+
+    def likeness(grams: Column) -> Column:
+        n = F.size(grams)
+        fitting = F.filter(
+            table, lambda t: (n >= F.size(t["grams"]) * low) & (n * low <= F.size(t["grams"]))
+        )
+        return F.when(n.between(F.lit(least), F.lit(most)), F.transform(fitting, lambda t: F.struct(
+            t["licence"].alias("licence"), n.cast("bigint").alias("n_bigrams"), F.size(t["grams"]).alias("size"),
+            F.size(F.array_intersect(grams, t["grams"])).cast("bigint").alias("n_shared"),
+        )))
+
+    def judged(words: Column) -> Column:
+        # A run of words with k different ones has k - 1 different bigrams or more.
+        fits = (F.size(words) >= F.lit(least)) & (F.size(F.array_distinct(words)) - 1 <= F.lit(most))
+        return F.when(fits, let(_bigrams(words), likeness))
+
+    # Each value is bound once: a filter on a computed column would compute it again. The same holds
+    # for plain explode, which asks for its array's size first.
     body = F.col("p.body")
-    rows = docs.select(
-        F.col(f"`{key}`").alias("_key"), F.explode_outer(passages(F.col(f"`{text}`").cast("string"))).alias("p")
-    ).where("p is not null").select("_key", "p.passage", _words(body).alias("words"))
-    rows = rows.where(F.size("words") - 1 >= F.lit(least) - 1).select(
-        "_key", "passage", _bigrams(F.col("words")).alias("grams")
-    ).where(F.size("grams").between(F.lit(least), F.lit(most)))
-    n = F.size("grams")
-    fitting = F.filter(
-        table, lambda t: (n >= F.size(t["grams"]) * low) & (n * low <= F.size(t["grams"]))
-    )
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = rows.where(_tells(F.col("_text"), signs)).select(
+        "_key", F.explode_outer(passages(F.col("_text"))).alias("p")
+    ).where(F.col("p").isNotNull() & _tells(body, signs))
     hits = rows.select(
-        "_key", "passage", n.cast("bigint").alias("n_bigrams"),
-        F.explode_outer(F.transform(fitting, lambda t: F.struct(
-            t["licence"].alias("licence"), F.size(t["grams"]).alias("size"),
-            F.size(F.array_intersect("grams", t["grams"])).cast("bigint").alias("n_shared"),
-        ))).alias("hit"),
+        "_key", "p.passage", F.explode_outer(let(_words(body), judged)).alias("hit")
     ).where("hit is not null").select(
-        F.col("_key").alias(key), "passage", "hit.licence", "n_bigrams", "hit.n_shared",
-        (2 * F.col("hit.n_shared") / (F.col("n_bigrams") + F.col("hit.size"))).alias("dice"),
+        F.col("_key").alias(key), "passage", "hit.licence", "hit.n_bigrams", "hit.n_shared",
+        (2 * F.col("hit.n_shared") / (F.col("hit.n_bigrams") + F.col("hit.size"))).alias("dice"),
     )
     return hits.where(F.col("dice") >= threshold)
 
