@@ -11,13 +11,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common as C
 
-# A context is looked at if it is this share of all places, or more; there are at most 1 / CONTEXT of a length.
-CONTEXT = 1e-4
-# A word is a state's own if state and word together are this share; at most 1 / FOLLOW of a length.
-FOLLOW = 2e-6
-# And both must have been seen so often.
+# A context is looked at if it was seen so often, whatever the size of the corpus.
+CONTEXT = 8
+# A word is a state's own if it was seen after the state so often.
+FOLLOW = 2
 SEEN = 2
-DEPTH = 2
+DEPTH = 4
+# Runs of words with this share of all training tokens have their weights sent to the tasks, at most 1 / HOT
+# of a length; the others are joined. This decides how a weight is found, not what it is.
+HOT = 1e-5
+# Bits of the filter that passes over runs without a weight, at most; a full one passes all.
+FILTER_BITS = 1 << 27
 # A context stays if, over all its places, it saves DIVERGENCE * ln(places) nats against the shorter one.
 DIVERGENCE = 2.0
 # What is taken off each count, for the words that are not the state's own.
@@ -51,7 +55,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Tree:
     """Words by number, contexts by number, and what follows each state.
 
-    `words` are the sorted hashes of words that are FOLLOW or more of all, `counts` theirs. A context of
+    `words` are the sorted hashes of words that are `follow` or more of all, `counts` theirs. A context of
     length 1 is the number of a word, or `len(words)` for the start of a text; `firsts` marks those that
     are looked at. A longer one has a number by its place in `contexts[length - 2]`, sorted codes of
     (earlier word, shorter context). `next_[length - 1]` are sorted codes of (context, word) with `n`
@@ -138,12 +142,10 @@ def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], rows["n"].to_numpy(np.int64)[order]
 
 
-def fit(texts: DataFrame, depth: int = DEPTH, context: float = CONTEXT, follow: float = FOLLOW,
+def fit(texts: DataFrame, depth: int, context: float, follow: float,
         divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
-    """The tree of the training texts, and the counts of all their tokens (code, n).
-
-    Only what reaches the shares goes to the driver and to every task: at most 1 / `context` contexts
-    and 1 / `follow` followers per length, however large the corpus. All tokens are counted.
+    """The tree of a small corpus, held whole, and the counts of all its tokens (code, n). `context` and
+    `follow` are shares of all tokens. `scores` does not use it: it is what its tables are tested against.
     """
     counts = C.staged(_counted(texts, lambda rows, places, hashes: hashes), "tokens")
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -301,6 +303,212 @@ def _scored(tree: Tree, depth: int):
     return work
 
 
+def runs(texts: pa.Array, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per length up to `longest`, (rows, ids, prefixes, suffixes) of all runs of tokens in START, the words, END.
+
+    The id of a run is made of those of the run without its last and without its first token. Runs of
+    length 1 have no prefix or suffix: theirs are empty.
+    """
+    words = C.Words(texts, lower=True)
+    n, sizes = len(texts), words.sizes + 2
+    first = np.cumsum(sizes) - sizes
+    ids = np.full(int(sizes.sum()), START, np.uint64)
+    ids[first + sizes - 1] = END
+    ids[first[words.rows] + words.places + 1] = words.hashes()
+    rows = np.repeat(np.arange(n), sizes)
+    none = np.empty(0, np.uint64)
+    yield rows, ids, none, none
+    for _ in range(1, longest):
+        inside = rows[:-1] == rows[1:]
+        prefixes, suffixes, rows = ids[:-1][inside], ids[1:][inside], rows[:-1][inside]
+        # What is left of a row is still in one piece, so neighbours overlap in all but their ends.
+        ids = run_ids(prefixes, suffixes)
+        yield rows, ids, prefixes, suffixes
+
+
+def run_ids(prefixes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    return C.mix(prefixes * np.uint64(C._BASE) + C.mix(suffixes))
+
+
+def _filter(ids: DataFrame, column: str = "code") -> np.ndarray:
+    """Bits by the first bits of the ids: an id whose bit is not set is not among them."""
+    n = ids.count()
+    bits = min(max(int(16 * n).bit_length(), 10), FILTER_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    rows = ids.select(
+        F.shiftright(place, 6).cast("int").alias("slot"),
+        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("bits"),
+    ).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def _passed(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    place = ids >> np.uint64(64 - (len(table).bit_length() + 5))
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _followers(texts: DataFrame, length: int, candidates: np.ndarray) -> DataFrame:
+    """(context, suffix, n) of the runs of `length` words and a token after them whose context passes."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches, "text"):
+            for _, ids, contexts, suffixes in runs(batch.column("text"), length + 1):
+                pass
+            use = _passed(candidates, contexts)
+            _, first, n = np.unique(ids[use], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [C.signed(contexts[use][first]), C.signed(suffixes[use][first]), pa.array(n, pa.int64())],
+                names=["context", "suffix", "n"],
+            )
+
+    counted = texts.mapInArrow(mapped, "context bigint, suffix bigint, n bigint")
+    return counted.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+
+
+def _coded(runs_: DataFrame) -> DataFrame:
+    """With the id of each run, from its context and suffix."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix")]
+            yield pa.RecordBatch.from_arrays(
+                [C.signed(run_ids(*parts)), *batch.columns], names=["code", *batch.schema.names]
+            )
+
+    return runs_.mapInArrow(mapped, "code bigint, context bigint, suffix bigint, n bigint")
+
+
+def _signed(code: np.uint64) -> int:
+    return int(np.array([code], np.uint64).view(np.int64)[0])
+
+
+def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: int = FOLLOW,
+         divergence: float = DIVERGENCE) -> tuple[int, int, DataFrame]:
+    """(training tokens, distinct ones, weights): the tree as a table (code, c, known, base, score), one row
+    per run of words that changes a score.
+
+    Grown by length: contexts seen `context` times or more, and what follows them `follow` times or
+    more, are counted, held against the shorter context, and kept if they diverge or if a kept one ends
+    in them. All of it stays in tables that grow with the corpus. A token's log10 probability is the sum,
+    over the runs of words that end before it or in it, of what they add: a kept context adds the
+    weight it leaves to the shorter one; a run whose last word is such a context's own adds the difference between
+    its share and what it would have had so far.
+    """
+    longest = max(depth, 0)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches, "text"):
+            _, ids, _, _ = next(runs(batch.column("text"), 1))
+            codes, n = np.unique(ids, return_counts=True)
+            yield pa.RecordBatch.from_arrays([C.signed(codes), pa.array(n, pa.int64())], names=["code", "n"])
+
+    start, end = F.lit(_signed(START)), F.lit(_signed(END))
+    tokens_ = C.staged(
+        texts.mapInArrow(single, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "tokens"
+    )
+    words = tokens_.where(F.col("code") != start)
+    size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    total, distinct = size["n"] or 0, size["v"]
+    scale = float(np.log10(total + SMOOTH * (distinct + 1)))
+    least, enough = max(SEEN, follow), max(SEEN, context)
+    # The table of a length: its runs with log10 of the share (of all tokens, for single words).
+    shorter = words.select("code", (F.log10(F.col("n") + SMOOTH) - scale).alias("log"))
+    contexts = tokens_.where((F.col("code") != end) & (F.col("n") >= enough)).select(
+        F.col("code").alias("context"), F.lit(None).cast("bigint").alias("up"), F.col("n").alias("sum")
+    )
+    levels, states = [], []
+    for length in range(1, longest + 1):
+        found = C.staged(
+            _coded(_followers(texts, length, _filter(contexts, "context")).where(F.col("n") >= least)), "followers"
+        )
+        # Contexts that passed the filter by chance go here.
+        own = C.staged(
+            found.join(contexts.select("context", "sum"), "context")
+            .join(shorter.select(F.col("code").alias("suffix"), F.col("log").alias("before")), "suffix")
+            .select("code", "context", "suffix", "n", "before",
+                    F.log10(F.greatest((F.col("n") - DISCOUNT) / F.greatest("sum", F.lit(1)), F.lit(1e-300))).alias("log")),
+            "own",
+        )
+        ten = float(np.log(10))
+        left = F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("there"), F.lit(1e-9)))
+        saved = F.col("gain") * ten + F.greatest(F.col("sum") * (1 - F.col("own")), F.lit(0.0)) * left
+        states.append(C.staged(
+            own.groupBy("context").agg(
+                F.sum(F.pow(F.lit(10.0), "log")).alias("own"), F.sum(F.pow(F.lit(10.0), "before")).alias("there"),
+                F.sum(F.col("n") * (F.col("log") - F.col("before"))).alias("gain"),
+            ).join(contexts, "context").select(
+                "context", "up", "sum", (left / ten).alias("rest"),
+                (saved >= divergence * float(np.log(max(total, 2)))).alias("kept"),
+            ), "states",
+        ))
+        levels.append(own)
+        shorter = own
+        contexts = own.where(F.col("n") >= enough).select(
+            F.col("code").alias("context"), F.col("suffix").alias("up"), F.col("n").alias("sum")
+        )
+    zero = F.lit(0.0)
+    weights = words.select(
+        "code", F.col("n").alias("c"), F.lit(1).alias("known"),
+        (F.log10(F.col("n") + SMOOTH) - float(np.log10(SMOOTH))).alias("base"),
+        (F.log10(F.col("n") + SMOOTH) - float(np.log10(SMOOTH))).alias("score"),
+    )
+    ends = None
+    for own, state in zip(reversed(levels), reversed(states)):
+        kept = state.where("kept")
+        if ends is not None:
+            kept = kept.unionByName(state.where("not kept").join(ends, F.col("context") == F.col("_end"), "left_semi"))
+        kept = C.staged(kept, "kept")
+        ends = kept.select(F.col("up").alias("_end")).where("_end is not null").distinct()
+        weights = weights.unionByName(kept.select(
+            F.col("context").alias("code"), F.col("sum").alias("c"), F.lit(0).alias("known"), zero.alias("base"),
+            F.col("rest").alias("score"),
+        )).unionByName(own.join(kept.select("context", "rest"), "context").select(
+            "code", F.col("n").alias("c"), F.lit(0).alias("known"), zero.alias("base"),
+            (F.col("log") - F.col("before") - F.col("rest")).alias("score"),
+        ))
+    weights = weights.groupBy("code").agg(
+        F.max("c").alias("c"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")
+    )
+    return total, distinct, C.staged(weights, "weights")
+
+
+def _weighed(depth: int, hot: tuple[np.ndarray, ...], cold: np.ndarray):
+    """Per row its token count and the sums of the weights at hand; then its runs whose weights are to be joined."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, known, base, score = hot
+        names = ["_row", "code", "n", "n_known", "base", "score"]
+        for batch in C.chunks(batches, "text"):
+            size, ids = batch.num_rows, batch.column("_row").to_numpy()
+            counts, sums = [np.zeros(size, np.int64) for _ in range(2)], [np.zeros(size) for _ in range(2)]
+            for length, (rows, found, _, _) in enumerate(runs(batch.column("text"), depth + 1), 1):
+                if length == 1:
+                    counts[0] = np.bincount(rows, minlength=size) - 1  # without the start
+                place = _places(codes, found)
+                hit = place >= 0
+                at, where = place[hit], rows[hit]
+                if len(at):
+                    counts[1] += np.bincount(where, weights=known[at], minlength=size).astype(np.int64)
+                    sums[0] += np.bincount(where, weights=base[at], minlength=size)
+                    sums[1] += np.bincount(where, weights=score[at], minlength=size)
+                rest = ~hit & _passed(cold, found)
+                pairs = np.stack([rows[rest], found[rest].view(np.int64)])
+                pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+                first = np.ones(pairs.shape[1], bool)
+                first[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+                at = np.flatnonzero(first)
+                zeros = np.zeros(len(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[pairs[0, at]]), pa.array(pairs[1, at]),
+                     pa.array(np.diff(np.append(at, pairs.shape[1])), pa.int64()),
+                     pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(zeros)], names=names,
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.nulls(size, pa.int64()), *map(pa.array, counts), *map(pa.array, sums)], names=names
+            )
+
+    return work
+
+
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
            context: float = CONTEXT, follow: float = FOLLOW, divergence: float = DIVERGENCE) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
@@ -312,29 +520,32 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     one of the state's own, else what the state leaves, spread as the shorter state has it, down to
     the single tokens. Probabilities of a state sum to 1 over all words and one unknown.
 
-    Words below the FOLLOW share are never in a state's own list; their counts are joined by word.
+    Contexts of up to `depth` words seen `context` times and words seen `follow` times after them (never less
+    than SEEN) are in the model, however rare they are in the corpus; their weights are joined by run.
     With nothing to learn from, every token has probability 1 / (V + 1) with V = 0.
     """
     rows = C.identified(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), "_key", "_row", "text")
     texts = rows.select("_row", "_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = texts.where(~held_out(F.col("_key"))).select("text")
-    tree, counts = fit(training, depth, context, follow, divergence)
+    total, distinct, weights = grow(training, depth, context, follow, divergence)
+    often = F.col("c") >= HOT * total
+    near = weights.where(often).toArrow()
+    codes = near["code"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    hot = (codes[order], *[near[c].to_numpy()[order].astype(np.float64) for c in ("known", "base", "score")])
+    far = weights.where(~often)
     parts = C.staged(texts.select("_row", "text").mapInArrow(
-        _scored(tree, depth), "_row bigint, code bigint, n bigint, n_known bigint, base double, score double"
+        _weighed(depth, hot, _filter(far)), "_row bigint, code bigint, n bigint, n_known bigint, base double, score double"
     ), "parts")
-    rare = parts.where("code is not null").select("_row", "code", "n")
-    scale = np.log10(tree.total + SMOOTH * (tree.distinct + 1)) if tree.total else np.log10(SMOOTH)
-    seen = rare.join(counts.withColumnRenamed("n", "c"), "code", "left")
-    log = F.log10(F.coalesce("c", F.lit(0)) + SMOOTH) - float(scale)
-    rest = seen.groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * log).alias("rare"),
+    rest = parts.where("code is not null").select("_row", "code", "n").join(far, "code").groupBy("_row").agg(
+        *[F.sum(F.col("n") * F.col(c)).alias(f"_{c}") for c in ("known", "base", "score")]
     )
-    done = parts.where("code is null").join(rest, "_row", "left").join(rows.select("_row", "_key"), "_row")
-    extra = F.coalesce("rare", F.lit(0.0))
+    done = parts.where("code is null").drop("code").join(rest, "_row", "left").join(rows.select("_row", "_key"), "_row")
+    none = F.col("n") * float(np.log10(SMOOTH) - np.log10(total + SMOOTH * (distinct + 1)))
     return done.select(
         F.col("_key").alias(key), held_out(F.col("_key")).alias("held_out"), F.col("n").alias("n_tokens"),
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(int(tree.total)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("score") + extra).alias("score"),
+        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        F.lit(int(total)).cast("bigint").alias("train_tokens"),
+        *[(F.col(c) + none + F.coalesce(f"_{c}", F.lit(0.0))).alias(f"{c}_score" if c == "base" else c)
+          for c in ("base", "score")],
     )

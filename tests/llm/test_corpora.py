@@ -328,6 +328,43 @@ def test_states_are_distributions(spark, depth):
             assert after(level, context).sum() == pytest.approx(1, abs=1e-6)
 
 
+@pytest.mark.parametrize("hot", [1e-5, 0.02, 2.0])
+def test_scores_equal_the_tree_held_whole(spark, hot, monkeypatch):
+    """Weights sent, joined or both: each document's score is that of the tree of all its words."""
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    texts = training(spark)
+    rows = table(spark, texts)
+    train = rows.where(~suffix_tree.held_out(rows.doc_id)).select("text")
+    for depth in (1, 3):
+        done = {r.doc_id: r for r in suffix_tree.scores(rows, depth=depth, context=12, follow=3).collect()}
+        total = done[0].train_tokens
+        tree, counts = suffix_tree.fit(train, depth, context=11.5 / total, follow=2.5 / total)
+        assert sum(map(len, tree.next_)) > 10
+        n_of = {r.code: r.n for r in counts.collect()}
+        parts = rows.select(rows.doc_id.alias("_row"), "text").mapInArrow(
+            suffix_tree._scored(tree, depth), "_row bigint, code bigint, n bigint, n_known bigint, base double, score double"
+        ).collect()
+        want = dict.fromkeys(done, 0.0)
+        for r in parts:
+            rare = 0 if r.code is None else r.n * math.log10(
+                (n_of.get(r.code, 0) + suffix_tree.SMOOTH) / (total + suffix_tree.SMOOTH * (tree.distinct + 1))
+            )
+            want[r._row] += r.score + rare
+        assert {i: r.score for i, r in done.items()} == pytest.approx(want, rel=1e-9)
+
+
+def test_rare_contexts_are_learned(spark):
+    """A context far below any share of the corpus, and one of three words, still tell what follows."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(400)]
+    texts += ["odd pair here leads on", "even pair here turns back"] * 60 + ["solo start then every word follows"] * 11
+    done = {r.doc_id: r for r in suffix_tree.scores(table(spark, texts)).collect()}
+    assert 11 < 1e-4 * done[0].train_tokens
+    assert all(done[i].score > done[i].base_score + 10 for i in range(400, 531))
+    # "pair here" alone leaves two ways; three words leave one.
+    two = {r.doc_id: r for r in suffix_tree.scores(table(spark, texts), depth=2).collect()}
+    assert all(done[i].score > two[i].score + 0.2 for i in range(400, 520))
+
+
 def test_scores_of_awkward_rows(spark, awkward):
     done = suffix_tree.scores(awkward).collect()
     assert len(done) == awkward.count()
