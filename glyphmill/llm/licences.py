@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 from operator import and_, or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +13,29 @@ from ..functions.arrays import let
 from .common import lower_ascii
 
 
+_MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _MIT_WARRANTY
+_BSD_LIST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_CC = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def _gnu(kind: str, version: str) -> str:
+    """The notice that the GNU licences ask for at the start of a file."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {kind} as published "
+        f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {kind} for more details. You should have "
+        f"received a copy of the {kind} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 # Notices as the licences themselves ask for them to be written.
 TEMPLATES: Mapping[str, str] = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
@@ -27,6 +51,41 @@ TEMPLATES: Mapping[str, str] = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
+    "all-rights-reserved-short": "All rights reserved.",
+    "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT-warranty": _MIT_WARRANTY,
+    "MIT-text": _MIT,
+    "MIT-text-titled": "MIT License " + _MIT,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-licensed": "Licensed under the BSD License.",
+    "BSD-2-text": _BSD_LIST + _BSD_WARRANTY,
+    "BSD-3-text": _BSD_LIST + _BSD_NAMES + _BSD_WARRANTY,
+    **{f"{name}-header": _gnu(kind, version) for name, kind, version in (
+        ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"),
+        ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+        ("AGPL-3.0", "GNU Affero General Public License", "3"),
+    )},
+    **{name: _gnu(kind, version).split(" This program is distributed")[0] for name, kind, version in (
+        ("GPL-2.0", "GNU General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"),
+    )},
+    "GPL-2.0-notice": "Licensed under the GNU General Public License, Version 2.",
+    "LGPL-notice": "Licensed under the GNU Lesser General Public License, Version 3.",
+    "AGPL-notice": "Licensed under the GNU Affero General Public License, Version 3.",
+    "GPL-work": "This work is licensed under the GNU General Public License, version 3.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **{f"CC-{short}-4.0-work": f"This work is licensed under a Creative Commons {long} 4.0 International License." for short, long in _CC.items()},
+    **{f"CC-{short}-4.0-view": f"This work is licensed under a Creative Commons {long} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{short.lower()}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA." for short, long in _CC.items()},
+    **{f"CC-{short}-4.0": f"Licensed under CC {short} 4.0." for short in ("BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "CC0-notice": "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    # Whole licences; white space does not count.
+    **{f"{path.stem}-full": " ".join(path.read_text("utf-8").split())
+       for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))},
 }
 THRESHOLD = 0.8
 
@@ -54,33 +113,51 @@ def _template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
 
 
-def _signs(grams: list[str], threshold: float) -> tuple[list[str], list[str]]:
-    """(all, any): words of a template, all of the first and any of the second of which are in every
-    passage at least `threshold` like it.
+# A template that needs more words than this to be sure of one is told by its length alone.
+MOST_SIGNS = 40
+
+
+def _signs(grams: list[str], threshold: float) -> tuple[list[str], list[str], int]:
+    """(all, any, length): words of a template, all of the first and any of the second of which are in every
+    passage at least `threshold` like it, and the characters that such a passage has at least.
 
     Such a passage shares t / (2 - t) of the template's bigrams, so it lacks at most the rest. A word in
     more bigrams than that cannot be lacking, nor can all words that more bigrams have between them."""
-    spare = len(grams) - threshold / (2 - threshold) * len(grams) + 1e-9
-    words = sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w))
-    every = [w for w in words if sum(w in g.split(" ") for g in grams) > spare]
-    some, without = [], list(grams)
+    shared = threshold / (2 - threshold) * len(grams) - 1e-9
+    spare = len(grams) - shared
+    of: dict[str, set[str]] = {}
+    for gram in grams:
+        for word in gram.split(" "):
+            of.setdefault(word, set()).add(gram)
+    words = sorted(of, key=lambda w: (-len(w), w))
+    every = [w for w in words if len(of[w]) > spare]
+    some, without = [], set(grams)
     for word in words:
         if len(grams) - len(without) > spare:
             break
         some.append(word)
-        without = [g for g in without if word not in g.split(" ")]
-    return every, some
+        without -= of[word]
+    # So many different bigrams take as many words, with a mark after each but the last.
+    return every, some if len(some) <= MOST_SIGNS else [], max(2 * int(shared) - 1, 0)
 
 
-def _has_signs(low: Column, signs: list[tuple[list[str], list[str]]]) -> Column:
+def _has_signs(low: Column, signs: list[tuple[list[str], list[str], int]]) -> Column:
     """The same of a text in lower case. lower() keeps runs of ASCII letters as runs."""
     def has(word: str) -> Column:
         return F.contains(low, F.lit(word))
 
-    return reduce(or_, [reduce(and_, [*map(has, every), reduce(or_, map(has, some))]) for every, some in signs])
+    # Templates with the same words are one test.
+    least: dict[tuple, int] = {}
+    for every, some, length in signs:
+        each = (tuple(every), tuple(some))
+        least[each] = min(length, least.get(each, length))
+    return reduce(or_, [
+        reduce(and_, [F.length(low) >= length, *map(has, every), *([reduce(or_, map(has, some))] if some else [])])
+        for (every, some), length in least.items()
+    ])
 
 
-def _tells(text: Column, signs: list[tuple[list[str], list[str]]]) -> Column:
+def _tells(text: Column, signs: list[tuple[list[str], list[str], int]]) -> Column:
     """Whether a text has the signs of a template anywhere."""
     return F.exists(F.array(F.lower(text)), lambda low: _has_signs(low, signs))
 
@@ -115,7 +192,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = min(map(len, sets.values())) * low
     most = max(map(len, sets.values())) / low
     table = F.array(*[
-        F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, grams)).alias("grams"))
+        F.struct(F.lit(name).alias("licence"), F.split(F.lit("\n".join(grams)), "\n").alias("grams"))
         for name, grams in sets.items()
     ])
     signs = [_signs(grams, threshold) for grams in sets.values()]

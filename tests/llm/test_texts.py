@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,6 +247,22 @@ def dice_rows(text, templates, threshold):
     return out
 
 
+def test_real_notices_and_whole_licences(spark):
+    def full(name):
+        return (Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text("utf-8")
+
+    texts = {
+        "all-rights-reserved-short": "Copyright 2020.\nAll rights reserved.", "MIT-licensed": "Licensed under the MIT License.",
+        "MIT-permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "LGPL-notice": "Licensed under the GNU Lesser General Public License, version 3.",
+        "GPL-3-full": full("GPL-3"), "Apache-2.0-full": full("Apache-2.0"), "MPL-2.0-full": full("MPL-2.0"),
+    }
+    rows = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = {(r.doc_id, r.licence) for r in licences.scan(rows).collect()}
+    assert {(name, name) for name in texts} <= found
+
+
 def test_licences_equal_brute_force(spark, awkward):
     rng = random.Random(6)
     texts = []
