@@ -1,5 +1,6 @@
 """Operators that work a text at a time, against plain Python."""
 
+import base64
 import hashlib
 import random
 import re
@@ -81,6 +82,24 @@ def test_bands_reject(spark):
     assert done[2].entropy < 3 and not done[2].in_band
 
 
+def test_default_bands_reject_noise_and_keep_good_documents(spark):
+    rng = random.Random(1)
+    noise = [
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(200)),
+        " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(60)),
+        " ".join(rng.randbytes(16).hex() for _ in range(60)),
+        " ".join("".join(chr(rng.randint(0x1F900, 0x1F9FF)) for _ in range(4)) for _ in range(60)),
+    ]
+    rows = spark.createDataFrame(list(enumerate(noise)), "doc_id bigint, text string")
+    done = fertility.judged(fertility.measure(rows)).collect()
+    assert not any(r.base_failed or r.in_band or r.kept for r in done)
+    folder = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").join(good, "doc_id")
+    kept = fertility.judged(fertility.measure(docs)).where("n_words >= 20").collect()
+    assert len(kept) > 100 and all(r.in_band for r in kept)
+
+
 def test_measure_empty_table(spark, awkward):
     assert fertility.judged(fertility.measure(awkward.limit(0))).collect() == []
 
