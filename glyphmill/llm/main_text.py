@@ -178,7 +178,8 @@ def _chain(node: Node | None) -> Iterator[Node]:
 
 
 def main_text(page: str | None) -> str:
-    """The blocks of the best box and of the siblings that belong to it, joined by one space.
+    """The blocks of the best box and of the siblings that belong to it, joined by one space; of the whole
+    article or main that the best box is in, if there is one.
 
     Each paragraph of MIN_PARAGRAPH characters or more gives its box 1 point, 1 per comma and up to 3 for
     length; the box around gets half, farther ones a third, a sixth and so on. A box's own points are
@@ -209,6 +210,9 @@ def main_text(page: str | None) -> str:
         return (node.points + promise) * (1 - node.linked / max(node.size, 1))
 
     best = max(scored.values(), key=value)
+    # A box of an article is not all of it: short sections, lists, tables and figures beside it are text too.
+    if best.tag not in ("article", "main", "body"):
+        best = next((n for n in _chain(best) if n.tag in ("article", "main")), best)
     kept = {id(best)}
     if best.parent is not None and best.tag not in ("article", "main", "body"):
         least = max(10.0, SIBLING_SHARE * value(best))

@@ -356,6 +356,19 @@ def test_main_text(tag):
     assert main_text.main_text(PAGE % (tag, tag.split()[0])) == TEXT
 
 
+def test_main_text_of_nested_articles():
+    long = "".join(f"<p>Sentence {i}, with some commas, and words, long enough to count as a paragraph.</p>" for i in range(60))
+    page = (
+        "<body><nav>Links</nav><article><header><h1>Title</h1></header><section>" + long + "</section>"
+        "<section><p>A short section, which belongs too.</p></section><ul><li>point</li></ul>"
+        "<table><tr><td>cell</td></tr></table><pre>code</pre><blockquote>quote</blockquote>"
+        "<ul><li><a href='x'>other page</a></li></ul></article><aside>Aside</aside></body>"
+    )
+    text = main_text.main_text(page)
+    assert text.startswith("Title Sentence 0") and "Sentence 59" in text
+    assert text.endswith("A short section, which belongs too. point cell code quote")
+
+
 def test_main_text_of_odd_pages(spark):
     deep = "<div>" * 20000 + "deep text, with commas, here and there" + "</div>" * 20000
     pages = [None, "", "plain text only", "<p>one<p>two", "<div><p>a < b & c", "<script>x", "<!-- open", deep,
