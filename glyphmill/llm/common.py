@@ -77,6 +77,21 @@ def identified(docs: DataFrame, key: str, row: str = "_row", *keep: str) -> Data
     return staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, share: int = 10_000) -> DataFrame:
+    """`rows` joined with the rows of `table`, which has each key once. `weight` counts the rows
+    that a key meets.
+
+    The keys that meet more than 1 / share of all are fewer than `share`, so they are broadcast;
+    behind the shuffle no other key brings more than that part of the rows to a task. Both tables
+    are read twice: they should be written ones.
+    """
+    total = table.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    heavy = F.col(weight) * share > F.lit(total)
+    hot, rest = table.where(heavy), table.where(~heavy)
+    spread = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(spread)
+
+
 def components(edges: DataFrame, label: str = "links") -> DataFrame:
     """(node, root) of every node on an edge (a, b); `root` is the smallest node it reaches.
 

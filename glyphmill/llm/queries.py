@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, common as C, fertility, licences, main_text, parity_join, private, redirects, repeats, suffix_tree, winnowing,
+    bpe, common as C, copies, fertility, licences, main_text, parity_join, private, redirects, repeats, suffix_tree, winnowing,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in private.KINDS],
         _sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op11_exact_copies", copies.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays of every document's group of equal texts."""
+    rows = copies.groups(C.table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
