@@ -129,13 +129,13 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 # Inside tasks.
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about CHUNK_BYTES of text each, at least one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `size` bytes of text each, at least one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes.astype(np.int64)) // CHUNK_BYTES
+        group = np.cumsum(sizes.astype(np.int64)) // size
         cuts = np.flatnonzero(np.diff(group)) + 1
         if not len(cuts):
             yield batch

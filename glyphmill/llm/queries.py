@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, common as C, copies, fertility, licences, main_text, parity_join, private, redirects, repeats, suffix_tree, winnowing,
+    bpe, common as C, copies, fertility, licences, main_text, parity_join, phrases, private, redirects, repeats, suffix_tree, winnowing,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+@query("op12_phrases", phrases.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(C.table(spark, sf_dir, "documents"))
