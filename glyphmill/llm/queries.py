@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, common as C, copies, fertility, licences, main_text, parity_join, phrases, private, redirects, repeats, suffix_tree, winnowing,
+    bpe, common as C, copies, fertility, licences, main_text, parity_join, phrases, prefixes, private, redirects, repeats, suffix_tree, winnowing,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of every language."""
     return phrases.collocations(C.table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", prefixes.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the conversations' prefix trie."""
+    nodes = prefixes.prefix_trie(C.table(spark, sf_dir, "conversations"))
+    return nodes.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
