@@ -10,7 +10,7 @@ from glyphmill.plans import tokenizers
 from .codes import SQL_DICT, entries
 from .registry import joined, query, sql_bytes
 
-ROUNDS = 12
+TOKENS = 200
 FIRST = merges.FIRST_JOINED
 SPECIALS = ["<unk>", "<s>", "</s>", "<pad>"]
 
@@ -33,45 +33,68 @@ def sql_pairs(state: str) -> str:
   GROUP BY l, r"""
 
 
-def sql_training(rounds: int = ROUNDS) -> str:
-    """`rounds` rounds of: count pairs, take the best, join it everywhere; then
-    `merge_list` (rank, l, r, n). Needs `pieces`."""
-    parts = [f"state0 AS (SELECT {SQL_STATE.format('piece')} AS s, n FROM pieces)"]
-    for k in range(rounds):
-        parts.append(
-            f"best{k} AS (SELECT {k} AS rank, l, r, n FROM ({sql_pairs(f'state{k}')}) "
-            "ORDER BY n DESC, l, r LIMIT 1)"
-        )
-        parts.append(
-            f"state{k + 1} AS (SELECT replace(s, '<' || l || '><' || r || '>', '<{FIRST + k}>') AS s, "
-            f"state{k}.n FROM state{k}, best{k})"
-        )
-    everything = " UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(rounds))
-    parts.append(f"merge_list AS ({everything})")
-    # The text of each symbol, built up in rank order.
-    parts.append("text0 AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS txt WHERE false)")
-    for k in range(rounds):
-        side = lambda x: f"coalesce((SELECT txt FROM text{k} WHERE id = {x}), chr(least({x}, 1114111)::INTEGER))"
-        parts.append(
-            f"text{k + 1} AS (SELECT * FROM text{k} UNION ALL "
-            f"SELECT {FIRST + k}, {side('l')} || {side('r')} FROM best{k})"
-        )
-    return ",\n".join(parts)
-
-
-def sql_joined(text: str, rounds: int = ROUNDS) -> str:
-    """The state `text` with all merges applied; the merges are scalar subqueries."""
-    for k in range(rounds):
-        pair = f"(SELECT '<' || l || '><' || r || '>' FROM best{k})"
-        text = f"replace({text}, {pair}, '<{FIRST + k}>')"
-    return text
-
-
-def sql_merge_table(rounds: int = ROUNDS) -> str:
-    side = lambda x: f"coalesce((SELECT txt FROM text{rounds} WHERE id = {x}), chr(least({x}, 1114111)::INTEGER))"
+def sql_training(tokens: int = TOKENS, min_count: int = 1) -> str:
+    """Merges one at a time until there are so many new tokens; needs `pieces`. Gives text_of (id, txt)
+    of the new tokens, merge_list (rank, l, r, id, n) and merge_steps, a list of `old new`.
+
+    One table holds all that changes: pieces (p), pair counts (c), new tokens (v), merges (m). A round
+    takes the best pair and replaces the pieces that hold it and the counts that they change.
+    """
+    pair = "'<' || l || '><' || r || '>'"
+    text = lambda x: (
+        f"coalesce((SELECT s FROM recurring.train WHERE kind = 'v' AND a = {x}), chr(least({x}, 1114111)::INTEGER))"
+    )
+    known = "(SELECT min(a) FROM recurring.train WHERE kind = 'v' AND s = txt)"
+    fresh = f"{FIRST} + (SELECT count(*) FROM recurring.train WHERE kind = 'v')"
+    start = f"(SELECT {SQL_STATE.format('piece')} AS s, n FROM pieces WHERE length(piece) > 1)"
     return f"""
-SELECT rank::BIGINT AS rank, {side('l')} AS "left", {side('r')} AS "right",
-       {side('l')} || {side('r')} AS token, n
+train(kind, a, b, s, n) USING KEY (kind, a, b) AS (
+  SELECT 'p', row_number() OVER (), 0::BIGINT, s, n::BIGINT FROM {start}
+  UNION ALL SELECT 'c', l, r, '', n FROM ({sql_pairs(start)})
+  UNION (
+    WITH best AS MATERIALIZED (
+      SELECT a AS l, b AS r, n FROM recurring.train WHERE kind = 'c' AND n >= {min_count} ORDER BY n DESC, a, b LIMIT 1
+    ), spelled AS MATERIALIZED (
+      SELECT *, {text('l')} || {text('r')} AS txt FROM best
+      WHERE (SELECT count(*) FROM recurring.train WHERE kind = 'v') < {tokens}
+    ), chosen AS MATERIALIZED (
+      SELECT *, coalesce({known}, {fresh}) AS id, {pair} AS old FROM spelled
+    ), changed AS MATERIALIZED (
+      SELECT t.a, t.s, replace(t.s, old, '<' || id || '>') AS new, t.n
+      FROM recurring.train t, chosen WHERE t.kind = 'p' AND contains(t.s, old)
+    ), moved AS MATERIALIZED (
+      SELECT l, r, sum(n)::BIGINT AS n FROM (
+        SELECT * FROM ({sql_pairs("(SELECT new AS s, n FROM changed WHERE contains(new, '><'))")})
+        UNION ALL SELECT l, r, -n FROM ({sql_pairs("changed")}))
+      GROUP BY l, r
+    )
+    SELECT 'p', a, 0, new, n FROM changed
+    UNION ALL SELECT 'c', l, r, '', moved.n + coalesce(t.n, 0)
+      FROM moved LEFT JOIN (SELECT * FROM recurring.train WHERE kind = 'c') t ON t.a = l AND t.b = r
+    UNION ALL SELECT 'v', id, 0, txt, 0 FROM chosen
+    UNION ALL SELECT 'm', (SELECT count(*) FROM recurring.train WHERE kind = 'm'), 0, l || ' ' || r || ' ' || id, n FROM chosen
+  )
+),
+text_of AS (SELECT a AS id, s AS txt FROM train WHERE kind = 'v'),
+merge_list AS (
+  SELECT a AS rank, split_part(s, ' ', 1)::BIGINT AS l, split_part(s, ' ', 2)::BIGINT AS r, split_part(s, ' ', 3)::BIGINT AS id, n
+  FROM train WHERE kind = 'm'
+),
+merge_steps AS (SELECT list({pair} || ' <' || id || '>' ORDER BY rank) AS steps FROM merge_list)"""
+
+
+def sql_joined(state: str) -> str:
+    """A state with all merges applied in order."""
+    return (
+        f"list_reduce(list_prepend({state}, (SELECT steps FROM merge_steps)), "
+        "lambda s, m: replace(s, split_part(m, ' ', 1), split_part(m, ' ', 2)))"
+    )
+
+
+def sql_merge_table() -> str:
+    side = lambda x: f"coalesce((SELECT txt FROM text_of WHERE id = {x}), chr(least({x}, 1114111)::INTEGER))"
+    return f"""
+SELECT rank::BIGINT AS rank, {side('l')} AS "left", {side('r')} AS "right", {side('l')} || {side('r')} AS token, n
 FROM merge_list"""
 
 
@@ -79,7 +102,7 @@ def tokenizer(t, kind=tokenizers.MergedTokenizer, method: str = "", dictionary=N
     config = tokenizers.TokenizerConfig(
         "", 512, 50_257, None, {"pad_token": "<pad>"}, input_method=method
     )
-    return kind(config, dictionary=dictionary, merges=ROUNDS)
+    return kind(config, dictionary=dictionary, merges=TOKENS)
 
 
 @query("pair_counts", f"""
@@ -111,20 +134,20 @@ piece_chars AS (
 
 
 @query("merged_vocab_train", f"""
-WITH {SQL_LINES}, {SQL_WORD_PIECES}, {sql_training()}
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {sql_training()}
 {sql_merge_table()}
 """)
 def merged_vocab_train(t):
-    """Twelve merges over the words of the documents. At these few merges the rare
-    characters that the coverage leaves out take part in none."""
+    """Merges over the words of the documents, until they have made 200 tokens. At these few the
+    rare characters that the coverage leaves out take part in none."""
     return tokenizer(t).fit(t.documents).model.table(t.spark)
 
 
 @query("merged_vocab", f"""
-WITH {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()}
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()}
 SELECT token, k::BIGINT AS id FROM (VALUES ('<unk>', 0), ('<s>', 1), ('</s>', 2), ('<pad>', 3)) v(token, k)
-UNION ALL SELECT txt, id - {FIRST} + 4 FROM text{ROUNDS}
-UNION ALL SELECT c, row_number() OVER (ORDER BY n DESC, c) + {ROUNDS + 3} FROM covered
+UNION ALL SELECT txt, id - {FIRST} + 4 FROM text_of
+UNION ALL SELECT c, row_number() OVER (ORDER BY n DESC, c) + {TOKENS + 3} FROM covered
 """)
 def merged_vocab(t):
     """Ids: specials, merges, then the covered characters."""
@@ -134,8 +157,8 @@ def merged_vocab(t):
 
 SQL_MERGED_NUMBERS = f"""
 numbers AS (
-  SELECT id AS symbol, id - {FIRST} + 4 AS id FROM text{ROUNDS}
-  UNION ALL SELECT unicode(c), row_number() OVER (ORDER BY n DESC, c) + {ROUNDS + 3} FROM covered
+  SELECT id AS symbol, id - {FIRST} + 4 AS id FROM text_of
+  UNION ALL SELECT unicode(c), row_number() OVER (ORDER BY n DESC, c) + {TOKENS + 3} FROM covered
 )"""
 
 
@@ -143,18 +166,20 @@ def sql_encoded(text: str, key: str = "doc_id", table: str = "documents") -> str
     """(key, i, id, token): units of each text in order. A word mark stands at the start of the text
     and for every run of spaces, nowhere else. Merged symbols and covered characters are units with
     an id; so is a run of other characters, without one."""
-    pieces = f"list_filter(string_split({text}, ' '), lambda w: w <> '')"
-    marked = f"list_transform({pieces}, lambda w: '▁' || w)"
-    state = f"list_transform({marked}, lambda w: {SQL_STATE.format('w')})"
     return f"""
-symbols AS (
-  SELECT {key}, generate_subscripts(x, 1) AS i, unnest(x)::BIGINT AS symbol
-  FROM (SELECT {key}, regexp_extract_all({sql_joined(f"array_to_string({state}, '|')")}, '[0-9]+') AS x
-        FROM {table})
+marked AS (
+  SELECT {key}, generate_subscripts(w, 1) AS place, '▁' || unnest(w) AS word
+  FROM (SELECT {key}, list_filter(string_split({text}, ' '), lambda w: w <> '') AS w FROM {table})
+), formed AS (
+  SELECT word, regexp_extract_all({sql_joined(SQL_STATE.format('word'))}, '[0-9]+') AS x
+  FROM (SELECT DISTINCT word FROM marked)
+), symbols AS (
+  SELECT {key}, place, generate_subscripts(x, 1) AS j, unnest(x)::BIGINT AS symbol FROM marked JOIN formed USING (word)
 ), spelled AS (
-  SELECT {key}, i, n.id, coalesce(t.txt, chr(least(symbol, 1114111)::INTEGER)) AS txt,
-         coalesce(lag(n.id IS NULL) OVER (PARTITION BY {key} ORDER BY i), false) AS after_unknown
-  FROM symbols LEFT JOIN numbers n USING (symbol) LEFT JOIN text{ROUNDS} t ON t.id = symbol
+  SELECT {key}, row_number() OVER ordered AS i, n.id, coalesce(t.txt, chr(least(symbol, 1114111)::INTEGER)) AS txt,
+         coalesce(lag(n.id IS NULL) OVER ordered, false) AS after_unknown
+  FROM symbols LEFT JOIN numbers n USING (symbol) LEFT JOIN text_of t ON t.id = symbol
+  WINDOW ordered AS (PARTITION BY {key} ORDER BY place, j)
 ), encoded AS (
   SELECT {key}, unit AS i, any_value(id) AS id, string_agg(txt, '' ORDER BY i) AS token
   FROM (SELECT *, sum(CASE WHEN id IS NULL AND after_unknown THEN 0 ELSE 1 END)
@@ -164,7 +189,7 @@ symbols AS (
 
 
 @query("merged_encode", f"""
-WITH {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
 FROM encoded GROUP BY doc_id
@@ -185,7 +210,7 @@ latin AS (
 
 
 @query("byte_merged", f"""
-WITH {SQL_BYTE_SOURCE}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
+WITH RECURSIVE {SQL_BYTE_SOURCE}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text', table='latin')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
 FROM encoded GROUP BY doc_id
@@ -207,7 +232,7 @@ coded AS (
 
 
 @query("input_method_merged", f"""
-WITH {SQL_CODED}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
+WITH RECURSIVE {SQL_CODED}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text', table='coded')}
 SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids
 FROM encoded GROUP BY doc_id
@@ -219,7 +244,7 @@ def input_method_merged(t):
 
 
 SQL_REPACKED = f"""
-WITH {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
 {SQL_MERGED_NUMBERS}, {sql_encoded('text')},
 cells AS (SELECT doc_id, i, token, id FROM encoded),
 token_firsts AS (SELECT token, count(*) AS n, min(doc_id) AS doc_id FROM cells GROUP BY token),
@@ -257,11 +282,37 @@ def repack_encode(t):
     return t.documents.select("doc_id", joined(repacked(t).ids(F.col("text"))).alias("ids"))
 
 
-@query("byte_level_vocab")
+# White space and the printable characters of the byte-level rule.
+SQL_WHITE = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SQL_PRINTED = "[" + ", ".join(f"chr({c})" for c in merges.byte_level_table()) + "]"
+SQL_CONTRACTIONS = "|".join("''" + end for end in ("s", "t", "re", "ve", "m", "ll", "d"))
+# A mark stands before the last of several white characters that a word follows: the rule looks
+# ahead there, and what follows the mark is a piece of its own.
+SQL_BYTE_LEVEL_PIECES = rf"""
+lines AS (SELECT unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line FROM documents),
+cut AS (
+  SELECT unnest(regexp_extract_all(
+    regexp_replace(line, '([{SQL_WHITE}]+)([{SQL_WHITE}][^{SQL_WHITE}])', '\1' || chr(57344) || '\2', 'g'),
+    '{SQL_CONTRACTIONS}| ?\p{{L}}+| ?\p{{N}}+| ?[^{SQL_WHITE}\p{{L}}\p{{N}}\x{{E000}}]+|[{SQL_WHITE}]+')) AS raw
+  FROM lines
+), pieces AS (
+  SELECT array_to_string(list_transform({sql_bytes('raw')}, lambda b: ({SQL_PRINTED})[b + 1]), '') AS piece, n
+  FROM (SELECT raw, count(*) AS n FROM cut GROUP BY raw)
+)"""
+
+
+@query("byte_level_vocab", f"""
+WITH RECURSIVE {SQL_BYTE_LEVEL_PIECES}, {sql_training(min_count=tokenizers.LINE_MIN_COUNT)}
+SELECT token, (i - 1)::BIGINT AS id FROM (
+  SELECT unnest({tokenizers.LINE_SPECIALS}) AS token, unnest(range(1, {len(tokenizers.LINE_SPECIALS) + 1})) AS i)
+UNION ALL SELECT c, row_number() OVER (ORDER BY unicode(c)) + {len(tokenizers.LINE_SPECIALS) - 1}
+  FROM (SELECT unnest({SQL_PRINTED}) AS c)
+UNION ALL SELECT txt, id - {FIRST} + {len(tokenizers.LINE_SPECIALS) + 256} FROM text_of
+""")
 def byte_level_vocab(t):
-    """Specials, 256 bytes and 24 merges of the byte-level rule. Its pattern looks
-    ahead, which the SQL engine's patterns cannot; tests compare it with a library."""
-    model, tokens = tokenizers.byte_level_model(t.documents, size=5 + 256 + 24)
+    """Specials, 256 bytes and 200 merged tokens of the byte-level rule."""
+    size = len(tokenizers.LINE_SPECIALS) + 256 + TOKENS
+    model, tokens = tokenizers.byte_level_model(t.documents, size=size)
     return t.spark.createDataFrame([(k, i) for i, k in enumerate(tokens)], "token string, id bigint")
 
 

@@ -1,4 +1,4 @@
-"""Merged vocabularies: learn which neighbouring symbols join, and apply them.
+"""Merged vocabularies: which neighbouring symbols join, and how texts are encoded by them.
 
 A piece (a word, usually) is a string of symbol ids, `<12><57><9>`. Joining a pair
 is then a literal `replace` of `<12><57>` by `<300>`: left to right, without
@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lookup as L, text as T
-from ..session import materialize
 
 FIRST_JOINED = L.CODE_POINTS
 UNKNOWN = 0
@@ -29,8 +28,6 @@ BYTE_LEVEL_PATTERN = (
     r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 
-# How many of the best pairs a round looks at.
-_CANDIDATES = 256
 # A task forgets the pieces it has encoded when it holds more than this many.
 _MEMO_PIECES = 500_000
 # Up to this length, looking at every pair again is faster than keeping a queue.
@@ -109,17 +106,6 @@ def pair_counts(states: DataFrame) -> DataFrame:
     )
 
 
-def join_pairs(state: Column, pairs: Sequence[tuple[int, int, int]]) -> Column:
-    """Apply (left, right, joined) in order. A loop over a literal array, so that the
-    expression does not grow with the number of pairs."""
-    if not pairs:
-        return state
-    steps = F.array(
-        *[F.struct(F.lit(f"<{a}><{b}>").alias("old"), F.lit(f"<{c}>").alias("new")) for a, b, c in pairs]
-    )
-    return F.aggregate(steps, state, lambda text, step: F.replace(text, step["old"], step["new"]))
-
-
 @dataclass
 class MergeModel:
     """Learned merges in rank order, and the text of every joined symbol."""
@@ -162,67 +148,6 @@ class MergeModel:
         return model
 
 
-def safe_batch(model: MergeModel, ranked: list, room: int, all_seen: bool) -> int:
-    """Add the leading pairs of `ranked` to the model; returns how many.
-
-    Pairs are taken while they share no symbol with one already taken. A new pair
-    made by a merge is at most as frequent as an old pair that shares a symbol
-    with it, so every taken pair above the first such pair's count is what
-    one-at-a-time merging would choose. A pair of equal sides, or one whose text
-    exists already, can make more frequent pairs: it ends the batch.
-    """
-    taken, used, texts = [], set(), set(model.by_text)
-    bound, open_ = (0 if all_seen else ranked[-1].n), True
-    for row in ranked:
-        if row.left in used or row.right in used:
-            bound = row.n
-            break
-        if open_ and len(taken) < room:
-            joined = model.text(row.left) + model.text(row.right)
-            open_ = row.left != row.right and joined not in texts
-            taken.append(row)
-            used.update((row.left, row.right))
-            texts.add(joined)
-    taken = taken[:1] + [row for row in taken[1:] if row.n > bound]
-    for row in taken:
-        model.add(row.left, row.right, row.n)
-    return len(taken)
-
-
-def train_merges(pieces: DataFrame, merges: int, min_count: int = 1,
-                 chars: Sequence[str] | None = None, write_every: int = 8) -> MergeModel:
-    """Learn `merges` merges from (piece, n); with `chars`, other characters join nothing.
-
-    Each round is one job over the distinct pieces; only its best pairs reach the
-    driver. Merges since the last written state are replayed in the job, and the
-    state is written to the shared folder every few rounds. Fully joined pieces
-    have no pairs left and are not written again.
-    """
-    known = None
-    if chars is not None:
-        known = L.dense_array({ord(c): ord(c) for c in chars}, UNKNOWN, "int")
-    written = materialize(symbol_state(spread(pieces), known), "pieces")
-    model, done, rounds = MergeModel(), 0, 0
-    while len(model.pairs) < merges:
-        if rounds and rounds % write_every == 0:
-            state = join_pairs(F.col("state"), model.pairs[done:])
-            moved = written.select(state.alias("state"), "n").where(F.col("state").contains("><"))
-            written, done = materialize(moved, "pieces"), len(model.pairs)
-        now = written.select(join_pairs(F.col("state"), model.pairs[done:]).alias("state"), "n")
-        ranked = (
-            pair_counts(now)
-            .where(F.col("n") >= min_count)
-            .orderBy(F.desc("n"), "left", "right")
-            .limit(_CANDIDATES)
-            .collect()
-        )
-        if not ranked:
-            break
-        safe_batch(model, ranked, merges - len(model.pairs), len(ranked) < _CANDIDATES)
-        rounds += 1
-    return model
-
-
 def merge_symbols(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply merges to one piece, lowest rank first and left to right."""
     if len(ids) > _SHORT_PIECE:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ..functions import lookup as L, text as T
-from ..operators import codes, corpus, encode, merges, repack, vocab
+from ..operators import codes, corpus, encode, merges, repack, training, vocab
 from ..session import materialize
 
 # Default special tokens and sizes, by the role they have in a config.
@@ -180,7 +180,7 @@ class MergedTokenizer(Tokenizer):
         room = self.config.max_vocab_size - len(self.specials) - len(alphabet)
         wanted = self.merges if self.merges is not None else max(room, 0)
         known = alphabet if self.coverage < 1.0 else None
-        self.model = merges.train_merges(pieces, wanted, 1, known)
+        self.model = training.train_merges(pieces, wanted, 1, known)
         self.tokens = merges.merged_vocab(self.model, self.specials, alphabet)
         self.numbers = merges.symbol_numbers(self.model, self.tokens, self.specials)
         return self
@@ -278,7 +278,7 @@ def byte_level_model(docs: DataFrame, text: str = "text", size: int = LINE_VOCAB
     lines = docs.select(F.explode(F.split(F.col(text), r"(?<=\n)")).alias("line"))
     pieces = merges.piece_counts(lines, merges.byte_level_pieces(F.col("line")))
     room = max(size - len(specials) - len(alphabet), 0)
-    model = merges.train_merges(pieces, room, min_count)
+    model = training.train_merges(pieces, room, min_count)
     return model, merges.merged_vocab(model, specials, alphabet, chars_first=True)
 
 

@@ -5,15 +5,15 @@ from itertools import groupby
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import merges
+from glyphmill.operators import merges, training
 from glyphmill.plans import tokenizers
 
 
-def greedy(pieces, rounds):
-    """One merge at a time over plain lists."""
+def greedy(pieces, tokens):
+    """One merge at a time over plain lists, until there are so many new tokens."""
     state = [([ord(c) for c in piece], n) for piece, n in pieces.items()]
     model = merges.MergeModel()
-    for _ in range(rounds):
+    while len(model.texts) < tokens:
         counts = Counter()
         for ids, n in state:
             for pair in zip(ids, ids[1:]):
@@ -32,21 +32,32 @@ def greedy(pieces, rounds):
     return model
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_batches_equal_one_at_a_time(spark, seed):
+@pytest.mark.parametrize("seed,frame,runs", [(1, 1024, 10**5), (2, 12, 10**5), (3, 40, 150), (4, 3, 10), (5, 25, 10**5)])
+def test_rounds_equal_one_at_a_time(spark, seed, frame, runs):
     rnd = random.Random(seed)
     pieces = Counter()
     for _ in range(400):
-        pieces["".join(rnd.choice("aabcd") for _ in range(rnd.randint(1, 9)))] += rnd.randint(1, 9)
+        pieces["".join(rnd.choice("aabcde") for _ in range(rnd.randint(1, 11)))] += rnd.randint(1, 9)
     table = spark.createDataFrame(list(pieces.items()), "piece string, n bigint")
-    model = merges.train_merges(table, 25, write_every=3)
-    expected = greedy(pieces, 25)
+    tokens = 12 if frame < 10 else 60
+    model = training.train_merges(table, tokens, frame=frame, most_runs=runs)
+    expected = greedy(pieces, tokens)
     assert model.pairs == expected.pairs and model.counts == expected.counts
 
 
+def test_rounds_on_documents(spark):
+    """Several rounds on real words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    table = merges.piece_counts(docs, merges.words(F.col("text")), merges.WORD_MARK).where("n > 3").cache()
+    pieces = {r.piece: r.n for r in table.collect()}
+    model = training.train_merges(table, 150, frame=200)
+    expected = greedy(pieces, 150)
+    assert model.pairs == expected.pairs and len(model.texts) == 150
+
+
 def test_rare_characters_join_nothing(spark):
     table = spark.createDataFrame([("abab", 50), ("azaz", 1)], "piece string, n bigint")
-    model = merges.train_merges(table, 10, chars=["a", "b"])
+    model = training.train_merges(table, 10, chars=["a", "b"])
     assert all("z" not in text for text in model.texts.values()) and "abab" in model.by_text
 
 
