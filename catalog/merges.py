@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from glyphmill.operators import merges, vocab
 from glyphmill.plans import tokenizers
 
+from glyphmill.session import scratch_path
+
 from .codes import SQL_DICT, entries
 from .registry import joined, query, sql_bytes
 
@@ -322,3 +324,61 @@ SELECT coalesce(id, 0)::BIGINT AS token, count(*) AS n FROM cells GROUP BY ALL
 def merged_token_counts(t):
     fitted = tokenizer(t).fit(t.documents)
     return vocab.token_counts(t.documents, fitted.ids(F.col("text")))
+
+
+def saved_path(t) -> str:
+    return scratch_path(t.spark, "tokenizer")
+
+
+def reopened(t, fitted):
+    """The tokenizer as it comes back from its folder."""
+    path = saved_path(t)
+    fitted.save(t.spark, path)
+    return tokenizers.open_tokenizer(t.spark, path)
+
+
+@query("merged_round_trip", f"""
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
+{SQL_MERGED_NUMBERS}, {sql_encoded('text')}
+SELECT doc_id, count(*) AS n_tokens,
+       substring(string_agg(CASE WHEN id IS NULL THEN '<unk>' ELSE replace(token, '▁', ' ') END, '' ORDER BY i), 2) AS text
+FROM encoded GROUP BY doc_id
+""")
+def merged_round_trip(t):
+    """Saved, opened again, encoded and decoded: the words with one space between them, runs of
+    characters that the vocabulary leaves out as the unknown mark."""
+    tok = reopened(t, tokenizer(t).fit(t.documents))
+    rows = t.documents.select("doc_id", tok.ids(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), tok.decode(F.col("ids")).alias("text"))
+
+
+@query("repacked_round_trip", """
+SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w <> ''), ' ') AS text FROM documents
+""")
+def repacked_round_trip(t):
+    """Byte codes of one to four bytes back to text. Every run of unknown characters has a code."""
+    path = saved_path(t)
+    tokenizer(t).fit(t.documents).save(t.spark, path)
+    config = {"name": "RepackagedByteTokenizer", "sp_path": path, "tokenizer_files_dir": saved_path(t)}
+    tok = tokenizers.prepared(t.spark, config, 512, t.documents)
+    rows = t.documents.select("doc_id", tok.ids(F.col("text")).alias("ids"))
+    return rows.select("doc_id", tok.decode(F.col("ids")).alias("text"))
+
+
+@query("reopened_encode", f"""
+WITH RECURSIVE {SQL_BYTE_SOURCE}, {SQL_WORD_PIECES}, {SQL_COVERED.format('1.0')}, {sql_training()},
+{SQL_MERGED_NUMBERS}, {sql_encoded('text', table='latin')}
+SELECT doc_id, string_agg(coalesce(id, 0)::VARCHAR, ' ' ORDER BY i) AS ids,
+       regexp_replace(array_to_string(list_filter(string_split(any_value(d.text), ' '), lambda w: w <> ''), ' '),
+                      '\\n+', '<unk>', 'g') AS text
+FROM encoded JOIN documents d USING (doc_id) GROUP BY doc_id
+""")
+def reopened_encode(t):
+    """A byte vocabulary from its configuration: learned and saved, then opened by the same configuration.
+    Line breaks are the only characters that a vocabulary of words does not know."""
+    config = {"name": "ByteBPETokenizer", "max_vocab_size": "", "special_tokens": {"pad_token": "<pad>"},
+              "tokenizer_files_dir": saved_path(t), "vocab_file_name": "bytes"}
+    tokenizers.prepared(t.spark, config, 512, t.documents, merges=TOKENS)
+    tok = tokenizers.prepared(t.spark, config, 512, t.documents.limit(0), merges=TOKENS)
+    rows = t.documents.select("doc_id", tok.ids(F.col("text")).alias("found"))
+    return rows.select("doc_id", joined(F.col("found")).alias("ids"), tok.decode(F.col("found")).alias("text"))

@@ -62,6 +62,11 @@ def latin1_text(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
+def text_of_latin1(text: Column) -> Column:
+    """The text whose bytes the characters U+0000..U+00FF are; bytes that are no text become U+FFFD."""
+    return F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
+
+
 def byte_tokens(text: Column, of: Callable[[Column], Column] = lambda b: b) -> Column:
     """Array of the UTF-8 byte values, or of a function of each."""
     return code_points(latin1_text(text), of)

@@ -120,13 +120,18 @@ def _items(text: str, known: dict[str, list[str]], sizes: list[int], han) -> lis
     return [*out, run] if run else out
 
 
+def check_method(method: str) -> None:
+    """Raise for a name that is no input method."""
+    if method not in DICTIONARY_METHODS and method not in READING_METHODS:
+        raise ValueError(f"unknown input method: {method!r}")
+
+
 def convert_text(text: Column, method: str, codes: DataFrame | None = None,
                  phrases: DataFrame | None = None) -> Column:
     """The text in the form named by `method`; an empty name leaves it as it is."""
     if method == "":
         return text
-    if method not in DICTIONARY_METHODS and method not in READING_METHODS:
-        raise ValueError(f"unknown input method: {method!r}")
+    check_method(method)
     if codes is None:
         raise ValueError(f"input method {method!r} needs a dictionary table")
     if method in DICTIONARY_METHODS:

@@ -34,6 +34,13 @@ def bytes_from_ids(ids: Column) -> Column:
     return T.bytes_to_text(F.transform(plain, lambda i: i - BYTE_OFFSET))
 
 
+def joined_tokens(ids: Column, tokens: dict[int, str], unknown: str) -> Column:
+    """The tokens of an array of ids in a row; ids without a token give the unknown mark."""
+    table = L.dense_array(tokens, None, "string")
+    return A.let(table, lambda names: F.array_join(
+        F.transform(ids, lambda i: L.text_at(names, i.cast("int"), F.lit(unknown))), ""))
+
+
 def byte_alphabet(spark) -> DataFrame:
     """(token, id): four specials and 256 bytes as Latin-1 characters."""
     heads = spark.createDataFrame(list(BYTE_SPECIALS.items()), "token string, id bigint")

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import lookup as L, text as T
 
 FIRST_JOINED = L.CODE_POINTS
+# The most tokens or merges of a vocabulary that the driver takes.
+MOST_TOKENS = 1_000_000
 UNKNOWN = 0
 
 # The mark put before each word, and the pattern of the byte-level rule.
@@ -142,7 +144,7 @@ class MergeModel:
     @classmethod
     def from_table(cls, merges: DataFrame) -> "MergeModel":
         model = cls()
-        for row in sorted(L.small_rows(merges, 1_000_000), key=lambda r: r["rank"]):
+        for row in sorted(L.small_rows(merges, MOST_TOKENS), key=lambda r: r["rank"]):
             ids = [model.by_text.get(t) or ord(t) for t in (row.left, row.right)]
             model.add(*ids, row.n)
         return model

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import lookup as L
+from ..functions import arrays as A, lookup as L
 
 # The first code is the space; surrogates are not valid in UTF-8.
 FIRST_CODE = 32
@@ -55,6 +55,26 @@ def apply_remap(tokens: DataFrame, remap: DataFrame, unk: str | None = "<unk>",
     )
 
 
+def ranks_of(values: Column) -> Column:
+    """Ranks of an array of bytes that holds codes one after another. The first byte of a code tells
+    its length; codes that are not whole, and bytes before the first one, give none."""
+
+    def rank(codes: Column, first: Column, i: Column) -> Column:
+        tail = lambda k: F.get(codes, i + k).bitwiseAND(F.lit(0x3F))
+        point = (
+            F.when(first < 0x80, first)
+            .when(first < 0xE0, F.shiftleft(first.bitwiseAND(F.lit(0x1F)), 6) + tail(1))
+            .when(first < 0xF0, F.shiftleft(first.bitwiseAND(F.lit(0x0F)), 12) + F.shiftleft(tail(1), 6) + tail(2))
+            .otherwise(F.shiftleft(first.bitwiseAND(F.lit(0x07)), 18) + F.shiftleft(tail(1), 12)
+                       + F.shiftleft(tail(2), 6) + tail(3))
+        )
+        plain = F.when(point >= SURROGATES_FROM + SURROGATES, point - SURROGATES).otherwise(point) - FIRST_CODE
+        return F.when(first.bitwiseAND(F.lit(0xC0)) != 0x80, plain)
+
+    whole = A.let(values.cast("array<int>"), lambda codes: F.transform(codes, lambda b, i: rank(codes, b, i)))
+    return F.filter(whole, lambda r: r.isNotNull())
+
+
 def repacked_ids(ids: Column, codes: dict[int, list[int]], unknown: list[int], offset: int) -> Column:
     """Byte ids of an array of token ids: each id's code, plus the offset.
 

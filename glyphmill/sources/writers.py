@@ -9,11 +9,15 @@ from .readers import LINE_ORDER
 
 
 def write_vocab(vocab: DataFrame, path: str) -> None:
-    """(token, id). A path ending in `.json` gets one object sorted by token; a
-    vocabulary has a size cap, so the object is bounded."""
+    """(token, id). A path ending in `.json` gets one object sorted by token, an entry a line: one
+    file, written line by line, so no row holds more than an entry."""
     if path.endswith(".json"):
-        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "id"))))
-        vocab.agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        key = F.regexp_extract(F.to_json(F.struct(F.col("token").alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+        comma = F.when(F.col("token") == vocab.agg(F.min("token")).scalar(), "").otherwise(",")
+        entries = vocab.select(F.lit(1).alias("part"), "token", F.concat(comma, key, F.lit(":"), "id").alias("value"))
+        ends = vocab.sparkSession.createDataFrame([(0, "", "{"), (2, "", "}")], "part int, token string, value string")
+        lines = entries.unionByName(ends).repartition(1).sortWithinPartitions("part", "token")
+        lines.select("value").write.mode("overwrite").text(path)
     else:
         vocab.write.mode("overwrite").parquet(path)
 
