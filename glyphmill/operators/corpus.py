@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
-from .ordering import bucket_of, key_bounds
+from .ordering import bucket_of, sampled_keys
 
 
 def non_empty(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,34 +26,32 @@ def trim_to_mark(docs: DataFrame, mark: str = "。", low: int = 100, high: int =
     )
 
 
-# Up to this many keys are sorted at once to find one of them.
-_SORTED_AT_ONCE = 2_000_000
+# A bucket of keys that is sorted at once to find one of them.
+_SORTED_AT_ONCE = 20_000
 
 
 def nth_key(rows: DataFrame, n: int, key: str):
-    """The n-th smallest key, or None when there are fewer rows.
+    """The n-th smallest key of any ordered type, or None when there are fewer rows. Null keys have no place.
 
-    Far down, the bucket that holds the place is found by counting, again and again
-    until few enough keys are left to sort.
+    Keys are counted in buckets between sampled keys, then those of the one bucket that holds the place,
+    until it is small or holds one key alone. Only the key column is read, and no task sorts
+    more than a bucket.
     """
-    while n > _SORTED_AT_ONCE:
-        bucket = bucket_of(F.col(key), key_bounds(rows, key))
-        sizes = sorted((r.b, r.n) for r in rows.groupBy(bucket.alias("b")).agg(
-            F.count("*").alias("n")).collect())
-        before = 0
-        for place, size in sizes:
-            if before + size >= n:
+    keys = rows.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    size, level = keys.count(), 0
+    if not 0 < n <= size:
+        return None
+    while size > _SORTED_AT_ONCE:
+        bucket = bucket_of(F.col("k"), sampled_keys(keys, "k", salt=level))
+        sizes = keys.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+        for found in sorted(sizes.collect(), key=lambda r: r.b):
+            if found.n >= n:
                 break
-            before += size
-        else:
-            return None
-        if size == sum(s for _, s in sizes):
-            break
-        rows, n = rows.where(bucket == place), n - before
-    found = rows.select(key).orderBy(key).limit(n).agg(
-        F.max(key).alias("top"), F.count("*").alias("n")
-    ).first()
-    return found.top if found.n == n else None
+            n -= found.n
+        if found.low == found.high:
+            return found.low
+        keys, size, level = keys.where(F.col("k").between(F.lit(found.low), F.lit(found.high))), found.n, level + 1
+    return keys.orderBy("k").collect()[n - 1].k
 
 
 def max_examples(docs: DataFrame, n: int | None, key: str = "doc_id") -> DataFrame:
@@ -80,10 +78,7 @@ def widening_prefixes(docs: DataFrame, start: int, key: str = "doc_id") -> Itera
     For work that may be able to stop early: the sum of all tries is little more
     than the last one.
     """
-    while start <= _SORTED_AT_ONCE:
-        top = nth_key(docs, start, key)
-        if top is None:
-            break
+    while (top := nth_key(docs, start, key)) is not None:
         yield docs.where(F.col(key) <= F.lit(top))
         start *= 8
     yield docs
@@ -97,7 +92,7 @@ def first_passing(docs: DataFrame, n: int, passing: Callable[[DataFrame], DataFr
     would, so a large corpus is not read to its end.
     """
     held = None
-    for prefix in widening_prefixes(docs, 4 * n, key):
+    for prefix in widening_prefixes(docs, max(4 * n, 1), key):
         if held is not None and passing(held).limit(n).count() >= n:
             break
         held = prefix

@@ -14,19 +14,32 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 # Buckets are a power of two: at least 256, and some per core up to 4096.
 _LEAST_DEPTH, _MOST_DEPTH = 8, 12
 
 
+def sampled_keys(df: DataFrame, key: str, count: int = 1024, salt: int = 0) -> list:
+    """Up to `count` distinct keys of any ordered type, in order: of the keys whose hash falls into one of
+    `count` cells, the one with the greatest hash. The same keys give the same sample, wherever they are."""
+    mixed = F.xxhash64(F.lit(salt), F.col(key))
+    cells = df.where(F.col(key).isNotNull()).groupBy(F.pmod(mixed, F.lit(count)).alias("cell"))
+    picked = cells.agg(F.max_by(key, mixed).alias("k"))
+    return [r.k for r in picked.select("k").orderBy("k").collect()]
+
+
 def key_bounds(df: DataFrame, key: str) -> list:
-    """Approximate quantiles of a numeric key that cut it into 256 to 4096 buckets; one
-    pass over that column alone."""
+    """Keys that cut the rows into 256 to 4096 buckets: approximate quantiles of a number, a sample of
+    the distinct keys of any other type. One pass over that column alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     count = 2 ** min(max((2 * cores - 1).bit_length(), _LEAST_DEPTH), _MOST_DEPTH)
-    shares = [i / count for i in range(1, count)]
-    row = df.agg(F.percentile_approx(key, shares, 20 * count).alias("b")).first()
-    bounds = sorted(row.b or [0])
+    if isinstance(df.schema[key].dataType, NumericType):
+        shares = [i / count for i in range(1, count)]
+        row = df.agg(F.percentile_approx(key, shares, 20 * count).alias("b")).first()
+        bounds = sorted(row.b or [0])
+    else:
+        bounds = sampled_keys(df, key, count - 1) or [None]
     return bounds + [bounds[-1]] * (count - 1 - len(bounds))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import text as T
 from ..session import materialize
@@ -14,9 +15,10 @@ from .ordering import bucket_of, key_bounds, ordered_index
 # Counts from here on share one bucket per power of two; below, equal counts
 # share one and are cut further by the document where the token came first.
 _FINE_COUNTS = 1024
-# Keys below 2**36 and positions below 2**27 share one BIGINT.
-_PLACE_BITS = 27
-_PACKED_KEYS, _LAST_PLACE = 2 ** (63 - _PLACE_BITS), 2**_PLACE_BITS - 1
+# A whole-number key and a position make one number of up to 32 digits.
+_PLACES = 2**31
+# The first prefix that is tried for a cap on distinct characters.
+_FIRST_PREFIX = 256
 
 
 def char_column(text: str = "text") -> Column:
@@ -44,50 +46,29 @@ def counts_with_first(docs: DataFrame, tokens: Column | None = None,
                       key: str = "doc_id") -> DataFrame:
     """(token, n, first_doc, first_pos): counts with the place of first appearance.
 
-    Key and position are packed into one BIGINT, so that one pass with a plain hash
-    aggregation finds both. Where a key or a position does not fit, a second pass
-    reads the positions from the documents that hold a first appearance. The result
-    is written to the shared folder: it is small next to the texts, and ranking
-    reads it twice.
+    One pass and one aggregation for keys of any ordered type, repeated ones too: the least
+    place. A whole-number key and a position are one decimal, which a hash aggregation
+    can hold; other keys are compared with their positions as they are. The result is
+    written to the shared folder: it is small next to the texts, and ranking reads it twice.
     """
     tokens = char_column() if tokens is None else tokens
-    ends = docs.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if isinstance(ends.low, int) and ends.low >= 0 and ends.high < _PACKED_KEYS:
-        packed = F.shiftleft(F.col(key).cast("bigint"), _PLACE_BITS) + F.least(
-            "pos", F.lit(_LAST_PLACE)
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        head = F.col(key).cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)")
+        rows = docs.select(head.alias("head"), F.posexplode(tokens).alias("pos", "token"))
+        least = F.min(F.col("head") + F.col("pos").cast("decimal(10,0)"))
+        counts = rows.groupBy("token").agg(F.count("*").alias("n"), least.alias("place"))
+        pos = F.pmod("place", F.lit(_PLACES).cast("decimal(10,0)"))
+        doc = F.call_function("div", F.col("place") - F.col("first_pos"), F.lit(_PLACES).cast("decimal(10,0)"))
+        found = counts.withColumn("first_pos", pos).select(
+            "token", "n", doc.cast(docs.schema[key].dataType).alias("first_doc"), F.col("first_pos").cast("bigint").alias("first_pos")
         )
-        counts = (
-            docs.select(key, F.posexplode(tokens).alias("pos", "token"))
-            .groupBy("token")
-            .agg(F.count("*").alias("n"), F.min(packed).alias("place"))
+    else:
+        rows = docs.select(F.col(key).alias("doc"), F.posexplode(tokens).alias("pos", "token"))
+        counts = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("place"))
+        found = counts.select(
+            "token", "n", F.col("place.doc").alias("first_doc"), F.col("place.pos").cast("bigint").alias("first_pos")
         )
-        found = materialize(
-            counts.select(
-                "token", "n", F.shiftright("place", _PLACE_BITS).alias("first_doc"),
-                F.col("place").bitwiseAND(F.lit(_LAST_PLACE)).cast("bigint").alias("first_pos"),
-            ),
-            "counts",
-        )
-        if found.where(F.col("first_pos") == _LAST_PLACE).isEmpty():
-            return found
-    return materialize(_counts_in_two_passes(docs, tokens, key), "counts")
-
-
-def _counts_in_two_passes(docs: DataFrame, tokens: Column, key: str) -> DataFrame:
-    counts = materialize(
-        docs.select(F.col(key).alias("first_doc"), F.explode(tokens).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"), F.min("first_doc").alias("first_doc")),
-        "counts",
-    )
-    holders = counts.select(F.col("first_doc").alias(key)).distinct()
-    places = docs.join(holders, key, "left_semi").select(
-        F.col(key).alias("first_doc"), tokens.alias("tokens")
-    )
-    return places.join(counts, "first_doc").select(
-        "token", "n", "first_doc",
-        (F.array_position("tokens", F.col("token")) - 1).alias("first_pos"),
-    )
+    return materialize(found, "counts")
 
 
 def add_counts(parts: DataFrame) -> DataFrame:
@@ -142,7 +123,7 @@ def cap_documents(docs: DataFrame, max_distinct: int | None, max_docs: int | Non
     docs = max_examples(docs, max_docs, key)
     if max_distinct is None:
         return docs
-    for prefix in widening_prefixes(docs, 20_000, key):
+    for prefix in widening_prefixes(docs, _FIRST_PREFIX, key):
         new_chars = _first_docs(prefix, key, text).groupBy("first_doc").agg(
             F.count("*").alias("fresh")
         )

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators import corpus, ordering, repack, vocab
@@ -130,6 +131,44 @@ def test_nth_key_far_down(spark, monkeypatch):
     assert corpus.max_examples(rows, 1234, "k").count() == 1234
 
 
+def test_nth_key_of_other_types_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "_SORTED_AT_ONCE", 20)
+    kinds = {
+        "string": F.concat(F.lit("é"), F.hex("id")), "timestamp": F.timestamp_seconds(F.col("id") * 977),
+        "double": F.col("id") / 7, "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+    }
+    for kind, column in kinds.items():
+        rows = spark.range(600).select(column.cast(kind).alias("k"))
+        keys = [r.k for r in rows.orderBy("k").collect()]
+        assert [corpus.nth_key(rows, n, "k") for n in (1, 299, 600, 601, 0)] == [keys[0], keys[298], keys[599], None, None]
+    # A third of the rows has one key; some have none.
+    hot = spark.range(900).select(F.when(F.col("id") % 3 == 0, 500).when(F.col("id") % 10 == 1, None).otherwise(F.col("id")).alias("k"))
+    keys = [r.k for r in hot.where("k is not null").orderBy("k").collect()]
+    for n in (1, 200, 400, len(keys)):
+        assert corpus.nth_key(hot, n, "k") == keys[n - 1]
+    assert corpus.nth_key(hot, len(keys) + 1, "k") is None
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "date"])
+def test_first_places_of_repeated_keys(spark, kind):
+    """Keys beyond any packing, below zero, repeated, and of other types."""
+    numbers = {"bigint": [2**40 + 1, 2**40 + 1, 2**40 + 2, -5, 2**62, -(2**62)], "int": [7, 7, 8, -5, 2**31 - 1, -(2**31)]}
+    keys = numbers.get(kind, [3, 3, 4, 2, 9, 1])
+    texts = ["ab", "cab", "bd", "xyb", "cq", "zz"]
+    docs = spark.createDataFrame(list(zip(keys, texts)), "k bigint, text string")
+    column = F.concat(F.lit("key "), "k") if kind == "string" else F.date_add(F.lit("2020-01-01").cast("date"), F.col("k").cast("int")) if kind == "date" else F.col("k").cast(kind)
+    docs = docs.withColumn("k", column)
+    want = {}
+    for r in docs.collect():
+        for pos, c in enumerate(r.text):
+            n, place = want.get(c, (0, (r.k, pos)))
+            want[c] = (n + 1, min(place, (r.k, pos)))
+    got = vocab.counts_with_first(docs, key="k").collect()
+    assert {r.token: (r.n, (r.first_doc, r.first_pos)) for r in got} == want and len(got) == len(want)
+    ranked = vocab.ranked_tokens(docs, key="k").orderBy("rank").collect()
+    assert [r.token for r in ranked] == sorted(want, key=lambda c: (-want[c][0], want[c][1]))
+
+
 def test_first_passing_widens(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     late = lambda df: df.where(F.col("doc_id") >= 900)
