@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -129,6 +129,23 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 # Inside tasks.
 
 
+def held(key: tuple, make: Callable):
+    """An object that a worker process makes once and keeps for its later tasks. It is kept with the
+    interpreter, since a function that travels with a job finds new module variables in each task."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_held_by_tasks", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; at their end the memory that Arrow keeps for later goes back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `size` bytes of text each, at least one row."""
     for batch in batches:

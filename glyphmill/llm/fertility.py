@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -59,20 +58,25 @@ SCHEMA = (
 )
 
 
-@lru_cache(maxsize=4)
+# A task measures about so many bytes of text at a time, with some two hundred bytes of numbers for each word.
+STEP_BYTES = 2_000_000
+
+
 def _pieces(path: str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return C.held(("pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
-@lru_cache(maxsize=4)
 def _units(path: str, pattern: str):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def read():
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return C.held(("units", path, pattern), read)
 
 
 def _per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -169,12 +173,13 @@ def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = No
     unit_path, pattern = unit_path or P.path("byte_bpe_50k.tiktoken"), pattern or P.PATTERN
     added = [f.split()[0] for f in SCHEMA.split(", ")]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_text"))
+    text_name = C.free_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(text_name))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.chunks(batches, "_text"):
-            texts = pc.fill_null(batch.column("_text").cast(pa.large_string()), "")
+        for batch in C.chunks(batches, text_name, STEP_BYTES):
+            texts = pc.fill_null(batch.column(text_name).cast(pa.large_string()), "")
             n, words = len(texts), C.Words(texts)
             spaces = pc.count_substring_regex(texts, r"[\x20\x09-\x0D]").to_numpy()
             tokens = _token_measures(words, n, piece_path, unit_path, pattern)
@@ -188,7 +193,7 @@ def measure(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = No
                       for c in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*kept, *added])
 
-    return source.mapInArrow(measured, f"{fields}, {SCHEMA}")
+    return source.mapInArrow(lambda batches: C.released(measured(batches)), f"{fields}, {SCHEMA}")
 
 
 def judged(measures: DataFrame, bands: Mapping[str, Band] = BANDS) -> DataFrame:
