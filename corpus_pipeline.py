@@ -11,9 +11,13 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = fertility.judged(fertility.measure(docs))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, with all their columns; a column named like one of the
+    measures keeps its own values. Null and empty texts have no words and go; repeated rows are
+    judged alike."""
+    inner = [f"_given{i}" for i in range(len(docs.columns))]
+    text = inner[docs.columns.index("text")]
+    judged = fertility.judged(fertility.measure(docs.toDF(*inner), text))
+    return judged.where("kept").select(*[F.col(a).alias(c) for a, c in zip(inner, docs.columns)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
