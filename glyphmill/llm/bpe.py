@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.merges import byte_level_table
 from . import common as C
 
-# A task forgets the words it has encoded when it holds more than this many, and when it ends.
-_MEMO_WORDS = 300_000
+# The words that a worker process remembers, some three hundred bytes each: the first it meets, which hold the frequent ones.
+_MEMO_WORDS = 200_000
 # Rows that a task encodes or decodes at a time: ids and decoded text are several times the text.
 _ENCODED, _DECODED = 1024, 256
 _NEVER = 1 << 62
@@ -130,8 +130,8 @@ class WordCoder:
         return out
 
     def encode_all(self, texts: pa.Array, memo: dict[str, np.ndarray]) -> pa.Array:
-        """The ids of a column of texts. A word is encoded once and remembered in `memo`; texts that
-        hold the text of a special token are encoded by themselves."""
+        """The ids of a column of texts. A word is encoded once, and remembered in `memo` while
+        there is room; texts that hold the text of a special token are encoded by themselves."""
         plain, alone = [], {}
         for row, text in enumerate(texts.to_pylist()):
             text = text or ""
@@ -141,13 +141,13 @@ class WordCoder:
             plain.append(self.words(text))
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         coded = lists.flatten().dictionary_encode()
-        if len(memo) > _MEMO_WORDS:
-            memo.clear()
         cells = []
         for word in coded.dictionary.to_pylist():
             ids = memo.get(word)
             if ids is None:
-                ids = memo[word] = np.array(self.word(word), np.int32)
+                ids = np.array(self.word(word), np.int32)
+                if len(memo) < _MEMO_WORDS:
+                    memo[word] = ids
             cells.append(ids)
         sizes = np.fromiter(map(len, cells), np.int64, len(cells))
         codes = coded.indices.to_numpy().astype(np.int64)
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     path = path or vocabulary_path()
 
     def start():
-        memo: dict[str, np.ndarray] = {}
+        memo: dict[str, np.ndarray] = C.held(("words", path), dict)
         return lambda texts: coder(path).encode_all(texts, memo)
 
     return _mapped(docs, text, start, _ENCODED, out, "array<int>")
