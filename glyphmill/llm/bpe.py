@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.merges import byte_level_table
 from . import common as C
 
-# The words that a worker process remembers, some three hundred bytes each: the first it meets, which hold the frequent ones.
-_MEMO_WORDS = 200_000
-# Rows that a task encodes or decodes at a time: ids and decoded text are several times the text.
-_ENCODED, _DECODED = 1024, 256
+# A task forgets the words it has encoded when it holds more than this many.
+_MEMO_WORDS = 500_000
+# Rows that a task works on at a time: ids and decoded text are several times the text.
+_ROWS = 256
 _NEVER = 1 << 62
 
 
@@ -102,6 +102,7 @@ class WordCoder:
         # The file's rule is for a library whose \s is Unicode's white space.
         self.pieces = regex.compile(rule.replace(r"\s", r"\p{White_Space}")).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(added))) + ")").split
+        self.memo: dict[str, list[int]] = {}
         self.table: pa.Array | None = None
 
     def piece(self, text: str) -> list[int]:
@@ -109,61 +110,26 @@ class WordCoder:
         chars[-1] += self.end
         return merge_by_tree([self.vocab[c] for c in chars], self.ranks)
 
-    def words(self, text: str) -> str:
-        """The text as its words are encoded, with spaces between. Lower-casing is by character there: a
-        last sigma is like any other. No piece goes over white space; other white space than the space
-        and the line break stays inside a word and is in no piece."""
-        if text.isascii():
-            return text.lower().replace("\n", " ")
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().replace("\n", " ")
-
-    def word(self, word: str) -> list[int]:
-        return [i for piece in self.pieces(word) for i in self.piece(piece)]
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        memo = self.memo
         for part in self.specials(text):
             if part in self.added:
                 out.append(self.added[part])
-            else:
-                out += [i for word in self.words(part).split(" ") for i in self.word(word)]
+                continue
+            # Lower-casing is by character there: a last sigma is like any other.
+            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            # No piece goes over white space, so what stands between is encoded once. Other white
+            # space than these two stays inside and is in no piece.
+            for word in part.replace("\n", " ").split(" "):
+                ids = memo.get(word)
+                if ids is None:
+                    if len(memo) > _MEMO_WORDS:
+                        memo.clear()
+                    ids = memo[word] = [i for piece in self.pieces(word) for i in self.piece(piece)]
+                out += ids
         return out
 
-    def encode_all(self, texts: pa.Array, memo: dict[str, np.ndarray]) -> pa.Array:
-        """The ids of a column of texts. A word is encoded once, and remembered in `memo` while
-        there is room; texts that hold the text of a special token are encoded by themselves."""
-        plain, alone = [], {}
-        for row, text in enumerate(texts.to_pylist()):
-            text = text or ""
-            if any(special in text for special in self.added):
-                alone[row] = np.array(self.encode(text), np.int32)
-                text = ""
-            plain.append(self.words(text))
-        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        cells = []
-        for word in coded.dictionary.to_pylist():
-            ids = memo.get(word)
-            if ids is None:
-                ids = np.array(self.word(word), np.int32)
-                if len(memo) < _MEMO_WORDS:
-                    memo[word] = ids
-            cells.append(ids)
-        sizes = np.fromiter(map(len, cells), np.int64, len(cells))
-        codes = coded.indices.to_numpy().astype(np.int64)
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[codes] - ends + each, each)
-        flat = np.concatenate([*cells, np.zeros(0, np.int32)])[place]
-        rows = np.repeat(np.arange(len(plain)), pc.list_value_length(lists).to_numpy())
-        counts = np.bincount(rows, weights=each, minlength=len(plain)).astype(np.int64)
-        if alone:
-            parts = np.split(flat, np.cumsum(counts)[:-1])
-            parts = [alone.get(row, part) for row, part in enumerate(parts)]
-            flat, counts = np.concatenate(parts), np.array(list(map(len, parts)))
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-
     def decode(self, ids: pa.Array) -> pa.Array:
         """The texts of a column of id lists; a null list is empty."""
         if self.table is None:
@@ -180,7 +146,7 @@ class WordCoder:
 
 
 def coder(path: str) -> WordCoder:
-    return C.held(("coder", path), lambda: WordCoder(path))
+    return C.held("bpe", path, lambda: WordCoder(path))
 
 
 def vocabulary_path() -> str:
@@ -189,19 +155,17 @@ def vocabulary_path() -> str:
     return P.path("word_bpe_49k.json")
 
 
-def _mapped(docs: DataFrame, column: str, start, rows: int, out: str, kind: str) -> DataFrame:
-    """All columns of `docs` and `out`, in place of one of that name. `start` gives a task its work:
-    from the column as an Arrow array, `rows` at a time, to the result."""
+def _mapped(docs: DataFrame, column: str, work, out: str, kind: str) -> DataFrame:
+    """All columns of `docs` and `out` = work(column as an Arrow array), in place of one of that name."""
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     value = C.free_name(docs, "_value")
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias(value))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = start()
         for batch in batches:
-            for first in range(0, batch.num_rows, rows):
-                part = batch.slice(first, rows)
+            for first in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(first, _ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], work(part.column(value))], names=[*kept, out])
 
     return source.mapInArrow(lambda batches: C.released(mapped(batches)), f"{fields}`{out}` {kind}")
@@ -214,16 +178,12 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, out: st
     existing column named `out` is replaced.
     """
     path = path or vocabulary_path()
-
-    def start():
-        memo: dict[str, np.ndarray] = C.held(("words", path), dict)
-        return lambda texts: coder(path).encode_all(texts, memo)
-
-    return _mapped(docs, text, start, _ENCODED, out, "array<int>")
+    return _mapped(docs, text, lambda texts: pa.array(
+        [coder(path).encode(t or "") for t in texts.to_pylist()], pa.list_(pa.int32())), out, "array<int>")
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, out: str = "decoded") -> DataFrame:
     """All columns and the text of each array of ids: the tokens' texts with a space
     between, special ones included, ids outside the vocabulary left out; null is empty."""
     path = path or vocabulary_path()
-    return _mapped(rows, ids, lambda: coder(path).decode, _DECODED, out, "string")
+    return _mapped(rows, ids, lambda lists: coder(path).decode(lists), out, "string")

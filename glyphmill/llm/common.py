@@ -129,15 +129,19 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 # Inside tasks.
 
 
-def held(key: tuple, make: Callable):
-    """An object that a worker process makes once and keeps for its later tasks. It is kept with the
-    interpreter, since a function that travels with a job finds new module variables in each task."""
+def held(owner: str, key, make: Callable):
+    """An object that a worker process makes once and keeps for its later tasks, until a task of another
+    owner runs there. It is kept with the interpreter, since a function that travels with a job
+    finds new module variables in each task."""
     import sys
 
     kept = sys.__dict__.setdefault("_held_by_tasks", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept["owner"] = owner
+    if (key,) not in kept:
+        kept[(key,)] = make()
+    return kept[(key,)]
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,7 @@ STEP_BYTES = 2_000_000
 def _pieces(path: str):
     import sentencepiece
 
-    return C.held(("pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
+    return C.held("fertility", ("pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 def _units(path: str, pattern: str):
@@ -76,7 +76,7 @@ def _units(path: str, pattern: str):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    return C.held(("units", path, pattern), read)
+    return C.held("fertility", ("units", path, pattern), read)
 
 
 def _per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
