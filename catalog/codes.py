@@ -196,7 +196,7 @@ def convert_five_stroke_dict(t):
 
 @query("convert_shape_code_dict", f"""
 WITH {SQL_DICT}
-SELECT value FROM {SQL_HEAD} v(value) WHERE value NOT IN ('')
+SELECT value FROM {SQL_HEAD} v(value)
 UNION ALL SELECT 'alone'
 UNION ALL SELECT concat_ws(chr(9), ch, code, '7', code || code) FROM entries
 UNION ALL SELECT concat_ws(chr(9), ch, {sql_components(SHAPE, 'reverse(code)')},
@@ -209,7 +209,7 @@ def convert_shape_code_dict(t):
     converted = codes.convert_dict_lines(lines, SHAPE, codes.SHAPE_CODE_FIELDS, readers.LINE_ORDER)
     path = scratch_path(t.spark, "converted")
     writers.write_code_dict(converted, path)
-    return readers.read_lines(t.spark, path).where("value <> ''").select("value")
+    return readers.read_lines(t.spark, path).select("value")
 
 
 @query("keys_to_components", f"""

@@ -296,11 +296,11 @@ WITH {SQL_VOCAB}, lines AS (
 SELECT conv_id, turn, k::BIGINT AS k,
        array_to_string(list_slice(list_concat(ids, list_transform(range(128), lambda x: 3)), 1, 128), ' ') AS input_ids,
        least(len(ids), 128)::BIGINT AS tokens
-FROM rows
+FROM (SELECT conv_id, turn, k, coalesce(ids, []) AS ids FROM lines LEFT JOIN rows USING (conv_id, turn, k))
 """)
 def line_dataset(t):
     lines = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("k", "text"))
-    lines = lines.withColumn("k", F.col("k") + 1).where(T.has_ink(F.col("text")))
+    lines = lines.withColumn("k", F.col("k") + 1)
     rows = encode.line_dataset(lines, char_vocab(t), 128, 3)
     return rows.select(
         "conv_id", "turn", "k", joined(F.col("input_ids")).alias("input_ids"),

@@ -255,16 +255,12 @@ def compile_runs(t):
     return readers.read_wide(t.spark, target, [c for c in wide.columns if c != "step"])
 
 
-@query("read_wide", f"""
-WITH {SQL_LOGS} SELECT step, "experiments/byte" AS byte_value FROM ({SQL_WIDE})
-WHERE "experiments/byte" IS NULL
-""")
+@query("read_wide", f"WITH {SQL_LOGS} SELECT * FROM ({SQL_WIDE})")
 def read_wide(t):
-    """Empty cells of the wide CSV are null."""
+    """The whole wide CSV; its empty cells are null."""
     target = scratch_path(t.spark, "wide")
     writers.write_wide(reports.compile_runs(logs(t)), target)
-    wide = readers.read_wide(t.spark, target, COLUMNS)
-    return wide.select("step", F.col("`experiments/byte`").alias("byte_value")).where("byte_value IS NULL")
+    return readers.read_wide(t.spark, target, COLUMNS)
 
 
 @query("append_results", """
