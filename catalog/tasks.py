@@ -125,17 +125,30 @@ def read_task(t):
     return readers.read_task(t.spark, path, "tnews", "validation").drop("fields")
 
 
-@query("score_tasks", """
+SQL_SCORES = """
 SELECT ['tnews', 'afqmc', 'ocnli'][(vec_id % 3 + 1)::INTEGER] AS task,
        sum((list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER)::BIGINT AS correct, count(*) AS total,
        round(avg((list_position(embedding, list_max(embedding)) - 1 = label)::INTEGER), 6) AS accuracy
-FROM embeddings GROUP BY 1
-""")
-def score_tasks(t):
+FROM embeddings GROUP BY 1"""
+
+
+def logits(t):
     """Embeddings stand in for logits of three tasks."""
     names = F.array(*[F.lit(x) for x in ("tnews", "afqmc", "ocnli")])
-    rows = t.embeddings.select(
-        F.get(names, (F.col("vec_id") % 3).cast("int")).alias("task"),
-        F.col("embedding").alias("logits"), "label",
+    return t.embeddings.select(
+        F.get(names, (F.col("vec_id") % 3).cast("int")).alias("task"), F.col("embedding").alias("logits"), "label",
     )
-    return labelled.score_tasks(rows).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("score_tasks", SQL_SCORES)
+def score_tasks(t):
+    return labelled.score_tasks(logits(t)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("score_and_append", f"SELECT run, s.* FROM ({SQL_SCORES}) s, (VALUES ('first'), ('second')) v(run)")
+def score_and_append(t):
+    """Two runs, one of them scored twice: one row for each run and task."""
+    path = scratch_path(t.spark, "results")
+    for run in ("first", "second", "first"):
+        labelled.score_and_append(logits(t), path, run)
+    return t.spark.read.parquet(path).withColumn("accuracy", F.round("accuracy", 6))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from ..operators import encode, metrics, tasks
+from ..sources import writers
 
 
 def encode_task(rows: DataFrame, task: str, ids_of: Callable[[Column], Column], start: int,
@@ -30,3 +31,10 @@ def score_tasks(logits: DataFrame, column: str = "logits", label: str = "label",
     """(task, correct, total, accuracy) from rows with a logit array."""
     rows = logits.withColumn("_pred", A.argmax(F.col(column)))
     return metrics.accuracy(rows, "_pred", label, task)
+
+
+def score_and_append(logits: DataFrame, path: str, run: str, **columns: str) -> None:
+    """Score all tasks of a run and append a row for each to the results at `path`. A row is told by run
+    and task, so the same run scored again leaves the results as they are."""
+    scored = score_tasks(logits, **columns).withColumn("run", F.lit(run))
+    writers.append_new(scored, path, ["run", columns.get("task", "task")])

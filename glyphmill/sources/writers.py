@@ -3,6 +3,7 @@ leaves nothing behind and is raised, not swallowed."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from .readers import LINE_ORDER
@@ -35,6 +36,20 @@ def append_results(results: DataFrame, path: str, as_csv: bool = False) -> None:
         rows.write.mode("append").parquet(path)
 
 
+def append_new(results: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose `keys` (never null) the table does not hold yet, one for each; columns sorted
+    by name. A job that is run again adds nothing: its rows are there already, or, if it failed before
+    Spark's commit, none of them is."""
+    spark = results.sparkSession
+    fresh = results.select(*sorted(results.columns)).dropDuplicates(keys)
+    try:
+        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti").select(*fresh.columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.write.mode("append").parquet(path)
+
+
 def write_wide(wide: DataFrame, path: str, key: str = "step") -> None:
     """Wide CSV sorted by step, empty cell for a missing value."""
     wide.orderBy(key).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)

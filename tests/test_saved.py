@@ -108,3 +108,13 @@ def test_json_vocabulary(spark):
     assert lines[0] == "{" and lines[-1] == "}" and len(lines) == len(rows) + 2
     writers.write_vocab(table.limit(0), path)
     assert readers.read_vocab(spark, path).count() == 0
+
+
+def test_results_are_appended_once(spark):
+    path = scratch_path(spark, "results")
+    rows = spark.createDataFrame([("a", "t", 1.0), ("a", "u", 2.0), ("a", "u", 2.0)], "run string, task string, x double")
+    for _ in range(2):
+        writers.append_new(rows, path, ["run", "task"])
+    writers.append_new(rows.withColumn("run", F.lit("b")), path, ["run", "task"])
+    found = spark.read.parquet(path)
+    assert found.columns == ["run", "task", "x"] and found.count() == 4
