@@ -22,6 +22,8 @@ SMALL = 32
 SKETCH = 16
 # So many of a class's keys are looked through for an earlier one of a pair.
 FIRSTS = 16
+# Factor by which the pivots at a key grow from round to round.
+PIVOTS = 8
 # A shingle in this share of a task's documents is common: parts without one are taken first.
 COMMON = 0.004
 
@@ -242,6 +244,52 @@ def _verified(near: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int,
     ).where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b"), "links")
 
 
+def _grown(met: DataFrame, star: DataFrame, roots: DataFrame, texts: DataFrame, reps: DataFrame,
+           shingle: int, percent: int) -> DataFrame:
+    """(node, root) after all pairs of classes that meet at a key are linked, told apart, or in one group.
+
+    `met` (key, class, least) has the keys, where each class was held against the least, pairs `star`. Each
+    round takes pivots at every key whose classes left are in several groups, holds the classes of other
+    groups against them, and lets go the pivots. A group's classes are never held against each other, so
+    a group that grows together soon needs few pairs, however large. Rounds grow in pivots, and end after
+    about as many as the digits of the largest number of classes at a key.
+    """
+    left = met.where("class <> least").select("key", "class")
+    sketched = reps.select("class", "n", "sketch")
+    firsts, pivots_a_key = None, 1
+    while True:
+        now = left.join(roots, left["class"] == roots["node"], "left").select(
+            "key", "class", F.coalesce("root", "class").alias("root"))
+        several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        now = C.staged(now.join(several.select("key"), "key", "left_semi"), "open")
+        if now.isEmpty():
+            return roots
+        if firsts is None:
+            # Keys that close later have no pair left, so a pair is always held at its first key of these.
+            firsts = C.staged(now.groupBy("class").agg(
+                F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts")).join(sketched, "class"), "firsts")
+        pivots_a_key *= PIVOTS
+        # The least class of each turn; a class has its turn at all its keys.
+        turn = F.pmod(F.xxhash64("class", F.lit(pivots_a_key)), F.lit(pivots_a_key))
+        chosen = C.staged(now.groupBy("key", turn.alias("turn")).agg(
+            F.min(F.struct("class", "root")).alias("p")).select("key", "p.class", "p.root"), "pivots")
+        a, b = (
+            side.join(firsts, "class").select(*[
+                F.col(c).alias(f"{c}_{name}") for c in ("key", "class", "n", "root", "sketch", "firsts")])
+            for side, name in ((chosen, "a"), (now, "b"))
+        )
+        # Two that meet at many keys are held against each other at the first, if it is among either's first.
+        first = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")), F.col("key_a")) >= F.col("key_a")
+        across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & F.when(
+            first, _close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).otherwise(False))
+        pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
+        pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near")
+        left = now.join(chosen.select("key", "class"), ["key", "class"], "left_anti").select("key", "class")
+        if not pairs.isEmpty():
+            more = _verified(pairs, texts, reps, shingle, percent)
+            roots = C.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
            percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id) of every row.
@@ -253,8 +301,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     are linked as equals. A null key is larger than all others and never a component's, unless alone.
 
     Equal sets become one class first. Classes meet where a part of their sketches agrees. Of all that meet at
-    a key, each is held against the smallest; where that leaves several groups at a key, each pair of
-    different groups there is compared. Pairs within a group need no look.
+    a key, each is held against the smallest; where that leaves several groups at a key, rounds of pivots
+    follow (`_grown`) until no two classes of different groups are left unseen. Pairs within a group
+    need no look.
     """
     kind = dict(docs.dtypes)[key]
     rows = C.identified(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), "_key", "_row", "text")
@@ -285,25 +334,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     star = met.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
     star = C.staged(star, "star")
     links = _verified(_near(star, reps, percent), texts, reps, shingle, percent)
-    roots = C.components(links)
-    now = met.join(roots, met["class"] == roots["node"], "left").select(
-        "key", "class", F.coalesce("root", "class").alias("root"))
-    now = C.staged(now, "met")
-    several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    now = C.staged(now.join(several.select("key"), "key", "left_semi"), "open")
-    firsts = now.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
-    now = now.join(reps.select("class", "n", "sketch").join(firsts, "class"), "class")
-    held = ("key", "class", "n", "root", "sketch", "firsts")
-    a, b = (now.select(*[F.col(c).alias(f"{c}_{side}") for c in held]) for side in ("a", "b"))
-    # Two that meet at many keys are held against each other at the first, if it is among either's first.
-    first = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")), F.col("key_a")) >= F.col("key_a")
-    across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b")) & F.when(
-        first, _close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).otherwise(False))
-    pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-    pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near")
-    if pairs.limit(1).count():
-        more = _verified(pairs, texts, reps, shingle, percent)
-        roots = C.components(links.unionByName(more))
+    roots = _grown(met, star, C.components(links), texts, reps, shingle, percent)
 
     # The smallest key of a class, then of its group, then back to every row.
     keyed = members.join(rows.select("_row", "_key"), "_row")
