@@ -287,7 +287,8 @@ def _grown(met: DataFrame, star: DataFrame, roots: DataFrame, texts: DataFrame,
         left = now.join(chosen.select("key", "class"), ["key", "class"], "left_anti").select("key", "class")
         if not pairs.isEmpty():
             more = _verified(pairs, texts, reps, shingle, percent)
-            roots = C.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            if not more.isEmpty():
+                roots = C.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
