@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.operators import corpus, encode
+from glyphmill.operators import corpus, encode, vocab
 from glyphmill.session import scratch_path
 from glyphmill.streaming import counts
 
@@ -29,6 +29,17 @@ def stream_char_counts_by_batch(t):
     return counts.stream_char_counts_by_batch(stream(t))
 
 
+@query("stream_char_counts_in_files", f"WITH {SQL_CHARS} SELECT c AS token, count(*) AS n FROM chars GROUP BY c")
+def stream_char_counts_in_files(t):
+    """A stateful aggregation over several files and batches; the newest committed table."""
+    folder, state = scratch_path(t.spark, "stream-files"), scratch_path(t.spark, "stream-state")
+    target = scratch_path(t.spark, "stream-chars")
+    t.documents.repartition(4, "doc_id").write.parquet(folder)
+    docs = counts.read_stream(t.spark, folder, t.documents.schema, files_per_batch=2)
+    counts.running_table(vocab.char_counts(docs), target, state)
+    return counts.newest_table(t.spark, target)
+
+
 @query("stream_token_totals", f"""
 SELECT lang, sum(least(octet_length(encode(text)), {SIZE}))::BIGINT AS total FROM documents GROUP BY lang
 """)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import vocab
 from ..operators.ordering import key_bounds
 from ..session import materialize, scratch_path
+from ..sources import saved
 
 
 def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet",
@@ -26,21 +27,31 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
 
 
 def running_table(counts: DataFrame, target: str, state: str) -> None:
-    """Run a streaming aggregation over what is there and keep its latest result.
+    """Run a streaming aggregation over what is there and keep each batch's result as a version.
 
-    Complete mode: every batch replaces the table, so a repeated batch is harmless.
+    Complete mode: a version is the whole table after its batch. It is written into a folder of its own and
+    becomes the newest by a manifest row that comes last, so what a reader holds is never overwritten,
+    and a batch that is run again after a failure only adds the same table again.
     """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def keep(batch: DataFrame, number: int) -> None:
+        saved.write_version({"table": batch}, batch.sparkSession, target, "running", {"batch": number})
 
     query = (
-        counts.writeStream.outputMode("complete").foreachBatch(replace)
+        counts.writeStream.outputMode("complete").foreachBatch(keep)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
+def newest_table(spark: SparkSession, target: str) -> DataFrame:
+    """The newest whole table that `running_table` has committed; it stays readable while others follow."""
+    kind, _, tables = saved.read_version(spark, target)
+    if kind != "running":
+        raise ValueError(f"{target} holds no running table")
+    return tables["table"]
+
+
 def batch_counts(docs: DataFrame, count: Callable[[DataFrame], DataFrame], target: str,
                  state: str) -> None:
     """Count each batch on its own and keep the result under its number.
@@ -72,7 +83,7 @@ def stream_char_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     target = scratch_path(spark, "stream-chars")
     running_table(vocab.char_counts(docs, text), target, scratch_path(spark, "stream-state"))
-    return spark.read.parquet(target)
+    return newest_table(spark, target)
 
 
 def stream_char_counts_by_batch(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,4 +115,4 @@ def stream_totals(rows: DataFrame, by: str, value: str) -> DataFrame:
     target = scratch_path(spark, "stream-totals")
     totals = rows.groupBy(by).agg(F.sum(value).alias("total"))
     running_table(totals, target, scratch_path(spark, "stream-state"))
-    return spark.read.parquet(target)
+    return newest_table(spark, target)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators import encode, vocab
 from glyphmill.session import scratch_path
+from glyphmill.sources import saved
 from glyphmill.streaming import counts
 
 SCHEMA = "doc_id bigint, lang string, text string"
@@ -31,7 +32,36 @@ def test_stateful_counts_resume(spark):
         add(spark, folder, rows)
         stream = counts.read_stream(spark, folder, SCHEMA)
         counts.running_table(vocab.char_counts(stream), target, state)
-    assert {r.token: r.n for r in spark.read.parquet(target).collect()} == {"a": 3, "b": 2, "c": 1}
+    assert {r.token: r.n for r in counts.newest_table(spark, target).collect()} == {"a": 3, "b": 2, "c": 1}
+
+
+def test_readers_keep_their_table(spark):
+    folder, target, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
+    add(spark, folder, [(1, "en", "aab")])
+    counts.running_table(vocab.char_counts(counts.read_stream(spark, folder, SCHEMA)), target, state)
+    held = counts.newest_table(spark, target)
+    add(spark, folder, [(2, "de", "abc")])
+    counts.running_table(vocab.char_counts(counts.read_stream(spark, folder, SCHEMA)), target, state)
+    assert {r.token: r.n for r in held.collect()} == {"a": 2, "b": 1}
+
+
+def test_a_failure_before_the_manifest_row(spark, monkeypatch):
+    folder, target, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
+    add(spark, folder, [(1, "en", "aab")])
+    counts.running_table(vocab.char_counts(counts.read_stream(spark, folder, SCHEMA)), target, state)
+    add(spark, folder, [(2, "de", "abc")])
+
+    def cut_off(*_):
+        raise OSError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(saved.json, "dumps", cut_off)
+        with pytest.raises(Exception):
+            counts.running_table(vocab.char_counts(counts.read_stream(spark, folder, SCHEMA)), target, state)
+    assert {r.token: r.n for r in counts.newest_table(spark, target).collect()} == {"a": 2, "b": 1}
+    # The next run does the batch again.
+    counts.running_table(vocab.char_counts(counts.read_stream(spark, folder, SCHEMA)), target, state)
+    assert {r.token: r.n for r in counts.newest_table(spark, target).collect()} == {"a": 3, "b": 2, "c": 1}
 
 
 def test_ranks_over_several_batches(spark):
