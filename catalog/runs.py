@@ -232,6 +232,15 @@ def read_eval_logs(t):
     return readers.read_eval_logs(t.spark, log_folder(t) + "/*").select("run", "step", "value")
 
 
+@query("eval_logs_in_files", f"WITH {SQL_LOGS} SELECT run, step, value FROM latest")
+def eval_logs_in_files(t):
+    """Every line of the logs over several files a run and blocks a file; the latest line of a step wins."""
+    path = scratch_path(t.spark, "logs")
+    lines = logs(t).repartitionByRange(4, "line_no").sortWithinPartitions("run", "line_no")
+    lines.select("run", "step", "value").write.partitionBy("run").csv(path)
+    return runs.last_per_step(readers.read_eval_logs(t.spark, path + "/*"))
+
+
 @query("write_eval_log", f"""
 WITH {SQL_LOGS}, numbered AS (
   SELECT run, value, row_number() OVER (PARTITION BY run ORDER BY line_no) AS k FROM logs)

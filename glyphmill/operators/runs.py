@@ -78,9 +78,14 @@ def unknown_runs(logs: DataFrame, families: DataFrame, run: str = "run") -> Data
     return logs.select(run).distinct().join(table, run, "left_anti")
 
 
+def line_order(logs: DataFrame, order: str = "line_no") -> Column:
+    """The place of a line: its number, after the file and block it was read from, if these are given."""
+    return F.struct(*[c for c in ("file", "block") if c in logs.columns], order)
+
+
 def last_per_step(logs: DataFrame, order: str = "line_no") -> DataFrame:
     """(run, step, value): the later line wins."""
-    return logs.groupBy("run", "step").agg(F.max_by("value", order).alias("value"))
+    return logs.groupBy("run", "step").agg(F.max_by("value", line_order(logs, order)).alias("value"))
 
 
 def all_steps(logs: DataFrame) -> DataFrame:

@@ -59,8 +59,9 @@ def _decoded(name: Column) -> Column:
 
 
 def read_eval_logs(spark: SparkSession, pattern: str) -> DataFrame:
-    """(run, step, value, line_no) of `step,value` files; the run is the name of the
-    directory that holds the file. Directories without a log give no rows."""
+    """(run, step, value, file, block, line_no) of `step,value` files; the run is the name of the
+    directory that holds the file. Directories without a log give no rows. The last three give
+    the order of a run's lines, over its files by name and over the blocks of a file."""
     logs = spark.read.schema("step bigint, value double").csv(pattern)
     folder = _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1))
     # A partition folder `run=<name>` carries the name in its own escaped form.
@@ -68,7 +69,10 @@ def read_eval_logs(spark: SparkSession, pattern: str) -> DataFrame:
         folder.startswith("run="), _decoded(F.regexp_replace(folder, r"\Arun=", ""))
     ).otherwise(folder)
     return logs.select(
-        name.alias("run"), "step", "value", F.monotonically_increasing_id().alias("line_no")
+        name.alias("run"), "step", "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"),
     )
 
 

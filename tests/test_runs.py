@@ -44,6 +44,27 @@ def test_plain_folder_names_are_run_names(spark, tmp_path):
     assert got == {("byte", 1000, 0.5), ("byte", 2000, 0.25), ("a+b %c", 10, 1.5)}
 
 
+def test_later_lines_win_over_files_and_blocks(spark, tmp_path):
+    folder = tmp_path / "byte"
+    folder.mkdir()
+    # The later file is the smaller one, so a scan takes the earlier, larger file first or in several blocks.
+    (folder / "a-1.txt").write_text("".join(f"{i % 7},{i}\n" for i in range(400)))
+    (folder / "a-2.txt").write_text("3,-1\n5,-3\n5,-2\n")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for size in ("134217728", "256"):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], "0")
+            logs = readers.read_eval_logs(spark, f"{tmp_path}/*/*.txt")
+            got = {r.step: r.value for r in runs.last_per_step(logs).collect()}
+            want = {i % 7: float(i) for i in range(400)} | {3: -1.0, 5: -2.0}
+            assert got == want
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def test_configs_with_empty_sizes(spark, tmp_path):
     (tmp_path / "byte").mkdir()
     (tmp_path / "byte" / "experiment.json").write_text(
