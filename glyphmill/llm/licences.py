@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 from pathlib import Path
@@ -10,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
-from .common import lower_ascii
+from .common import LOWER, UPPER, lower_ascii
 
 
 _MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
@@ -113,53 +115,98 @@ def _template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) if len(words) > 1 else words
 
 
-# A template that needs more words than this to be sure of one is told by its length alone.
+# A template that needs more words than this to be sure of one is told by how many of its words are there.
 MOST_SIGNS = 40
+# Words that most English texts have: they tell little.
+_COMMON = frozenset(
+    "a all an and any are as at be been but by can do for from has have if in is it may no not of on one or other such "
+    "that the their there these they this to under use was which who will with work you your".split()
+)
+_GAPS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+
 
+@dataclass(frozen=True)
+class Signs:
+    """What every passage like enough to a template has: a word of each of `tests`, or, of a template that would
+    need too many words for that, `least` of `words`; and `length` characters or more."""
 
-def _signs(grams: list[str], threshold: float) -> tuple[list[str], list[str], int]:
-    """(all, any, length): words of a template, all of the first and any of the second of which are in every
-    passage at least `threshold` like it, and the characters that such a passage has at least.
+    tests: tuple[tuple[str, ...], ...]
+    words: frozenset[str]
+    least: int
+    length: int
 
-    Such a passage shares t / (2 - t) of the template's bigrams, so it lacks at most the rest. A word in
-    more bigrams than that cannot be lacking, nor can all words that more bigrams have between them."""
-    shared = threshold / (2 - threshold) * len(grams) - 1e-9
+
+def _signs(grams: list[str], threshold: float) -> Signs:
+    """A passage at least `threshold` like the template shares t / (2 - t) of its bigrams, so it lacks at most the
+    rest. Words that more bigrams than that have between them cannot all be lacking."""
+    shared = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
     spare = len(grams) - shared
     of: dict[str, set[str]] = {}
     for gram in grams:
         for word in gram.split(" "):
             of.setdefault(word, set()).add(gram)
-    words = sorted(of, key=lambda w: (-len(w), w))
-    every = [w for w in words if len(of[w]) > spare]
-    some, without = [], set(grams)
-    for word in words:
-        if len(grams) - len(without) > spare:
+    # Different bigrams stand at different places, and each takes its first word and the mark after it.
+    length = max(sum(sorted(len(gram.split(" ")[0]) for gram in grams)[:shared]) + shared - 1, 0)
+    words = sorted(of, key=lambda w: (w in _COMMON, len(w) < 4, -len(w), w))
+    tests, left = [], set(grams)
+    while len(left) > spare:
+        some, found = [], set()
+        for word in words:
+            if len(found) > spare:
+                break
+            if not of[word] & left <= found:
+                some.append(word)
+                found |= of[word] & left
+        tests.append(tuple(some))
+        left -= found
+    # One word that alone has more bigrams than may be lacking is a test too.
+    tests = [t for t in tests if len(t) <= MOST_SIGNS] + [(w,) for w in words if len(of[w]) > spare]
+    if any(not _COMMON.issuperset(t) for t in tests):
+        return Signs(tuple(dict.fromkeys(tests)), frozenset(), 0, length)
+    rare = [w for w in words if w not in _COMMON]
+    need, least = len(set().union(*(of[w] for w in rare))) - spare if rare else 0, 0
+    for size in sorted((len(of[w]) for w in rare), reverse=True):
+        if need <= 0:
             break
-        some.append(word)
-        without -= of[word]
-    # So many different bigrams take as many words, with a mark after each but the last.
-    return every, some if len(some) <= MOST_SIGNS else [], max(2 * int(shared) - 1, 0)
-
-
-def _has_signs(low: Column, signs: list[tuple[list[str], list[str], int]]) -> Column:
-    """The same of a text in lower case. lower() keeps runs of ASCII letters as runs."""
-    def has(word: str) -> Column:
-        return F.contains(low, F.lit(word))
-
-    # Templates with the same words are one test.
-    least: dict[tuple, int] = {}
-    for every, some, length in signs:
-        each = (tuple(every), tuple(some))
-        least[each] = min(length, least.get(each, length))
-    return reduce(or_, [
-        reduce(and_, [F.length(low) >= length, *map(has, every), *([reduce(or_, map(has, some))] if some else [])])
-        for (every, some), length in least.items()
-    ])
-
-
-def _tells(text: Column, signs: list[tuple[list[str], list[str], int]]) -> Column:
-    """Whether a text has the signs of a template anywhere."""
-    return F.exists(F.array(F.lower(text)), lambda low: _has_signs(low, signs))
+        need, least = need - size, least + 1
+    return Signs((), frozenset(rare), least, length)
+
+
+def _tells(text: Column, signs: list[Signs]) -> Column:
+    """Whether a text has the signs of a template anywhere. Its words are cut once. If a template's first test can
+    hold, the words that are a sign of any template are taken out, and all tests look at these few."""
+    by_tests: dict[tuple, int] = {}
+    for s in signs:
+        if s.tests:
+            by_tests[s.tests] = min(s.length, by_tests.get(s.tests, s.length))
+    counted = [s for s in signs if not s.tests]
+
+    def fixed(words: Iterable[str]) -> Column:
+        return F.split(F.lit(" ".join(sorted(words))), " ")
+
+    def tested(size: Column, present: Column) -> Column:
+        return reduce(or_, [
+            reduce(and_, [size >= length, *(F.arrays_overlap(present, fixed(t)) for t in tests)])
+            for tests, length in by_tests.items()
+        ])
+
+    def tell(size: Column, words: Column) -> Column:
+        found = []
+        if by_tests:
+            every = {w for tests in by_tests for t in tests for w in t}
+            first = {w for tests in by_tests for w in tests[0]}
+            found.append(F.arrays_overlap(words, fixed(first)) & F.exists(
+                F.array(F.array_intersect(words, fixed(every))), lambda present: tested(size, present)
+            ))
+        if counted:
+            every = frozenset().union(*(s.words for s in counted))
+            found.append((size >= min(s.length for s in counted)) & (
+                F.size(F.array_intersect(words, fixed(every))) >= min(s.least for s in counted)
+            ))
+        return reduce(or_, found)
+
+    plain = F.split(F.translate(text, UPPER + _GAPS, LOWER + " " * len(_GAPS)), " ")
+    return F.exists(F.array(plain), lambda words: tell(F.length(text), words))
 
 
 def passages(text: Column) -> Column:
@@ -230,8 +277,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def oracle(templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """`scan`'s rows of `documents` in SQL, from all passages and templates."""
-    from .common import LOWER, UPPER
-
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
