@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -369,12 +370,46 @@ def test_main_text_of_nested_articles():
     assert text.endswith("A short section, which belongs too. point cell code quote")
 
 
+SENTENCE = "A sentence with some commas, and words, long enough to count as a paragraph."
+
+
+def test_main_text_keeps_named_sections():
+    page = (
+        f'<body><div class="site-banner">Buy</div><article><h1 id="comments">T</h1><p>{SENTENCE}</p>'
+        '<section id="related-work"><p>Earlier papers.</p></section><p class="share-price">Up 3.</p>'
+        '<div class="share-buttons">Tweet</div><div class="related-posts"><p>More posts</p></div><div id="notice">Note</div>'
+        '<div class="cookie-law-info">Cookies</div><div role="search">Find</div>'
+        '<article class="comment"><p>I think so too, and more so, by all that is said here.</p></article></article>'
+        f'<article><p>{SENTENCE}</p></article></body>'
+    )
+    assert main_text.main_text(page) == f"T {SENTENCE} Earlier papers. Up 3. {SENTENCE}"
+
+
+def test_main_text_without_article():
+    page = (
+        '<body><div class="wrapper"><div class="post"><div>' + f"<p>{SENTENCE}</p>" * 8 + "</div><div><p>Short end.</p></div>"
+        '<ul><li>item</li></ul></div><div class="rail"><p>tiny</p></div></div><p><a href="/">elsewhere</a></p></body>'
+    )
+    assert main_text.main_text(page) == " ".join([SENTENCE] * 8 + ["Short end. item"])
+
+
+@pytest.mark.parametrize("page", [
+    "<div>a text block, " * 12000, "<a " * 70000, "<a '<b \"" * 30000, "<b>" * 30000 + "</i>" * 20000,
+    "<b>" * 30000 + "<hr>" * 20000, "<b>" * 20000 + "<header>" * 10000, "<!x" * 60000, "<script></script " * 12000,
+    "<p><b>" * 30000,
+])
+def test_main_text_takes_linear_time(page):
+    start = time.process_time()
+    main_text.main_text(page)
+    assert time.process_time() - start < 5
+
+
 def test_main_text_of_odd_pages(spark):
     deep = "<div>" * 20000 + "deep text, with commas, here and there" + "</div>" * 20000
     pages = [None, "", "plain text only", "<p>one<p>two", "<div><p>a < b & c", "<script>x", "<!-- open", deep,
              "<article><p>x</article><article><p>y"]
     rows = spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").withColumn("text", F.lit(1))
-    done = {r.page_id: r.text for r in main_text.extract(rows).collect()}
+    done = {r.page_id: r.text for r in main_text.extract(rows.withColumn("_html", F.lit(7))).where("_html = 7").collect()}
     assert [done[i] for i in range(8)] == ["", "", "plain text only", "one two", "a < b & c", "", "",
                                            "deep text, with commas, here and there"]
     assert main_text.extract(rows.limit(0)).collect() == []
