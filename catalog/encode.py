@@ -127,9 +127,9 @@ SELECT doc_id, batch::BIGINT AS batch, top::BIGINT AS size,
 FROM longest
 """)
 def pad_to_longest(t):
-    rows = metrics.batch_id(t.documents.select("doc_id", "text"), 16)
-    rows = rows.select("doc_id", "batch", encode.byte_ids(F.col("text")).alias("ids"))
-    padded = encode.pad_to_longest(rows, "ids", "batch", 0)
+    sizes = metrics.batch_id(t.documents.select("doc_id", F.octet_length("text").alias("size")), 16)
+    rows = t.documents.select("doc_id", "text").join(encode.longest_of_batch(sizes, "size", "batch"), "doc_id")
+    padded = encode.pad_to(rows.withColumn("ids", encode.byte_ids(F.col("text"))), "ids", F.col("longest"), 0)
     return padded.select(
         "doc_id", "batch", F.size("input_ids").alias("size"), joined(F.col("input_ids")).alias("ids")
     )
@@ -151,11 +151,10 @@ FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn =
 """)
 def prepend_start(t):
     """Neighbouring turns as two sequences."""
-    a = t.conversations.select("conv_id", "turn", T.byte_tokens(F.col("text")).alias("a"))
-    b = t.conversations.select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), T.byte_tokens(F.col("text")).alias("b")
-    )
-    first, second = F.col("a"), F.col("b")
+    a = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
+    b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    # Texts are joined, and encoded where they meet.
+    first, second = T.byte_tokens(F.col("a")), T.byte_tokens(F.col("b"))
     return a.join(b, ["conv_id", "turn"]).select(
         "conv_id", "turn",
         joined(A.prepend_start(first, second, 1)).alias("with_start"),

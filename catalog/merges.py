@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.operators import merges, vocab
-from glyphmill.plans import tokenizers
+from glyphmill.plans import compare, tokenizers, validation
 
 from glyphmill.session import scratch_path
 
 from .codes import SQL_DICT, entries
-from .registry import joined, query, sql_bytes
+from .registry import SQL_VALIDATION, joined, query, sql_bytes, sql_symbols
 
 TOKENS = 200
 FIRST = merges.FIRST_JOINED
@@ -245,10 +245,8 @@ def input_method_merged(t):
     return t.documents.select("doc_id", joined(fitted.ids(F.col("text"))).alias("ids"))
 
 
-SQL_REPACKED = f"""
-WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
-{SQL_MERGED_NUMBERS}, {sql_encoded('text')},
-cells AS (SELECT doc_id, i, token, id FROM encoded),
+# Byte codes of the tokens in `cells` (doc_id, i, token), by frequency, then by first appearance.
+SQL_REMAP = """
 token_firsts AS (SELECT token, count(*) AS n, min(doc_id) AS doc_id FROM cells GROUP BY token),
 token_ranks AS (
   SELECT token, n, row_number() OVER (ORDER BY n DESC, doc_id, i) - 1 AS rank
@@ -256,6 +254,10 @@ token_ranks AS (
         FROM token_firsts f JOIN cells c ON c.token = f.token AND c.doc_id = f.doc_id GROUP BY ALL)
 ), remap AS (SELECT token, rank, n, hex(encode(chr((32 + rank)::INTEGER))) AS code FROM token_ranks)
 """
+SQL_REPACKED = f"""
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
+{SQL_MERGED_NUMBERS}, {sql_encoded('text')},
+cells AS (SELECT doc_id, i, token, id FROM encoded),{SQL_REMAP}"""
 
 
 def repacked(t):
@@ -382,3 +384,50 @@ def reopened_encode(t):
     tok = tokenizers.prepared(t.spark, config, 512, t.documents.limit(0), merges=TOKENS)
     rows = t.documents.select("doc_id", tok.ids(F.col("text")).alias("found"))
     return rows.select("doc_id", joined(F.col("found")).alias("ids"), tok.decode(F.col("found")).alias("text"))
+
+
+POSITIONS = 128
+FORMS = ["byte", "character", "merged", "repacked"]
+SQL_TOTAL = "(SELECT sum(n) AS total FROM unigrams)"
+
+
+# One table holds the documents and, under negative keys, the validation set: it is encoded as they are.
+@query("experiment", f"""
+WITH RECURSIVE {SQL_LINES}, {SQL_WORD_PIECES}, {SQL_COVERED.format('0.9995')}, {sql_training()},
+{SQL_MERGED_NUMBERS}, {SQL_VALIDATION},
+texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, text FROM valid),
+{sql_encoded('text', table='texts')},
+cells AS (SELECT doc_id, i, token, id FROM encoded WHERE doc_id >= 0),{SQL_REMAP},
+{sql_symbols('valid', 'unigrams')},
+bits AS (SELECT sum(n)::BIGINT AS symbols, sum(-n * log2(n / total)) AS bits FROM unigrams, {SQL_TOTAL}),
+merged AS (
+  SELECT doc_id, count(*) AS units,
+         sum(length(coalesce(code, (SELECT hex(encode(chr((32 + count(*))::INTEGER))) FROM remap))) // 2) AS bytes
+  FROM encoded LEFT JOIN remap USING (token) WHERE doc_id < 0 GROUP BY doc_id
+), counts AS (
+  SELECT 'character' AS tokenizer, sum(least(length(text), {POSITIONS}))::BIGINT AS tokens FROM valid
+  UNION ALL SELECT 'byte', sum(least(octet_length(encode(text)), {POSITIONS}))::BIGINT FROM valid
+  UNION ALL SELECT 'merged', sum(least(units, {POSITIONS}))::BIGINT FROM merged
+  UNION ALL SELECT 'repacked', sum(least(bytes, {POSITIONS}))::BIGINT FROM merged
+), losses AS (
+  SELECT {FORMS}[event_id % 4 + 1] AS tokenizer, avg(value) AS loss FROM events GROUP BY 1
+)
+SELECT tokenizer, tokens, round(loss / ln(2) * tokens / bits, 6) AS une,
+       round(loss / ln(2) * symbols / bits, 6) AS per_token
+FROM counts JOIN losses USING (tokenizer), bits
+""")
+def experiment(t):
+    """Four saved vocabularies on the validation set, in one pass; event values stand in for losses."""
+    base = tokenizer(t).fit(t.documents)
+    config = {"name": "CharacterTokenizer", "max_vocab_size": "", "special_tokens": {"pad_token": "<pad>", "unk_token": "<unk>"}}
+    recoded = tokenizers.RepackedTokenizer(tokenizers.TokenizerConfig("RepackagedByteTokenizer", POSITIONS), base)
+    models = {
+        "byte": tokenizers.ByteTokenizer(tokenizers.TokenizerConfig("ByteTokenizer", POSITIONS)),
+        "character": reopened(t, tokenizers.tokenizer_from_config(config, POSITIONS).fit(t.documents)),
+        "merged": reopened(t, base),
+        "repacked": reopened(t, recoded.fit(t.documents)),
+    }
+    name = F.element_at(F.array(*map(F.lit, FORMS)), (F.col("event_id") % 4 + 1).cast("int"))
+    loss = t.events.groupBy(name.alias("tokenizer")).agg(F.avg("value").alias("loss"))
+    result = compare.experiment(validation.validation_set(t.documents, mark="."), models, loss, POSITIONS)
+    return result.withColumn("une", F.round("une", 6)).withColumn("per_token", F.round("per_token", 6))

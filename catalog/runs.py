@@ -79,9 +79,7 @@ SELECT run, row_number() OVER (ORDER BY run)::BIGINT AS place FROM (SELECT DISTI
 """)
 def sorted_names(t):
     """The column order of the wide table."""
-    return t.spark.createDataFrame(
-        [(name, i + 1) for i, name in enumerate(runs.run_names(logs(t)))], "run string, place bigint"
-    )
+    return runs.sorted_names(logs(t))
 
 
 @query("unpivot_row", f"""

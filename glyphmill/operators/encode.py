@@ -61,19 +61,25 @@ def pack(docs: DataFrame, ids: str, size: int, pad: int, mask_labels: bool = Fal
     return out.withColumn("labels", labels).withColumn("n_cut", A.cut_count(column, size))
 
 
+def longest_of_batch(sizes: DataFrame, size: str, batch: str) -> DataFrame:
+    """Add `longest`, the greatest size of each row's batch; batches have a fixed small size. Made from keys and
+    sizes alone, so that neither texts nor ids are grouped: texts are joined to it, and encoded there."""
+    return sizes.withColumn("longest", F.max(size).over(Window.partitionBy(batch))).drop(size)
+
+
+def pad_to(rows: DataFrame, ids: str, longest: Column, pad: int) -> DataFrame:
+    """Add `input_ids` and `attention_mask` of `longest` positions."""
+    missing = longest - F.size(ids)
+    mask = F.concat(F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), missing))
+    return rows.withColumn("attention_mask", mask).withColumn(
+        "input_ids", F.concat(F.col(ids), F.array_repeat(F.lit(pad), missing))
+    )
+
+
 def pad_to_longest(rows: DataFrame, ids: str, batch: str, pad: int) -> DataFrame:
-    """Pad each row to the longest of its batch; batches have a fixed small size."""
+    """Pad rows that hold their ids to the longest of their batch; batches have a fixed small size."""
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    fill = F.array_repeat(F.lit(pad), F.col("_longest") - F.size(ids))
-    return (
-        rows.withColumn("_longest", longest)
-        .withColumn("attention_mask", F.concat(
-            F.array_repeat(F.lit(1), F.size(ids)),
-            F.array_repeat(F.lit(0), F.col("_longest") - F.size(ids)),
-        ))
-        .withColumn("input_ids", F.concat(F.col(ids), fill))
-        .drop("_longest")
-    )
+    return pad_to(rows.withColumn("_longest", longest), ids, F.col("_longest"), pad).drop("_longest")
 
 
 def line_dataset(lines: DataFrame, vocab: DataFrame, block: int = 128, pad: int = 1,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..session import materialize
-from .ordering import ordered_index, running
+from .ordering import bucket_of, key_bounds, ordered_index, running
 
 # Runs left out of comparisons, and name replacements in order.
 EXCLUDED_RUNS = ("testing", "model_trial1")
@@ -96,6 +96,13 @@ def all_runs(logs: DataFrame) -> DataFrame:
     return logs.select("run").distinct()
 
 
+def sorted_names(logs: DataFrame) -> DataFrame:
+    """(run, place): the distinct runs in order, from 1. Null is no name."""
+    names = all_runs(logs).where("run IS NOT NULL")
+    bucket = bucket_of(F.col("run"), key_bounds(names, "run"))
+    return ordered_index(names, "place", [F.col("run")], bucket).withColumn("place", (F.col("place") + 1).cast("bigint"))
+
+
 def run_names(logs: DataFrame, limit: int = 10_000) -> list[str]:
     """Sorted run names: the columns of the wide table, so there must be few."""
     names = [row.run for row in all_runs(logs).limit(limit + 1).collect()]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import metrics
+from . import validation
+from .tokenizers import Tokenizer
 
 
 def encode_all(docs: DataFrame, forms: dict[str, Column], size: int, key: str = "doc_id") -> DataFrame:
@@ -34,5 +37,18 @@ def compare_tokenizers(counts: DataFrame, loss: DataFrame, bits: DataFrame) -> D
     )
 
 
+def experiment(docs: DataFrame, models: Mapping[str, Tokenizer], loss: DataFrame, size: int,
+               key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(tokenizer, tokens, une, per_token) of a validation set under several fitted or opened tokenizers.
+
+    Every text is read once and encoded under all of them where it is; each task adds up its
+    tokens, so a row per tokenizer and task is all that moves. Null texts have no tokens.
+    """
+    whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text))
+    forms = {name: model.ids(F.col(text)) for name, model in models.items()}
+    counts = encode_all(whole, forms, size, key)
+    return compare_tokenizers(counts, loss, validation.validation_bits(docs, text))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -73,3 +73,38 @@ def test_batches_have_the_given_size(spark):
     rows = spark.range(0, 5000, 7).withColumnRenamed("id", "doc_id")
     got = metrics.batch_id(rows, 16).orderBy("doc_id").collect()
     assert [r.batch for r in got] == [i // 16 for i in range(len(got))]
+
+
+def test_experiment_equals_tokenizers_one_by_one(spark):
+    from glyphmill.operators import encode
+    from glyphmill.plans import tokenizers
+
+    texts = ["low lower lowest. " * 9, "né à côté " * 3, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    config = tokenizers.TokenizerConfig("", 16, 500, None, {"pad_token": "<pad>", "unk_token": "<unk>"})
+    base = tokenizers.MergedTokenizer(config, merges=6).fit(docs.where("text <> ''"))
+    models = {
+        "byte": tokenizers.ByteTokenizer(config), "character": tokenizers.CharacterTokenizer(config).fit(docs.where("text <> ''")),
+        "merged": base, "repacked": tokenizers.RepackedTokenizer(config, base).fit(docs.where("text <> ''")),
+    }
+    loss = spark.createDataFrame([(name, 1.0 + i) for i, name in enumerate(models)], "tokenizer string, loss double")
+    rows = docs.where("text IS NOT NULL")
+    symbols, bits = validation.validation_bits(rows).first()
+    done = {r.tokenizer: r for r in compare.experiment(rows, models, loss, 16).collect()}
+    for i, (name, model) in enumerate(models.items()):
+        ids = [r[0] for r in rows.select(model.ids(F.col("text"))).collect()]
+        tokens = sum(min(len(x), 16) for x in ids)
+        assert done[name].tokens == tokens
+        assert math.isclose(done[name].une, (1 + i) / math.log(2) * tokens / bits)
+        assert math.isclose(done[name].per_token, (1 + i) / math.log(2) * symbols / bits)
+    assert done["byte"].tokens == 32 and done["character"].tokens == 32
+    # A null text has no tokens.
+    again = {r.tokenizer: r.tokens for r in compare.experiment(docs, models, loss, 16).collect()}
+    assert again == {name: r.tokens for name, r in done.items()}
+
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size"), (F.col("doc_id") % 2).alias("batch"))
+    placed = encode.longest_of_batch(sizes, "size", "batch").join(rows, "doc_id")
+    padded = encode.pad_to(placed.withColumn("ids", encode.byte_ids(F.col("text"))), "ids", F.col("longest"), 0)
+    assert {r.doc_id: (len(r.input_ids), sum(r.attention_mask)) for r in padded.collect()} == {
+        i: (len(texts[1 if i == 1 else 0].encode()), len(texts[i].encode())) for i in range(3)
+    }

@@ -162,3 +162,9 @@ def test_masking_shares(spark):
 def test_unknown_task_raises():
     with pytest.raises(ValueError):
         tasks.task_fields("nothing")
+
+
+def test_sorted_names(spark):
+    rows = spark.createDataFrame([(n,) for n in ["b", "a", None, "c", "a", "B"]], "run string")
+    assert sorted(map(tuple, runs.sorted_names(rows).collect())) == [("B", 1), ("a", 2), ("b", 3), ("c", 4)]
+    assert runs.sorted_names(rows.limit(0)).collect() == []
