@@ -341,6 +341,34 @@ def test_declared_links(spark):
                      ("http://a.net/x/y", "http://a.net/x/w")}
 
 
+def test_link_targets_are_decoded_and_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.net/x/y/z?q=1"
+    # What the page holds, and its target.
+    given = {
+        "/p?a=1&amp;b=2": "/p?a=1&b=2", "&#x2F;q&#47;r": "/q/r", "../up": "../up", "../../../top": "../../../top",
+        "./here": "./here", "a/../b/./c": "a/../b/./c", "..": "..", "?only=query": "?only=query", "//b.net/w/../v": "//b.net/v",
+        "http://c.net/d/../e": "http://c.net/e", "next?u=http://c.net/..": "next?u=http://c.net/..",
+        "/odd&copy=1&#xD800;&#0;&#99999999;": "/odd&copy=1&#xD800;&#0;&#99999999;",
+    }
+    rows = spark.createDataFrame([(base, f'<link rel="canonical" href="{h}">') for h in given], "url string, html string")
+    assert {r.dst for r in redirects.page_edges(rows).collect()} == {urljoin(base, t) for t in given.values()}
+    refresh = spark.createDataFrame(
+        [(base, '<meta http-equiv="refresh" content="0; url=http://b.net/?a=1;c&amp;b=2">')], "url string, html string"
+    )
+    assert [r.dst for r in redirects.page_edges(refresh).collect()] == ["http://b.net/?a=1;c&b=2"]
+    # A block reaches a page through a link with a reference and dot parts in it; other columns keep their values.
+    pages = spark.createDataFrame([
+        (1, 7, "x", "http://b.net/m/n", '<link rel="canonical" href="http://s.com/fr/../de/i?a=1&amp;b=2">'),
+        (2, 8, "y", "http://s.com/./k", '<link rel="canonical" href="m/../../de/i?b=2&#38;a=1">'), (3, 9, "z", None, None),
+    ], "page_id bigint, _key bigint, ruling string, url string, html string")
+    done = redirects.judge(pages.drop("html"), redirects.page_edges(pages))
+    assert sorted((r.page_id, r._key, r.ruling, r.rule, r.verdict, r.via) for r in done.collect()) == [
+        (1, 7, "x", None, "block", "alias"), (2, 8, "y", None, "block", "alias"), (3, 9, "z", None, "allow", "default"),
+    ]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- ad --><div class="ad">Buy now</div>
 <%s><h1>Head &amp; tail</h1><p><b>First part, of the text, with commas, and more words.<br><p>Second&nbsp;one
