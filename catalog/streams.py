@@ -14,7 +14,7 @@ SIZE = 1024
 
 
 def stream(t):
-    return counts.read_stream(t.spark, t.sf_dir, t.documents.schema, "documents.parquet")
+    return counts.read_table_stream(t.spark, t.sf_dir, "documents.parquet", t.documents.schema)
 
 
 @query("stream_char_counts", f"WITH {SQL_CHARS} SELECT c AS token, count(*) AS n FROM chars GROUP BY c")

@@ -26,6 +26,14 @@ def read_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def read_table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """One table of a folder as a stream; the table is a file, or a folder of files that may grow.
+
+    The name is given as a pattern that only it fits, since a pattern finds both forms.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/[{name[0]}]{name[1:]}")
+
+
 def running_table(counts: DataFrame, target: str, state: str) -> None:
     """Run a streaming aggregation over what is there and keep each batch's result as a version.
 

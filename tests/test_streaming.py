@@ -1,4 +1,5 @@
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,26 @@ def test_counts_grow_with_the_folder(spark):
     assert got == Counter("".join(texts))
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_table_is_a_file_or_a_folder(spark, whole):
+    """A folder of files gave no rows, and so no table; other tables beside it are not read."""
+    folder, target, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
+    table = f"{folder}/documents.parquet"
+    add(spark, table, [(1, "en", "aab")])
+    add(spark, f"{folder}/other.parquet", [(9, "en", "zzz")])
+    if whole:
+        part = next(Path(table).glob("part-*.parquet"))
+        folder = f"{folder}-file"
+        Path(folder).mkdir()
+        (Path(folder) / "documents.parquet").write_bytes(part.read_bytes())
+    else:
+        add(spark, table, [(2, "de", "c")])
+    stream = counts.read_table_stream(spark, folder, "documents.parquet", SCHEMA)
+    counts.running_table(vocab.char_counts(stream), target, state)
+    got = {r.token: r.n for r in counts.newest_table(spark, target).collect()}
+    assert got == ({"a": 2, "b": 1} if whole else {"a": 2, "b": 1, "c": 1})
+
+
 def test_stateful_counts_resume(spark):
     folder, target, state = (scratch_path(spark, x) for x in ("in", "out", "state"))
     for rows in ([(1, "en", "aab")], [(2, "de", "abc")]):
