@@ -41,6 +41,29 @@ def test_longest_phrase_wins(spark, table):
     assert got == "X#Y#A#B#C#a#nǐ"
 
 
+def test_phrases_hold_one_text_at_a_time():
+    """Items of a whole batch of texts were handed on as lists of strings, and runs were put together
+    one character at a time."""
+    import tracemalloc
+
+    write = codes._phrase_writer({"你好": ["X", "Y"], "b你": ["no"]}, {"你": "nǐ4"}, codes._circled)
+    assert write("a3你好你b你 4") == "a③#X#Y#nǐ4#b#nǐ4# ④"
+    text = "你好你" * 20_000 + "x" * 60_000
+    tracemalloc.start()
+    for _ in range(20):
+        assert len(write(text)) == 20_000 * 8 + 60_000
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+
+
+def test_phrases_over_several_slices_of_a_batch(spark, table):
+    phrases = spark.createDataFrame([("你好", "X#Y")], "phrase string, marked string")
+    texts = [(i, None if i % 50 == 7 else "你好" * (i % 3) + str(i)) for i in range(500)]
+    df = spark.createDataFrame(texts, "i int, t string").coalesce(1)
+    got = df.select("i", codes.readings_joined(F.col("t"), table, "marked", phrases=phrases).alias("r")).collect()
+    assert [r.r for r in got] == [None if t is None else "X#Y#" * (i % 3) + str(i) for i, t in texts]
+
+
 def test_dictionary_method_keeps_unknown_characters(spark):
     table = spark.createDataFrame([("a", "x")], "ch string, code string")
     df = spark.createDataFrame([("ab",)], "t string")
