@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import arrays as A
@@ -28,6 +30,8 @@ TASK_POSITIONS = 512
 MASK_SHARE, REPLACE_SHARE = 0.8, 0.1
 # Numbers that make a draw from a position.
 DRAW_FACTOR = 48271
+# Ids that a Python task masks at a time.
+_IDS_AT_ONCE = 1_000_000
 DRAW_PRIMES = (2147483647, 2147483629, 2147483587)
 
 
@@ -106,26 +110,49 @@ def mask_tokens(rows: DataFrame, ids: str, key: str, vocab_size: int, mask_id: i
     chosen. One draw per position decides all of it, and comes from (key, position),
     so a re-run task draws the same.
     """
-    special = F.array(*[F.lit(s) for s in specials])
-    chosen, masked, replaced = draw_limits(p)
-    drawn = rows.withColumn("_draws", position_draws(F.col(ids), F.col(key), seed))
-
-    def label(x: Column, r: Column) -> Column:
-        return F.when((r < chosen) & ~F.array_contains(special, x), x).otherwise(F.lit(-100))
-
-    def change(x: Column, r: Column) -> Column:
-        token = F.floor((r - masked) * vocab_size / (replaced - masked)).cast("int")
-        return (
-            F.when((r >= replaced) | F.array_contains(special, x), x)
-            .when(r < masked, F.lit(mask_id))
-            .otherwise(token)
-        )
-
-    return (
-        drawn.withColumn("labels", F.zip_with(ids, "_draws", label))
-        .withColumn("masked_ids", F.zip_with(ids, "_draws", change))
-        .drop("_draws")
-    )
+    limits, kind = draw_limits(p), rows.schema[ids].dataType.simpleString()
+    special = np.array(specials, np.int64)
+
+    @F.arrow_udf(f"struct<masked_ids:{kind},labels:{kind}>")
+    def change(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, seeds in batches:
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            start = 0
+            while start < len(lists):
+                # A few rows at a time; a row is never parted.
+                most = (ends[start - 1] if start else 0) + _IDS_AT_ONCE
+                size = max(int(np.searchsorted(ends, most, "right")) - start, 1)
+                yield _masked(lists.slice(start, size), seeds.slice(start, size), limits, vocab_size, mask_id, special)
+                start += size
+
+    changed = rows.withColumn("_changed", change(F.col(ids), row_seeds(F.col(key), seed)))
+    return changed.withColumns({n: F.col(f"_changed.{n}") for n in ("labels", "masked_ids")}).drop("_changed")
+
+
+def _masked(lists: pa.Array, seeds: pa.Array, limits: tuple[int, int, int], vocab_size: int, mask_id: int,
+            special: np.ndarray) -> pa.Array:
+    """(masked_ids, labels) of lists of ids, with the draws of `position_draws`."""
+    chosen, masked, replaced = limits
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = lists.flatten()
+    none = flat.is_null().to_numpy(zero_copy_only=False)
+    x = flat.fill_null(0).to_numpy().astype(np.int64)
+    a, b, c = (np.repeat(column, sizes) for column in seeds.flatten().to_numpy().reshape(-1, 3).T)
+    first, second, third = DRAW_PRIMES
+    spread = (np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + a) * DRAW_FACTOR % first
+    mixed = (spread * spread + b) % second
+    r = (mixed * mixed + c) % third
+    free = none | ~np.isin(x, special)
+    token = np.floor((r - masked) * vocab_size / (replaced - masked)).astype(np.int64)
+    kept = (r >= replaced) | ~free
+    out = np.where(kept, x, np.where(r < masked, mask_id, token))
+    labels = np.where((r < chosen) & free & ~none, x, -100)
+    offsets, gone = pa.array(ends, pa.int32()), lists.is_null() if lists.null_count else None
+    kind = lists.type.value_type
+    parts = [pa.array(out, kind, mask=kept & none), pa.array(labels, kind)]
+    columns = [pa.ListArray.from_arrays(offsets, part, mask=gone) for part in parts]
+    return pa.StructArray.from_arrays(columns, names=["masked_ids", "labels"])
 
 
 def draw_limits(p: float) -> tuple[int, int, int]:

@@ -76,3 +76,24 @@ def test_pairs_are_cut_from_the_longer_side(spark):
         a, b = tasks.cut_pair(F.col("a"), F.col("b"), room)
         for row in rows.select("a", "b", a.alias("x"), b.alias("y")).collect():
             assert (row.x, row.y) == cut_one_by_one(row.a, row.b, room)
+
+
+def test_masking_in_slices(spark, monkeypatch):
+    """The changes are those of the draws, whatever rows share a slice; null lists stay null."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tasks, "_IDS_AT_ONCE", 50)
+    rows = [(i, None if i == 3 else [(i * k) % 260 for k in range(i * 7 % 90)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, ids array<int>").coalesce(1)
+    drawn = df.withColumn("draws", tasks.position_draws(F.col("ids"), F.col("doc_id"), 7))
+    chosen, masked, replaced = tasks.draw_limits(0.15)
+    got = tasks.mask_tokens(drawn, "ids", "doc_id", 260, 3, [0, 1, 2, 3], seed=7).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got if r.labels is None or r.masked_ids is None] == [3]
+    for r in got:
+        for x, d, m, y in zip(*(v or [] for v in (r.ids, r.draws, r.masked_ids, r.labels)), strict=True):
+            assert y == (x if x > 3 and d < chosen else -100)
+            new = 3 if d < masked else (d - masked) * 260 // (replaced - masked)
+            assert m == (x if x <= 3 or d >= replaced else new)
+    lists, seeds = pa.array([[5, None, 9]], pa.list_(pa.int32())), pa.array([[1, 2, 3]])
+    part = tasks._masked(lists, seeds, (0, 0, 0), 260, 3, tasks.np.array([0]))
+    assert part.to_pylist() == [{"masked_ids": [5, None, 9], "labels": [-100] * 3}]
