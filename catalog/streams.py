@@ -34,8 +34,13 @@ def stream_char_counts_in_files(t):
     """A stateful aggregation over several files and batches; the newest committed table."""
     folder, state = scratch_path(t.spark, "stream-files"), scratch_path(t.spark, "stream-state")
     target = scratch_path(t.spark, "stream-chars")
-    t.documents.repartition(4, "doc_id").write.parquet(folder)
-    docs = counts.read_stream(t.spark, folder, t.documents.schema, files_per_batch=2)
+    docs = t.documents
+    files = docs.rdd.getNumPartitions()
+    if files < 4:
+        files, docs = 4, docs.repartition(4, "doc_id")
+    # A file for each split, so that no task holds a share of the table that grows with it; two batches.
+    docs.write.parquet(folder)
+    docs = counts.read_stream(t.spark, folder, t.documents.schema, files_per_batch=(files + 1) // 2)
     counts.running_table(vocab.char_counts(docs), target, state)
     return counts.newest_table(t.spark, target)
 
