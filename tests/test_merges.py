@@ -183,3 +183,36 @@ def test_long_lines_are_kept_unless_asked(spark):
     make = lambda **more: tokenizers.tokenizer_from_config(config("SubwordBPETokenizer"), 8, merges=2, **more)
     assert "▁ab" in make().fit(rows).tokens
     assert "▁ab" not in make(max_line_bytes=32_768).fit(rows).tokens
+
+
+def test_many_pieces_are_merged_together():
+    """Distinct pieces were merged one by one, and all of a batch were held."""
+    import random
+
+    import numpy as np
+
+    draw = random.Random(5)
+    for _ in range(300):
+        pairs, symbols = [], list(range(97, 101))
+        for n in range(draw.randint(0, 12)):
+            pairs.append((draw.choice(symbols), draw.choice(symbols), 1000 + draw.randint(0, n)))
+            symbols.append(pairs[-1][2])
+        ranks = {}
+        for rank, (left, right, joined) in enumerate(pairs):
+            ranks.setdefault((left, right), (rank, joined))
+        pieces = ["".join(chr(draw.randint(97, 101)) for _ in range(draw.choice([1, 2, 5, 30, 300]))) for _ in range(20)]
+        found, sizes = merges._merged_pieces(pieces, "a", merges._merge_table(pairs), ranks)
+        want = [merges.merge_symbols([ord(c) for c in "a" + p], ranks) for p in pieces]
+        assert found.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+    assert merges._merged_pieces([], "a", merges._merge_table([]), {})[1].tolist() == []
+    assert np.array_equal(merges._merged_pieces(["b"], "", merges._merge_table([]), {})[0], [98])
+
+
+def test_slices_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(merges, "_SLICE_BYTES", 10)
+    rows = pa.array([["a" * 5, "b"], None, [], ["c" * 40], ["d"], ["e"], [], ["f" * 9]])
+    parts = list(merges._slices(rows.slice(1)))
+    assert pa.concat_arrays(parts).equals(rows.slice(1)) and len(parts) == 4
+    assert list(merges._slices(rows.slice(0, 0))) == []
