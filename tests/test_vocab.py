@@ -182,3 +182,14 @@ def test_no_examples_are_none(spark, docs):
 
     assert corpus.max_examples(docs, 0).count() == 0
     assert corpus.max_examples(docs, None).count() == docs.count()
+
+
+def test_small_keys_are_counted_without_decimals(spark):
+    """A key and a position were a decimal for every token; both ways give the same places."""
+    rows = [(2**31 - 1, "ba"), (-(2**31), "cb"), (5, "a"), (-3, "xa")]
+    small = spark.createDataFrame(rows, "doc_id bigint, text string")
+    large = spark.createDataFrame([*rows, (2**62, "")], "doc_id bigint, text string")
+    assert vocab._fits_long(small, "doc_id") and not vocab._fits_long(large, "doc_id")
+    assert vocab._fits_long(small.limit(0), "doc_id")
+    found = [sorted(map(tuple, vocab.counts_with_first(d).collect())) for d in (small, large)]
+    assert found[0] == found[1] == [("a", 3, -3, 1), ("b", 2, -(2**31), 1), ("c", 1, -(2**31), 0), ("x", 1, -3, 0)]
