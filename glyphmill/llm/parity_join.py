@@ -20,10 +20,12 @@ PARTS, PART_BITS = 0.6, 40
 SMALL = 32
 # Least 64-bit words of the sketch that candidates are held against; it grows with the set.
 SKETCH = 16
-# So many of a class's keys are looked through for an earlier one of a pair.
-FIRSTS = 16
-# Factor by which the pivots at a key grow from round to round.
+# Pivots at a key in the first round; each later round has the square of the one before.
 PIVOTS = 8
+# So many rows are sent to all tasks to pick texts; more meet the texts by a shuffle.
+PICKED = 500_000
+# Pairs of sets that a task holds against each other.
+PAIRS = 2_000
 # A shingle in this share of a task's documents is common: parts without one are taken first.
 COMMON = 0.004
 
@@ -200,16 +202,20 @@ def _set_table(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [batch.column("class"), _lists(sets.items, sets.sizes)], names=["class", "items"])
 
-    chosen = texts.join(wanted, "_row")
+    chosen = texts.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "_row")
     return C.staged(_mapped(chosen, work, "class bigint, items array<bigint>", shingle), "items")
 
 
+def _half(sketch: Column) -> Column:
+    """The sketch at half its size."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(
+        F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _folded(sketch: Column, to: Column) -> Column:
     """The sketch at half its size, if it is larger than `to`."""
-    half = (F.size(sketch) / 2).cast("int")
-    return F.when(F.size(sketch) > F.size(to), F.zip_with(
-        F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y)
-    )).otherwise(sketch)
+    return F.when(F.size(sketch) > F.size(to), _half(sketch)).otherwise(sketch)
 
 
 def _close(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -228,20 +234,23 @@ def _near(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         reps.select(*[F.col(c).alias(f"{c}_{side}") for c in ("n", "sketch")], F.col("class").alias(side))
         for side in ("a", "b")
     )
-    return C.staged(pairs.join(left, "a").join(right, "b").where(_close(
-        F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"), "near")
+    return C.staged(C.few(pairs.join(left, "a").join(right, "b").where(_close(
+        F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"),
+        pairs.count(), PAIRS), "near")
 
 
 def _verified(near: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Of the class pairs (a, b), those whose sets are linked. Only their sets are made again."""
+    n = near.count()
     wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = _set_table(texts, wanted.join(reps, "class").select("_row", "class"), shingle)
+    wanted = C.staged(C.few(wanted.join(reps, "class").select("_row", "class"), 2 * n), "wanted")
+    sets = _set_table(texts, wanted, shingle)
     left = sets.select(F.col("class").alias("a"), F.col("items").alias("ia"))
     right = sets.select(F.col("class").alias("b"), F.col("items").alias("ib"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    return C.staged(near.join(left, "a").join(right, "b").select(
+    return C.staged(C.few(near.join(left, "a").join(right, "b").select(
         "a", "b", shared.alias("s"), (F.size("ia") + F.size("ib")).alias("t")
-    ).where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b"), "links")
+    ).where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b"), n, PAIRS), "links")
 
 
 def _grown(met: DataFrame, star: DataFrame, roots: DataFrame, texts: DataFrame, reps: DataFrame,
@@ -251,42 +260,42 @@ def _grown(met: DataFrame, star: DataFrame, roots: DataFrame, texts: DataFrame,
     `met` (key, class, least) has the keys, where each class was held against the least, pairs `star`. Each
     round takes pivots at every key whose classes left are in several groups, holds the classes of other
     groups against them, and lets go the pivots. A group's classes are never held against each other, so
-    a group that grows together soon needs few pairs, however large. Rounds grow in pivots, and end after
-    about as many as the digits of the largest number of classes at a key.
+    a group that grows together soon needs few pairs, however large. Rounds square their pivots, so even
+    a key with all classes is done after a handful.
     """
-    left = met.where("class <> least").select("key", "class")
-    sketched = reps.select("class", "n", "sketch")
-    firsts, pivots_a_key = None, 1
+    left, rows = met.where("class <> least").select("key", "class"), met.count()
+    short, pivots_a_key = None, PIVOTS
     while True:
         now = left.join(roots, left["class"] == roots["node"], "left").select(
             "key", "class", F.coalesce("root", "class").alias("root"))
         several = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        now = C.staged(now.join(several.select("key"), "key", "left_semi"), "open")
-        if now.isEmpty():
+        now = C.staged(C.few(now.join(several.select("key"), "key", "left_semi"), rows), "open")
+        rows = now.count()
+        if not rows:
             return roots
-        if firsts is None:
-            # Keys that close later have no pair left, so a pair is always held at its first key of these.
-            firsts = C.staged(now.groupBy("class").agg(
-                F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts")).join(sketched, "class"), "firsts")
-        pivots_a_key *= PIVOTS
+        if short is None:
+            # Keys that close later have no pair left, so these are all the classes of later rounds.
+            short = C.staged(C.few(now.select("class").distinct().join(reps, "class").select(
+                "class", "_row", "n", "sketch", _half(_half(F.col("sketch"))).alias("short")), rows), "short")
         # The least class of each turn; a class has its turn at all its keys.
         turn = F.pmod(F.xxhash64("class", F.lit(pivots_a_key)), F.lit(pivots_a_key))
-        chosen = C.staged(now.groupBy("key", turn.alias("turn")).agg(
-            F.min(F.struct("class", "root")).alias("p")).select("key", "p.class", "p.root"), "pivots")
+        chosen = C.staged(C.few(now.groupBy("key", turn.alias("turn")).agg(
+            F.min(F.struct("class", "root")).alias("p")).select("key", "p.class", "p.root"), rows), "pivots")
         a, b = (
-            side.join(firsts, "class").select(*[
-                F.col(c).alias(f"{c}_{name}") for c in ("key", "class", "n", "root", "sketch", "firsts")])
+            side.join(short, "class").select(*[
+                F.col(c).alias(f"{c}_{name}") for c in ("key", "class", "n", "root", "short")])
             for side, name in ((chosen, "a"), (now, "b"))
         )
-        # Two that meet at many keys are held against each other at the first, if it is among either's first.
-        first = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")), F.col("key_a")) >= F.col("key_a")
-        across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & F.when(
-            first, _close(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).otherwise(False))
+        # A quarter of a sketch moves with every key, the whole one only for pairs that it leaves.
+        across = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _close(
+            F.col("short_a"), F.col("short_b"), F.col("n_a"), F.col("n_b"), percent))
         pairs = across.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-        pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "near")
+        pairs = C.staged(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
         left = now.join(chosen.select("key", "class"), ["key", "class"], "left_anti").select("key", "class")
-        if not pairs.isEmpty():
-            more = _verified(pairs, texts, reps, shingle, percent)
+        pivots_a_key **= 2
+        near = _near(pairs, short, percent)
+        if not near.isEmpty():
+            more = _verified(near, texts, short, shingle, percent)
             if not more.isEmpty():
                 roots = C.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
@@ -333,7 +342,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
         parts *= 2
     met = met.where("key is not null")
     star = met.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
-    star = C.staged(star, "star")
+    star = C.staged(C.few(star, met.count()), "star")
     links = _verified(_near(star, reps, percent), texts, reps, shingle, percent)
     roots = _grown(met, star, C.components(links), texts, reps, shingle, percent)
 

@@ -229,6 +229,34 @@ def test_groups_of_awkward_rows(spark, awkward):
     assert parity_join.groups(awkward.limit(0)).collect() == []
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, the rounds of a small group do not write a file for each."""
+    written, write = [], C.materialize
+
+    def counted(df, label):
+        done = write(df, label)
+        written.append((label, len(done.inputFiles())))
+        return done
+
+    monkeypatch.setattr(C, "materialize", counted)
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+        roots = C.components(edges)
+        assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(41)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) > 1 and max(n for _, n in written[1:]) == 1
+    stars = spark.createDataFrame([(9, 1), (8, 1), (7, 2)], "a bigint, b bigint")
+    written.clear()
+    assert {(r.node, r.root) for r in C.components(stars).collect()} == {(9, 1), (8, 1), (1, 1), (7, 2), (2, 2)}
+    assert len(written) == 1
+
+
 def test_sketches_never_differ_more_than_sets():
     import pyarrow as pa
 
