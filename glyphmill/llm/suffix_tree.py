@@ -22,6 +22,8 @@ DEPTH = 4
 HOT = 1e-5
 # Bits of the filter that passes over runs without a weight, at most; a full one passes all.
 FILTER_BITS = 1 << 27
+# Training tokens for each part of the runs and weights that are joined.
+BUCKET = 500_000
 # A context stays if, over all its places, it saves DIVERGENCE * ln(places) nats against the shorter one.
 DIVERGENCE = 2.0
 # What is taken off each count, for the words that are not the state's own.
@@ -349,13 +351,14 @@ def _passed(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _followers(texts: DataFrame, length: int, candidates: np.ndarray) -> DataFrame:
-    """(context, suffix, n) of the runs of `length` words and a token after them whose context passes."""
+def _followers(texts: DataFrame, length: int, candidates: np.ndarray, ends: np.ndarray) -> DataFrame:
+    """(context, suffix, n) of the runs of `length` words and a token after them whose context passes
+    `candidates` and whose run without its first word passes `ends`."""
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.chunks(batches, "text"):
             for _, ids, contexts, suffixes in runs(batch.column("text"), length + 1):
                 pass
-            use = _passed(candidates, contexts)
+            use = _passed(candidates, contexts) & _passed(ends, suffixes)
             _, first, n = np.unique(ids[use], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [C.signed(contexts[use][first]), C.signed(suffixes[use][first]), pa.array(n, pa.int64())],
@@ -412,15 +415,15 @@ def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: i
     scale = float(np.log10(total + SMOOTH * (distinct + 1)))
     least, enough = max(SEEN, follow), max(SEEN, context)
     # The table of a length: its runs with log10 of the share (of all tokens, for single words).
-    shorter = words.select("code", (F.log10(F.col("n") + SMOOTH) - scale).alias("log"))
+    shorter = words.where(F.col("n") >= least).select("code", (F.log10(F.col("n") + SMOOTH) - scale).alias("log"))
     contexts = tokens_.where((F.col("code") != end) & (F.col("n") >= enough)).select(
         F.col("code").alias("context"), F.lit(None).cast("bigint").alias("up"), F.col("n").alias("sum")
     )
     levels, states = [], []
     for length in range(1, longest + 1):
-        found = C.staged(
-            _coded(_followers(texts, length, _filter(contexts, "context")).where(F.col("n") >= least)), "followers"
-        )
+        # A run is not seen more often than what it ends in, so only runs that end in one of `shorter` move.
+        counted = _followers(texts, length, _filter(contexts, "context"), _filter(shorter))
+        found = _coded(counted.where(F.col("n") >= least))
         # Contexts that passed the filter by chance go here.
         own = C.staged(
             found.join(contexts.select("context", "sum"), "context")
@@ -472,14 +475,21 @@ def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: i
     return total, distinct, C.staged(weights, "weights")
 
 
-def _weighed(depth: int, hot: tuple[np.ndarray, ...], cold: np.ndarray):
-    """Per row its token count and the sums of the weights at hand; then its runs whose weights are to be joined."""
+def _bucket(codes: Column, buckets: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(codes, 40), F.lit(buckets)).cast("int")
+
+
+def _weighed(depth: int, hot: tuple[np.ndarray, ...], cold: np.ndarray, buckets: int):
+    """A chunk of texts at a time: per row its token count and the sums of the weights at hand, without a code;
+    and, by bucket, the rows and codes of its runs whose weights are to be joined."""
+    names = ["bucket", "_row", "code", "n", "n_known", "base", "score"]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, known, base, score = hot
-        names = ["_row", "code", "n", "n_known", "base", "score"]
         for batch in C.chunks(batches, "text"):
             size, ids = batch.num_rows, batch.column("_row").to_numpy()
             counts, sums = [np.zeros(size, np.int64) for _ in range(2)], [np.zeros(size) for _ in range(2)]
+            far_rows, far_codes = [], []
             for length, (rows, found, _, _) in enumerate(runs(batch.column("text"), depth + 1), 1):
                 if length == 1:
                     counts[0] = np.bincount(rows, minlength=size) - 1  # without the start
@@ -491,24 +501,53 @@ def _weighed(depth: int, hot: tuple[np.ndarray, ...], cold: np.ndarray):
                     sums[0] += np.bincount(where, weights=base[at], minlength=size)
                     sums[1] += np.bincount(where, weights=score[at], minlength=size)
                 rest = ~hit & _passed(cold, found)
-                pairs = np.stack([rows[rest], found[rest].view(np.int64)])
-                pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
-                first = np.ones(pairs.shape[1], bool)
-                first[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-                at = np.flatnonzero(first)
-                zeros = np.zeros(len(at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[pairs[0, at]]), pa.array(pairs[1, at]),
-                     pa.array(np.diff(np.append(at, pairs.shape[1])), pa.int64()),
-                     pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(zeros)], names=names,
-                )
+                far_rows.append(rows[rest])
+                far_codes.append(found[rest])
+            rows, found = np.concatenate(far_rows), np.concatenate(far_codes)
+            bucket = (found >> np.uint64(40)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), [len(bucket)]])
+            offsets, n = pa.array(cuts, pa.int32()), len(cuts) - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.nulls(size, pa.int64()), *map(pa.array, counts), *map(pa.array, sums)], names=names
+                [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids[rows[order]])),
+                 pa.ListArray.from_arrays(offsets, C.signed(found[order])),
+                 *[pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=names,
+            )
+            whole = pa.array([0, size], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(ids[0]) % buckets], pa.int32()), pa.ListArray.from_arrays(whole, pa.array(ids)),
+                 pa.nulls(1, pa.list_(pa.int64())),
+                 *[pa.ListArray.from_arrays(whole, pa.array(x)) for x in (*counts, *sums)]], names=names,
             )
 
     return work
 
 
+def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Sums per row of a bucket's runs with their weights; and the rows that come with sums."""
+    def flat(table, column):
+        parts = [x.flatten().to_numpy(zero_copy_only=False) for x in table.column(column).chunks]
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    runs_, given = left.filter(left.column("code").is_valid()), left.filter(left.column("code").is_null())
+    names = ["n", "n_known", "base", "score"]
+    out = [[flat(given, c) for c in ("_row", *names)]]
+    weights = [right.column(c).to_numpy() for c in ("code", "known", "base", "score")]
+    order = np.argsort(weights[0])
+    weights = [w[order] for w in weights]
+    place = _places(weights[0], flat(runs_, "code"))
+    hit = place >= 0
+    rows, at = np.unique(flat(runs_, "_row")[hit], return_inverse=True)
+    sums = [np.bincount(at, weights=w[place[hit]], minlength=len(rows)) for w in weights[1:]]
+    out.append([rows, np.zeros(len(rows)), *sums])
+    kinds = [np.int64, np.int64, np.int64, np.float64, np.float64]
+    return pa.table({
+        c: np.concatenate([x.astype(kind) for x in columns])
+        for c, kind, columns in zip(("_row", *names), kinds, zip(*out))
+    })
+
+
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
            context: float = CONTEXT, follow: float = FOLLOW, divergence: float = DIVERGENCE) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
@@ -534,18 +573,21 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     order = np.argsort(codes)
     hot = (codes[order], *[near[c].to_numpy()[order].astype(np.float64) for c in ("known", "base", "score")])
     far = weights.where(~often)
-    parts = C.staged(texts.select("_row", "text").mapInArrow(
-        _weighed(depth, hot, _filter(far)), "_row bigint, code bigint, n bigint, n_known bigint, base double, score double"
-    ), "parts")
-    rest = parts.where("code is not null").select("_row", "code", "n").join(far, "code").groupBy("_row").agg(
-        *[F.sum(F.col("n") * F.col(c)).alias(f"_{c}") for c in ("known", "base", "score")]
+    # Runs travel as lists, by bucket, and meet the weights in numpy; nothing of them is written as a table.
+    buckets = 1 + total // BUCKET
+    parts = texts.select("_row", "text").mapInArrow(
+        _weighed(depth, hot, _filter(far), buckets),
+        "bucket int, _row array<bigint>, code array<bigint>, n array<bigint>, n_known array<bigint>, "
+        "base array<double>, score array<double>",
     )
-    done = parts.where("code is null").drop("code").join(rest, "_row", "left").join(rows.select("_row", "_key"), "_row")
+    far = far.select(_bucket(F.col("code"), buckets).alias("bucket"), "code", "known", "base", "score")
+    sums = parts.groupBy("bucket").cogroup(far.groupBy("bucket")).applyInArrow(
+        _joined, "_row bigint, n bigint, n_known bigint, base double, score double")
+    done = sums.groupBy("_row").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).join(rows.select("_row", "_key"), "_row")
     none = F.col("n") * float(np.log10(SMOOTH) - np.log10(total + SMOOTH * (distinct + 1)))
     return done.select(
         F.col("_key").alias(key), held_out(F.col("_key")).alias("held_out"), F.col("n").alias("n_tokens"),
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(int(total)).cast("bigint").alias("train_tokens"),
-        *[(F.col(c) + none + F.coalesce(f"_{c}", F.lit(0.0))).alias(f"{c}_score" if c == "base" else c)
-          for c in ("base", "score")],
+        *[(F.col(c) + none).alias(f"{c}_score" if c == "base" else c) for c in ("base", "score")],
     )

@@ -393,6 +393,18 @@ def test_rare_contexts_are_learned(spark):
     assert all(done[i].score > two[i].score + 0.2 for i in range(400, 520))
 
 
+def test_only_runs_that_can_be_in_the_tree_move(spark, monkeypatch):
+    """Runs whose end is not in the tree stay where they are, and runs are not written before they are joined."""
+    rows = spark.createDataFrame([("a b c a b d",)], "text string")
+    every = np.full(1 << 4, ~np.uint64(0))
+    assert suffix_tree._followers(rows, 2, every, every).count() == 6
+    assert suffix_tree._followers(rows, 2, every, np.zeros(1 << 4, np.uint64)).count() == 0
+    labels, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: (labels.append(label), write(df, label))[1])
+    assert suffix_tree.scores(table(spark, ["a b c a b d"] * 12), depth=1).count() == 12
+    assert "weights" in labels and not {"parts", "followers"} & set(labels)
+
+
 def test_scores_of_awkward_rows(spark, awkward):
     done = suffix_tree.scores(awkward).collect()
     assert len(done) == awkward.count()
