@@ -7,9 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import common as C
+from . import common as C, lists as L
+from ..session import discard
 
 # A context is looked at if it was seen so often, whatever the size of the corpus.
 CONTEXT = 8
@@ -22,8 +25,17 @@ DEPTH = 4
 HOT = 1e-5
 # Bits of the filter that passes over runs without a weight, at most; a full one passes all.
 FILTER_BITS = 1 << 27
-# Training tokens for each part of the runs and weights that are joined.
-BUCKET = 500_000
+# Training tokens for each bucket of the runs that are counted or joined.
+BUCKET = 1_000_000
+# Larger jobs count the runs of a length in so many parts, one after the other, if most runs pass the filters: those
+# of single words, and those of contexts whose filter has more than this share of its bits. They score the
+# texts in so many parts. Only one part's runs are on disk at a time.
+COUNTED_IN, FULL = 2, 0.2
+SCORED_IN = 3
+# Numbers that a task holds before it lists them by bucket.
+HELD = 1_000_000
+# A filter is put together in 2 ** PIECES pieces.
+PIECES = 6
 # A context stays if, over all its places, it saves DIVERGENCE * ln(places) nats against the shorter one.
 DIVERGENCE = 2.0
 # What is taken off each count, for the words that are not the state's own.
@@ -305,44 +317,109 @@ def _scored(tree: Tree, depth: int):
     return work
 
 
-def runs(texts: pa.Array, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length up to `longest`, (rows, ids, prefixes, suffixes) of all runs of tokens in START, the words, END.
-
-    The id of a run is made of those of the run without its last and without its first token. Runs of
-    length 1 have no prefix or suffix: theirs are empty.
-    """
+def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, codes, sizes): the ids of the distinct tokens, the most frequent first, the code of each token
+    of START, the words, END of every text, and each text's number of them."""
     words = C.Words(texts, lower=True)
-    n, sizes = len(texts), words.sizes + 2
+    sizes = words.sizes + 2
     first = np.cumsum(sizes) - sizes
-    ids = np.full(int(sizes.sum()), START, np.uint64)
-    ids[first + sizes - 1] = END
-    ids[first[words.rows] + words.places + 1] = words.hashes()
-    rows = np.repeat(np.arange(n), sizes)
-    none = np.empty(0, np.uint64)
-    yield rows, ids, none, none
-    for _ in range(1, longest):
-        inside = rows[:-1] == rows[1:]
-        prefixes, suffixes, rows = ids[:-1][inside], ids[1:][inside], rows[:-1][inside]
-        # What is left of a row is still in one piece, so neighbours overlap in all but their ends.
-        ids = run_ids(prefixes, suffixes)
-        yield rows, ids, prefixes, suffixes
+    ids, code = np.unique(np.concatenate([np.array([START, END]), words.table()]), return_inverse=True)
+    codes = np.full(int(sizes.sum()), code[0])
+    codes[first + sizes - 1] = code[1]
+    codes[first[words.rows] + words.places + 1] = code[2:][words.codes]
+    counts = np.bincount(codes, minlength=len(ids))
+    # Those of one number stay in the order of their ids. The empty word comes in no text.
+    order = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(order))
+    return ids[order], place[codes], sizes
+
+
+class Runs:
+    """The runs of tokens in a chunk of texts, by the places where they start. The id of a run is made of those
+    of the run without its last and without its first token."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray):
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.ids = words[codes]
+        self.pairs = C.mix((words * np.uint64(C._BASE))[codes[:-1]] + C.mix(words)[codes[1:]])
+
+    def at(self, length: int, places: np.ndarray) -> np.ndarray:
+        if length < 3:
+            return (self.ids, self.pairs)[length - 1][places]
+        return run_ids(self.at(length - 1, places), self.at(length - 1, places + 1))
+
+    def whole(self, length: int, places: np.ndarray) -> np.ndarray:
+        """The places whose runs end within their text."""
+        places = places[:np.searchsorted(places, len(self.rows) - length, side="right")]
+        return places[self.rows[places] == self.rows[places + length - 1]]
+
+    def passing(self, filters: list[np.ndarray | None], known: np.ndarray) -> np.ndarray:
+        """The places of the runs as long as there are filters that pass the last one; as do all parts
+        of them the one of their length. `known` tells which tokens pass the first."""
+        places = np.flatnonzero(known)
+        for length, table in enumerate(filters[1:], 2):
+            there = np.zeros(len(known) + 1, bool)
+            there[places] = True
+            places = self.whole(length, places[there[places + 1]])
+            places = places[_passed(table, self.at(length, places))]
+        return places
 
 
 def run_ids(prefixes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     return C.mix(prefixes * np.uint64(C._BASE) + C.mix(suffixes))
 
 
-def _filter(ids: DataFrame, column: str = "code") -> np.ndarray:
-    """Bits by the first bits of the ids: an id whose bit is not set is not among them."""
-    n = ids.count()
-    bits = min(max(int(16 * n).bit_length(), 10), FILTER_BITS.bit_length() - 1)
-    place = F.shiftrightunsigned(F.col(column), 64 - bits)
-    rows = ids.select(
-        F.shiftright(place, 6).cast("int").alias("slot"),
-        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("bits"),
-    ).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+def _filter(ids: DataFrame, column: str = "code", n: int | None = None) -> np.ndarray:
+    """Bits by the first bits of the ids, or of lists of them: an id whose bit is not set is not among them. `n` is
+    their number, if it is known."""
+    bits = _filter_bits(ids.count() if n is None else n)
+    each = bits - PIECES  # a piece of the bits at a time
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(held):
+            places = np.sort(np.concatenate(held))
+            return pa.RecordBatch.from_arrays(L.listed(places >> np.uint32(each), places), names=["piece", "places"])
+
+        held, size = [], 0
+        for batch in batches:
+            x = batch.column(0)
+            x = L.flat(pa.chunked_array([x]), np.uint64) if pa.types.is_binary(x.type) else x.to_numpy().view(np.uint64)
+            held.append((x >> np.uint64(64 - bits)).astype(np.uint32))
+            size += len(x)
+            if size >= HELD:
+                yield lists(held)
+                held, size = [], 0
+        if size:
+            yield lists(held)
+
+    def marked(lists: pa.Table) -> pa.Table:
+        there = np.zeros(1 << each, bool)
+        there[L.flat(lists.column("places"), np.uint32) & np.uint32((1 << each) - 1)] = True
+        return pa.table({
+            "piece": lists.column("piece")[:1], "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())})
+
+    lists = ids.select(column).mapInArrow(mapped, "piece int, places binary")
     table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    for row in lists.groupBy("piece").applyInArrow(marked, "piece int, bits binary").toArrow().to_pylist():
+        own = np.frombuffer(row["bits"], np.uint8)
+        table.view(np.uint8)[row["piece"] * len(own):][:len(own)] = own
+    return table
+
+
+def _list_filter(lists: DataFrame) -> np.ndarray:
+    return _filter(lists, n=(lists.agg(F.sum(F.length("code")).alias("n")).first()["n"] or 0) // 8)
+
+
+def _filter_bits(n: int) -> int:
+    return min(max(int(16 * n).bit_length(), 10), FILTER_BITS.bit_length() - 1)
+
+
+def _filter_of(ids: np.ndarray) -> np.ndarray:
+    """The same for ids at hand."""
+    bits = _filter_bits(len(ids))
+    table, place = np.zeros(1 << (bits - 6), np.uint64), ids >> np.uint64(64 - bits)
+    np.bitwise_or.at(table, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
     return table
 
 
@@ -354,198 +431,452 @@ def _passed(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def _followers(texts: DataFrame, length: int, candidates: np.ndarray, ends: np.ndarray) -> DataFrame:
     """(context, suffix, n) of the runs of `length` words and a token after them whose context passes
     `candidates` and whose run without its first word passes `ends`."""
+    texts = _numbered(texts.select(F.lit(0).cast("bigint").alias("_row"), F.lit(True).alias("train"), "text"))
+    every = np.full(1 << 4, ~np.uint64(0))
+    filters = [every] * (length - 1) + [candidates]
+    lists = _followed(texts, Here((filters, ends)), 1)
+
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.chunks(batches, "text"):
-            for _, ids, contexts, suffixes in runs(batch.column("text"), length + 1):
-                pass
-            use = _passed(candidates, contexts) & _passed(ends, suffixes)
-            _, first, n = np.unique(ids[use], return_index=True, return_counts=True)
+        for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [C.signed(contexts[use][first]), C.signed(suffixes[use][first]), pa.array(n, pa.int64())],
-                names=["context", "suffix", "n"],
-            )
+                [pa.array(_numbers(batch, c).view(np.int64)) for c in ("context", "suffix", "n")], names=["context", "suffix", "n"])
+
+    return lists.drop("bucket").mapInArrow(mapped, "context bigint, suffix bigint, n bigint")
+
+
+@dataclass
+class Here:
+    """A value that travels with a function; a broadcast one can be removed before the job's end."""
+
+    value: object
+
 
-    counted = texts.mapInArrow(mapped, "context bigint, suffix bigint, n bigint")
-    return counted.groupBy("context", "suffix").agg(F.sum("n").alias("n"))
+_WORDS = "chunk bigint, train boolean, n bigint, rows binary, sizes binary, words binary, counts binary, codes binary"
 
 
-def _coded(runs_: DataFrame) -> DataFrame:
-    """With the id of each run, from its context and suffix."""
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Texts (_row, train, text) as numbers, a chunk of them in a row: the keys of its texts and their numbers of
+    tokens; its distinct words, how often they come, and the code of each token. Words are cut and hashed once;
+    whatever reads the texts again reads this."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get().partitionId(), 0
+        names = ["chunk", "train", "n", "rows", "sizes", "words", "counts", "codes"]
+        for batch in C.chunks(C.released(batches), "text"):
+            for train in (True, False):
+                part = batch.filter(pc.equal(batch.column("train"), train))
+                if not part.num_rows:
+                    continue
+                words, codes, sizes = spelled(part.column("text"))
+                counts = np.bincount(codes, minlength=len(words))
+                blobs = [L.pressed(x) for x in (
+                    part.column("_row").to_numpy(), sizes.astype(np.int64), words, counts.astype(np.int64),
+                    codes.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([task << 32 | k << 1 | train]), pa.array([train]), pa.array([len(codes)]), *[pa.array([x], pa.binary()) for x in blobs]],
+                    names=names,
+                )
+            k += 1
+
+    return texts.mapInArrow(mapped, _WORDS)
+
+
+def _words(texts: DataFrame, buckets: int) -> DataFrame:
+    """(code, n) of all tokens, starts too."""
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [batch.column(c).to_numpy().view(np.uint64) for c in ("context", "suffix")]
-            yield pa.RecordBatch.from_arrays(
-                [C.signed(run_ids(*parts)), *batch.columns], names=["code", *batch.schema.names]
-            )
+            for words, counts in zip(batch.column("words"), batch.column("counts")):
+                codes = L.opened(words.as_py(), np.uint64)
+                order = np.argsort(codes)
+                lists = L.listed(L.bucket_of(codes[order], buckets), codes[order], L.opened(counts.as_py(), np.int64)[order])
+                yield pa.RecordBatch.from_arrays(lists, names=["bucket", "code", "n"])
+
+    def summed(lists: pa.Table) -> pa.Table:
+        codes = L.flat(lists.column("code"), np.uint64)
+        order, first = L.groups(codes)
+        n = L.sums(L.flat(lists.column("n"), np.int64)[order], first)
+        return pa.table({"code": C.signed(codes[order[first]]), "n": n})
+
+    lists = texts.select("words", "counts").mapInArrow(mapped, "bucket int, code binary, n binary")
+    return lists.groupBy("bucket").applyInArrow(summed, "code bigint, n bigint")
+
+
+def _followed(texts: DataFrame, filters: Here | Broadcast, least: int, buckets: int = 1, part: int = 0,
+              parts: int = 1) -> DataFrame:
+    """Lists (context, suffix, n), by context, of the runs of some words and a token after them, seen `least` times
+    or more; those of one of `parts` parts by code. `filters` are those that the words must pass, as do
+    their parts, one for each length; and one for the run without its first word."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        candidates, ends = filters.value
+        length = len(candidates)
+        for batch in batches:
+            for sizes, words, codes in zip(*[batch.column(c) for c in ("sizes", "words", "codes")]):
+                words, codes = L.opened(words.as_py(), np.uint64), L.opened(codes.as_py(), np.uint32)
+                runs = Runs(L.opened(sizes.as_py(), np.int64), words, codes)
+                places = runs.whole(length + 1, runs.passing(candidates, _passed(candidates[0], words)[codes]))
+                suffixes = runs.at(length, places + 1)
+                use = np.flatnonzero(_passed(ends, suffixes))
+                contexts, suffixes = runs.at(length, places[use]), suffixes[use]
+                ids = run_ids(contexts, suffixes)
+                if parts > 1:
+                    use = np.flatnonzero(ids % np.uint64(parts) == part)
+                    ids, contexts, suffixes = ids[use], contexts[use], suffixes[use]
+                order, first = L.groups(ids)
+                place = order[first]
+                n = np.diff(np.append(first, len(order)))
+                lists = L.listed(L.bucket_of(ids[place], buckets), contexts[place], suffixes[place], n)
+                yield pa.RecordBatch.from_arrays(lists, names=["bucket", "context", "suffix", "n"])
+
+    def summed(lists: pa.Table) -> pa.Table:
+        contexts, suffixes = [L.flat(lists.column(c), np.uint64) for c in ("context", "suffix")]
+        codes = run_ids(contexts, suffixes)
+        order, first = L.groups(codes)
+        n = L.sums(L.flat(lists.column("n"), np.int64)[order], first)
+        place = order[first[n >= least]]
+        return _relisted(contexts[place], buckets, ("context", "suffix", "n"), contexts[place], suffixes[place], n[n >= least])
+
+    lists = texts.select("sizes", "words", "codes").mapInArrow(mapped, "bucket int, context binary, suffix binary, n binary")
+    return lists.groupBy("bucket").applyInArrow(summed, "bucket int, context binary, suffix binary, n binary")
+
+
+def _relisted(codes: np.ndarray, buckets: int, names: tuple[str, ...], *columns: np.ndarray) -> pa.Table:
+    """The columns as lists by the bucket of the codes, in the order of the codes."""
+    order = np.argsort(codes)
+    return pa.table(L.listed(L.bucket_of(codes[order], buckets), *[x[order] for x in columns]), names=["bucket", *names])
+
+
+def _lists(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of numbers as lists by the bucket of `code`."""
+    names = tuple(rows.columns)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(held):
+            columns = [np.concatenate(x) for x in zip(*held)]
+            return _relisted(columns[names.index("code")].view(np.uint64), buckets, names, *columns).to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            size += batch.num_rows
+            if size >= HELD:
+                yield from lists(held)
+                held, size = [], 0
+        if size:
+            yield from lists(held)
+
+    return rows.mapInArrow(mapped, ", ".join(["bucket int", *[f"{c} binary" for c in names]]))
+
+
+def _of_own(own: DataFrame, least: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts, shorter) for the next length: lists (code, up, sum) of the runs seen `least` times or more, and
+    (code, log) of all."""
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches, "context"):
+            context, suffix, n = [_numbers(batch, c) for c in ("context", "suffix", "n")]
+            use = n >= least
+            codes = run_ids(context[use], suffix[use])
+            yield from _relisted(codes, buckets, ("code", "up", "sum"), codes, suffix[use], n[use]).to_batches()
+
+    def shorter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.chunks(batches, "context"):
+            context, suffix, n, total = [_numbers(batch, c) for c in ("context", "suffix", "n", "sum")]
+            codes = run_ids(context, suffix)
+            yield from _relisted(codes, buckets, ("code", "log"), codes, _share(n, total)).to_batches()
+
+    return (
+        own.select("context", "suffix", "n").mapInArrow(contexts, "bucket int, code binary, up binary, sum binary"),
+        own.select("context", "suffix", "n", "sum").mapInArrow(shorter, "bucket int, code binary, log binary"),
+    )
+
+
+_KINDS = {"n": np.int64, "sum": np.int64, "log": np.float64, "before": np.float64, "rest": np.float64, "score": np.float64}
+
+
+def _numbers(lists: pa.Table | pa.RecordBatch, column: str) -> np.ndarray:
+    x = lists.column(column)
+    return L.flat(x if isinstance(x, pa.ChunkedArray) else pa.chunked_array([x]), _KINDS.get(column, np.uint64))
+
+
+def _ordered(lists: pa.Table, *columns: str) -> list[np.ndarray]:
+    """Columns of lists, in the order of the first."""
+    out = [_numbers(lists, c) for c in columns]
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
+
+
+def _share(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum((n - DISCOUNT) / np.maximum(total, 1), 1e-300))
+
+
+def _own(found: DataFrame, contexts: DataFrame, shorter: DataFrame, buckets: int) -> DataFrame:
+    """`found` with the counts of their contexts and what the runs without their first word have; lists by context."""
+    names = ("context", "suffix", "n", "sum", "before")
 
-    return runs_.mapInArrow(mapped, "code bigint, context bigint, suffix bigint, n bigint")
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, total = _ordered(right, "code", "sum")
+        context, suffix, n = [_numbers(left, c) for c in names[:3]]
+        place = _places(codes, context)
+        use = np.flatnonzero(place >= 0)  # the others passed the filter by chance
+        return _relisted(suffix[use], buckets, names[:4], context[use], suffix[use], n[use], total[place[use]])
+
+    def held(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, log = _ordered(right, "code", "log")
+        context, suffix, n, total = [_numbers(left, c) for c in names[:4]]
+        place = _places(codes, suffix)
+        use = np.flatnonzero(place >= 0)
+        return _relisted(context[use], buckets, names, *[x[use] for x in (context, suffix, n, total)], log[place[use]])
+
+    schema = ["bucket int", *[f"{c} binary" for c in names]]
+    counted = found.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(summed, ", ".join(schema[:-1]))
+    return counted.groupBy("bucket").cogroup(shorter.groupBy("bucket")).applyInArrow(held, ", ".join(schema))
+
+
+def _states(own: DataFrame, contexts: DataFrame, cutoff: float) -> DataFrame:
+    """(context, up, sum, rest, kept) of the contexts that have words of their own."""
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, up = _ordered(right, "code", "up")
+        context, n, total, before = _ordered(left, "context", "n", "sum", "before")
+        log = _share(n, total)
+        _, first = L.groups(context)
+        own_, there, gain = [L.sums(x, first) for x in (10.0 ** log, 10.0 ** before, n * (log - before))]
+        left_ = np.log(np.maximum(1 - own_, 1e-9) / np.maximum(1 - there, 1e-9))
+        context, total = context[first], total[first]
+        saved = gain * np.log(10) + np.maximum(total * (1 - own_), 0.0) * left_
+        return pa.table({
+            "context": C.signed(context), "up": C.signed(up[_places(codes, context)]), "sum": total,
+            "rest": left_ / np.log(10), "kept": saved >= cutoff,
+        })
+
+    return own.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(
+        judged, "context bigint, up bigint, sum bigint, rest double, kept boolean")
+
+
+def _own_weights(own: DataFrame, kept: DataFrame, often: float, buckets: int) -> DataFrame:
+    """Lists of the weights of the runs whose contexts are kept."""
+    def weighed(left: pa.Table, right: pa.Table) -> pa.Table:
+        codes, rest = _ordered(right, "code", "rest")
+        context, suffix, n, total, before = [_numbers(left, c) for c in ("context", "suffix", "n", "sum", "before")]
+        place = _places(codes, context)
+        use = np.flatnonzero(place >= 0)
+        score = _share(n[use], total[use]) - before[use] - rest[place[use]]
+        return _weights(run_ids(context[use], suffix[use]), n[use], np.zeros(len(use), np.int64), score, often, buckets)
+
+    lists = own.groupBy("bucket").cogroup(kept.groupBy("bucket"))
+    return lists.applyInArrow(weighed, "bucket int, code binary, n binary, score binary")
+
+
+def _weights(codes: np.ndarray, c: np.ndarray, n: np.ndarray, score: np.ndarray, often: float, buckets: int) -> pa.Table:
+    """Weights as lists by bucket; those with `c` of `often` or more have the bucket -1."""
+    bucket = np.where(c >= often, -1, L.bucket_of(codes, buckets).astype(np.int64))
+    order = np.argsort(bucket, kind="stable")
+    return pa.table(L.listed(bucket[order], codes[order], n[order], score[order]), names=["bucket", "code", "n", "score"])
 
 
 def _signed(code: np.uint64) -> int:
     return int(np.array([code], np.uint64).view(np.int64)[0])
 
 
+def _weight_lists(rows: DataFrame, often: float, buckets: int) -> DataFrame:
+    """Rows (code, c, n, score) as lists of weights."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(held):
+            codes, *columns = [np.concatenate(x) for x in zip(*held)]
+            return _weights(codes.view(np.uint64), *columns, often, buckets).to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("code", "c", "n", "score")])
+            size += batch.num_rows
+            if size >= HELD:
+                yield from lists(held)
+                held, size = [], 0
+        if size:
+            yield from lists(held)
+
+    return rows.select("code", "c", "n", "score").mapInArrow(mapped, "bucket int, code binary, n binary, score binary")
+
+
+def _weights_of(lists: pa.Table) -> tuple[np.ndarray, ...]:
+    """(codes, known, base, score) of lists of weights, each code once and in order."""
+    codes, n, score = _ordered(lists, "code", "n", "score")
+    _, first = L.groups(codes)
+    n, score = L.sums(n, first), L.sums(score, first)
+    base = np.where(n > 0, np.log10(n + SMOOTH) - np.log10(SMOOTH), 0.0)
+    return codes[first], (n > 0).astype(np.float64), base, base + score
+
+
+@dataclass
+class Grown:
+    """A tree in tables: the training tokens, the distinct ones, the lists of weights by bucket, per length a
+    filter of the contexts that are states, and a filter of the runs in the lists that are no hot ones."""
+
+    total: int
+    distinct: int
+    buckets: int
+    weights: DataFrame
+    states: list[np.ndarray]
+    far: np.ndarray
+
+
 def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: int = FOLLOW,
-         divergence: float = DIVERGENCE) -> tuple[int, int, DataFrame]:
-    """(training tokens, distinct ones, weights): the tree as a table (code, c, known, base, score), one row
-    per run of words that changes a score.
+         divergence: float = DIVERGENCE) -> Grown:
+    """The tree of the training texts among `texts` (`_numbered`). Its weights are of the runs of words that
+    change a score.
 
     Grown by length: contexts seen `context` times or more, and what follows them `follow` times or
     more, are counted, held against the shorter context, and kept if they diverge or if a kept one ends
-    in them. All of it stays in tables that grow with the corpus. A token's log10 probability is the sum,
-    over the runs of words that end before it or in it, of what they add: a kept context adds the
-    weight it leaves to the shorter one; a run whose last word is such a context's own adds the difference between
-    its share and what it would have had so far.
+    in them. All of it stays in tables that grow with the corpus; a table goes when nothing reads it any more.
+    A token's log10 probability is the sum, over the runs of words that end before it or in it, of what they
+    add: a kept context adds the weight it leaves to the shorter one; a run whose last word is such a
+    context's own adds the difference between its share and what it would have had so far.
     """
-    longest = max(depth, 0)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.chunks(batches, "text"):
-            _, ids, _, _ = next(runs(batch.column("text"), 1))
-            codes, n = np.unique(ids, return_counts=True)
-            yield pa.RecordBatch.from_arrays([C.signed(codes), pa.array(n, pa.int64())], names=["code", "n"])
-
+    texts = texts.where("train")
+    buckets = 1 + (texts.agg(F.sum("n").alias("n")).first()["n"] or 0) // BUCKET
     start, end = F.lit(_signed(START)), F.lit(_signed(END))
-    tokens_ = C.staged(
-        texts.mapInArrow(single, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "tokens"
-    )
+    tokens_ = C.staged(_words(texts, buckets), "tokens")
     words = tokens_.where(F.col("code") != start)
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"] or 0, size["v"]
     scale = float(np.log10(total + SMOOTH * (distinct + 1)))
     least, enough = max(SEEN, follow), max(SEEN, context)
-    # The table of a length: its runs with log10 of the share (of all tokens, for single words).
-    shorter = words.where(F.col("n") >= least).select("code", (F.log10(F.col("n") + SMOOTH) - scale).alias("log"))
-    contexts = tokens_.where((F.col("code") != end) & (F.col("n") >= enough)).select(
-        F.col("code").alias("context"), F.lit(None).cast("bigint").alias("up"), F.col("n").alias("sum")
-    )
-    levels, states = [], []
-    for length in range(1, longest + 1):
+    # The lists of a length: its runs with log10 of the share (of all tokens, for single words).
+    shorter = _lists(words.where(F.col("n") >= least).select("code", (F.log10(F.col("n") + SMOOTH) - scale).alias("log")), buckets)
+    contexts = _lists(tokens_.where((F.col("code") != end) & (F.col("n") >= enough)).select(
+        "code", F.lit(0).cast("bigint").alias("up"), F.col("n").alias("sum")
+    ), buckets)
+    levels, states, candidates = [], [], []
+    for length in range(1, max(depth, 0) + 1):
         # A run is not seen more often than what it ends in, so only runs that end in one of `shorter` move.
-        counted = _followers(texts, length, _filter(contexts, "context"), _filter(shorter))
-        found = _coded(counted.where(F.col("n") >= least))
-        # Contexts that passed the filter by chance go here.
-        own = C.staged(
-            found.join(contexts.select("context", "sum"), "context")
-            .join(shorter.select(F.col("code").alias("suffix"), F.col("log").alias("before")), "suffix")
-            .select("code", "context", "suffix", "n", "before",
-                    F.log10(F.greatest((F.col("n") - DISCOUNT) / F.greatest("sum", F.lit(1)), F.lit(1e-300))).alias("log")),
-            "own",
-        )
-        ten = float(np.log(10))
-        left = F.log(F.greatest(1 - F.col("own"), F.lit(1e-9)) / F.greatest(1 - F.col("there"), F.lit(1e-9)))
-        saved = F.col("gain") * ten + F.greatest(F.col("sum") * (1 - F.col("own")), F.lit(0.0)) * left
-        states.append(C.staged(
-            own.groupBy("context").agg(
-                F.sum(F.pow(F.lit(10.0), "log")).alias("own"), F.sum(F.pow(F.lit(10.0), "before")).alias("there"),
-                F.sum(F.col("n") * (F.col("log") - F.col("before"))).alias("gain"),
-            ).join(contexts, "context").select(
-                "context", "up", "sum", (left / ten).alias("rest"),
-                (saved >= divergence * float(np.log(max(total, 2)))).alias("kept"),
-            ), "states",
-        ))
+        contexts = C.staged(contexts, "contexts")
+        candidates.append(_list_filter(contexts))
+        filters = texts.sparkSession.sparkContext.broadcast((candidates, _list_filter(shorter)))
+        # Where most runs move, one part of them after the other.
+        full = np.bitwise_count(candidates[-1]).sum() > 64 * FULL * len(candidates[-1])
+        parts = COUNTED_IN if total > BUCKET and (length == 1 or full) else 1
+        own = None
+        for part in range(parts):
+            found = C.staged(_followed(texts, filters, least, buckets, part, parts), "found")
+            joined = C.staged(_own(found, contexts, shorter, buckets), "own")
+            discard(found)
+            own = joined if own is None else own.unionByName(joined)
+        filters.destroy()
+        states.append(C.staged(_states(own, contexts, divergence * float(np.log(max(total, 2)))), "states"))
         levels.append(own)
-        shorter = own
-        contexts = own.where(F.col("n") >= enough).select(
-            F.col("code").alias("context"), F.col("suffix").alias("up"), F.col("n").alias("sum")
-        )
-    zero = F.lit(0.0)
-    weights = words.select(
-        "code", F.col("n").alias("c"), F.lit(1).alias("known"),
-        (F.log10(F.col("n") + SMOOTH) - float(np.log10(SMOOTH))).alias("base"),
-        (F.log10(F.col("n") + SMOOTH) - float(np.log10(SMOOTH))).alias("score"),
-    )
-    ends = None
+        discard(contexts)
+        contexts, shorter = _of_own(own, enough, buckets)
+    none = F.lit(0).cast("bigint").alias("n")
+    lists, kept, filters = [], None, []
     for own, state in zip(reversed(levels), reversed(states)):
-        kept = state.where("kept")
-        if ends is not None:
-            kept = kept.unionByName(state.where("not kept").join(ends, F.col("context") == F.col("_end"), "left_semi"))
-        kept = C.staged(kept, "kept")
-        ends = kept.select(F.col("up").alias("_end")).where("_end is not null").distinct()
-        weights = weights.unionByName(kept.select(
-            F.col("context").alias("code"), F.col("sum").alias("c"), F.lit(0).alias("known"), zero.alias("base"),
-            F.col("rest").alias("score"),
-        )).unionByName(own.join(kept.select("context", "rest"), "context").select(
-            "code", F.col("n").alias("c"), F.lit(0).alias("known"), zero.alias("base"),
-            (F.col("log") - F.col("before") - F.col("rest")).alias("score"),
-        ))
-    weights = weights.groupBy("code").agg(
-        F.max("c").alias("c"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score")
-    )
-    return total, distinct, C.staged(weights, "weights")
-
-
-def _bucket(codes: Column, buckets: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(codes, 40), F.lit(buckets)).cast("int")
+        now = state.where("kept")
+        if kept is not None:
+            ends = kept.select(F.col("up").alias("_end")).distinct()
+            now = now.unionByName(state.where("not kept").join(ends, F.col("context") == F.col("_end"), "left_semi"))
+        now = C.staged(now, "kept")
+        discard(state, *[kept] * (kept is not None))
+        kept = now
+        filters.insert(0, _filter(kept, "context"))
+        rows = kept.select(F.col("context").alias("code"), F.col("sum").alias("c"), none, F.col("rest").alias("score"))
+        lists.append(C.staged(_weight_lists(rows, HOT * total, buckets), "weights"))
+        known = _lists(kept.select(F.col("context").alias("code"), "rest"), buckets)
+        lists.append(C.staged(_own_weights(own, known, HOT * total, buckets), "weights"))
+        discard(own)
+    runs_ = lists[0] if lists else None
+    for x in lists[1:]:
+        runs_ = runs_.unionByName(x)
+    far = _filter_of(np.empty(0, np.uint64))
+    if lists:
+        far = _list_filter(runs_.where("bucket >= 0"))
+    rows = words.select("code", F.col("n").alias("c"), "n", F.lit(0.0).alias("score"))
+    weights = C.staged(_weight_lists(rows, HOT * total, buckets), "weights")
+    discard(tokens_, *[kept] * (kept is not None))
+    return Grown(total, distinct, buckets, weights.unionByName(runs_) if lists else weights, filters, far)
+
+
+def _weighed(depth: int, tree: Here | Broadcast, buckets: int):
+    """A chunk of texts at a time: by bucket, the texts and codes of its runs whose weights are to be joined; and
+    per text its key, its token count and the sums of the weights at hand. `tree` has the hot weights, the
+    filters of states and the one of the other weights of runs."""
+    names = ["bucket", "chunk", "docs", "code", "ids", "n", "known", "base", "score"]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot, *weights), states, far = tree.value
+        likely = _filter_of(hot)
 
-def _weighed(depth: int, hot: tuple[np.ndarray, ...], cold: np.ndarray, buckets: int):
-    """A chunk of texts at a time: per row its token count and the sums of the weights at hand, without a code;
-    and, by bucket, the rows and codes of its runs whose weights are to be joined."""
-    names = ["bucket", "_row", "code", "n", "n_known", "base", "score"]
+        def summed(places, rows, size):
+            return [np.bincount(rows, minlength=size, weights=w[places]) for w in weights]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, known, base, score = hot
-        for batch in C.chunks(batches, "text"):
-            size, ids = batch.num_rows, batch.column("_row").to_numpy()
-            counts, sums = [np.zeros(size, np.int64) for _ in range(2)], [np.zeros(size) for _ in range(2)]
-            far_rows, far_codes = [], []
-            for length, (rows, found, _, _) in enumerate(runs(batch.column("text"), depth + 1), 1):
-                if length == 1:
-                    counts[0] = np.bincount(rows, minlength=size) - 1  # without the start
-                place = _places(codes, found)
-                hit = place >= 0
-                at, where = place[hit], rows[hit]
-                if len(at):
-                    counts[1] += np.bincount(where, weights=known[at], minlength=size).astype(np.int64)
-                    sums[0] += np.bincount(where, weights=base[at], minlength=size)
-                    sums[1] += np.bincount(where, weights=score[at], minlength=size)
-                rest = ~hit & _passed(cold, found)
-                far_rows.append(rows[rest])
-                far_codes.append(found[rest])
-            rows, found = np.concatenate(far_rows), np.concatenate(far_codes)
-            bucket = (found >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
-            cuts = np.concatenate([np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets))), [len(bucket)]])
-            offsets, n = pa.array(cuts, pa.int32()), len(cuts) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids[rows[order]])),
-                 pa.ListArray.from_arrays(offsets, C.signed(found[order])),
-                 *[pa.nulls(n, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=names,
-            )
-            whole = pa.array([0, size], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(ids[0]) % buckets], pa.int32()), pa.ListArray.from_arrays(whole, pa.array(ids)),
-                 pa.nulls(1, pa.list_(pa.int64())),
-                 *[pa.ListArray.from_arrays(whole, pa.array(x)) for x in (*counts, *sums)]], names=names,
-            )
+        for batch in batches:
+            for chunk, keys, sizes, words, codes in zip(*[batch.column(c) for c in ("chunk", "rows", "sizes", "words", "codes")]):
+                chunk, sizes, words = chunk.as_py(), L.opened(sizes.as_py(), np.int64), L.opened(words.as_py(), np.uint64)
+                codes, size = L.opened(codes.as_py(), np.uint32), len(sizes)
+                runs = Runs(sizes, words, codes)
+                place = _places(hot, words)[codes]
+                hit = np.flatnonzero(place >= 0)
+                sums = summed(place[hit], runs.rows[hit], size)
+                # Whether a run may be a state. A state's end is one too, and what has a weight is a state or one
+                # and a word after it.
+                alive = (_passed(states[0], words) if depth else np.zeros(len(words), bool))[codes]
+                rest = np.flatnonzero((place < 0) & (alive | (runs.ids != START)))
+                far_docs, far_codes = [runs.rows[rest]], [runs.ids[rest]]
+                for length in range(2, depth + 2):
+                    places = runs.whole(length, np.flatnonzero(alive[:-1] | alive[1:]))
+                    ids, ends, alive = runs.at(length, places), alive[places + 1], np.zeros(len(alive), bool)
+                    if length <= depth:
+                        ends = np.flatnonzero(ends)
+                        alive[places[ends[_passed(states[length - 1], ids[ends])]]] = True
+                    near = np.flatnonzero(_passed(likely, ids))
+                    place = _places(hot, ids[near])
+                    hit = near[place >= 0]
+                    sums = [a + b for a, b in zip(sums, summed(place[place >= 0], runs.rows[places[hit]], size))]
+                    rest = _passed(far, ids)
+                    rest[hit] = False
+                    far_docs.append(runs.rows[places[rest]])
+                    far_codes.append(ids[rest])
+                docs, found = np.concatenate(far_docs).astype(np.uint32), np.concatenate(far_codes)
+                order = np.argsort(found)
+                docs, found = docs[order], found[order]
+                bucket, *lists = L.listed(L.bucket_of(found, buckets), docs, found)
+                yield pa.RecordBatch.from_arrays(
+                    [bucket, pa.array(np.full(len(bucket), chunk)), *lists, *[pa.nulls(len(bucket), pa.binary())] * 5], names=names)
+                # As many to each bucket.
+                given = [L.opened(keys.as_py(), np.int64), sizes - 1, *sums]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(chunk + (chunk >> 32)) % buckets], pa.int32()), pa.array([chunk]), *[pa.nulls(1, pa.binary())] * 2,
+                     *[pa.array([x.tobytes()], pa.binary()) for x in given]], names=names)
 
     return work
 
 
 def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums per row of a bucket's runs with their weights; and the rows that come with sums."""
-    def flat(table, column):
-        parts = [x.flatten().to_numpy(zero_copy_only=False) for x in table.column(column).chunks]
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
+    """Sums per chunk and text of a bucket's runs with their weights; and the rows that come with sums."""
     runs_, given = left.filter(left.column("code").is_valid()), left.filter(left.column("code").is_null())
-    names = ["n", "n_known", "base", "score"]
-    out = [[flat(given, c) for c in ("_row", *names)]]
-    weights = [right.column(c).to_numpy() for c in ("code", "known", "base", "score")]
-    order = np.argsort(weights[0])
-    weights = [w[order] for w in weights]
-    place = _places(weights[0], flat(runs_, "code"))
-    hit = place >= 0
-    rows, at = np.unique(flat(runs_, "_row")[hit], return_inverse=True)
-    sums = [np.bincount(at, weights=w[place[hit]], minlength=len(rows)) for w in weights[1:]]
-    out.append([rows, np.zeros(len(rows)), *sums])
-    kinds = [np.int64, np.int64, np.int64, np.float64, np.float64]
-    return pa.table({
-        c: np.concatenate([x.astype(kind) for x in columns])
-        for c, kind, columns in zip(("_row", *names), kinds, zip(*out))
-    })
+    codes, *weights = _weights_of(right)
+    place = _places(codes, L.flat(runs_.column("code"), np.uint64))
+    hit = np.flatnonzero(place >= 0)
+    docs, sizes = L.flat(runs_.column("docs"), np.uint32).astype(np.int64), L.sizes(runs_.column("docs"), np.uint32)
+    # A place for each text of each list.
+    wide = np.maximum.reduceat(docs, np.cumsum(sizes) - sizes) + 1 if len(docs) else sizes
+    first = np.cumsum(wide) - wide
+    at = (np.repeat(first, sizes) + docs)[hit]
+    there = np.flatnonzero(np.bincount(at, minlength=1))
+    sums = [np.bincount(at, weights=w[place[hit]], minlength=1)[there] for w in weights]
+    which = np.searchsorted(first, there, side="right") - 1
+    which, *lists = L.listed(which, (there - first[which]).astype(np.uint32), *sums)
+    none = pa.nulls(len(which), pa.binary())
+    names = ["chunk", "docs", "ids", "n", "known", "base", "score"]
+    out = pa.table([runs_.column("chunk").combine_chunks().take(which), lists[0], none, none, *lists[1:]], names=names)
+    return pa.concat_tables([out, given.select(names).cast(out.schema)])
+
+
+def _together(lists: pa.Table) -> pa.Table:
+    """Per text of a chunk its key, its token count and its sums."""
+    ids, n = L.flat(lists.column("ids"), np.int64), L.flat(lists.column("n"), np.int64)
+    given, parts = lists.filter(lists.column("ids").is_valid()), lists.filter(lists.column("ids").is_null())
+    docs = L.flat(parts.column("docs"), np.uint32)
+    sums = [L.flat(given.column(c), np.float64) + np.bincount(
+        docs, weights=L.flat(parts.column(c), np.float64), minlength=len(ids)) for c in ("known", "base", "score")]
+    return pa.table({"_row": ids, "n": n, "n_known": np.rint(sums[0]).astype(np.int64), "base": sums[1], "score": sums[2]})
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH,
@@ -564,26 +895,34 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     With nothing to learn from, every token has probability 1 / (V + 1) with V = 0.
     """
     rows = C.identified(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), "_key", "_row", "text")
-    texts = rows.select("_row", "_key", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = texts.where(~held_out(F.col("_key"))).select("text")
-    total, distinct, weights = grow(training, depth, context, follow, divergence)
-    often = F.col("c") >= HOT * total
-    near = weights.where(often).toArrow()
-    codes = near["code"].to_numpy().view(np.uint64)
-    order = np.argsort(codes)
-    hot = (codes[order], *[near[c].to_numpy()[order].astype(np.float64) for c in ("known", "base", "score")])
-    far = weights.where(~often)
-    # Runs travel as lists, by bucket, and meet the weights in numpy; nothing of them is written as a table.
-    buckets = 1 + total // BUCKET
-    parts = texts.select("_row", "text").mapInArrow(
-        _weighed(depth, hot, _filter(far), buckets),
-        "bucket int, _row array<bigint>, code array<bigint>, n array<bigint>, n_known array<bigint>, "
-        "base array<double>, score array<double>",
-    )
-    far = far.select(_bucket(F.col("code"), buckets).alias("bucket"), "code", "known", "base", "score")
-    sums = parts.groupBy("bucket").cogroup(far.groupBy("bucket")).applyInArrow(
-        _joined, "_row bigint, n bigint, n_known bigint, base double, score double")
-    done = sums.groupBy("_row").agg(*[F.sum(c).alias(c) for c in sums.columns[1:]]).join(rows.select("_row", "_key"), "_row")
+    with C.dropping_shuffles(docs.sparkSession):
+        texts = C.staged(_numbered(rows.select(
+            "_row", (~held_out(F.col("_key"))).alias("train"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        )), "numbers")
+        tree = grow(texts, depth, context, follow, divergence)
+        total, distinct, buckets = tree.total, tree.distinct, tree.buckets
+        hot = _weights_of(tree.weights.where("bucket < 0").toArrow())
+        sent = docs.sparkSession.sparkContext.broadcast((hot, tree.states, tree.far))
+        work = _weighed(depth, sent, buckets)
+        # One part of the texts after the other, so that the runs of only one are on disk.
+        parts = SCORED_IN if total > BUCKET else 1
+        done = []
+        for part in range(parts):
+            lists = texts.where(F.pmod(F.shiftright("chunk", 1) + F.shiftright("chunk", 32), F.lit(parts)) == part).select(
+                "chunk", "rows", "sizes", "words", "codes"
+            ).mapInArrow(
+                work, "bucket int, chunk bigint, docs binary, code binary, ids binary, n binary, known binary, base binary, score binary"
+            )
+            sums = lists.groupBy("bucket").cogroup(tree.weights.where("bucket >= 0").groupBy("bucket")).applyInArrow(
+                _joined, "chunk bigint, docs binary, ids binary, n binary, known binary, base binary, score binary")
+            done.append(C.staged(sums.groupBy("chunk").applyInArrow(
+                _together, "_row bigint, n bigint, n_known bigint, base double, score double"), "sums"))
+        sent.destroy()
+        discard(texts, tree.weights)
+    sums = done[0]
+    for x in done[1:]:
+        sums = sums.unionByName(x)
+    done = sums.join(rows.select("_row", "_key"), "_row")
     none = F.col("n") * float(np.log10(SMOOTH) - np.log10(total + SMOOTH * (distinct + 1)))
     return done.select(
         F.col("_key").alias(key), held_out(F.col("_key")).alias("held_out"), F.col("n").alias("n_tokens"),

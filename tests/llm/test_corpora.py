@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -460,3 +461,21 @@ def test_pipeline_keeps_columns(spark):
                 place = b
         text = "".join(out) + texts[i][place:]
         assert done[i] == known.encode(text, add_special_tokens=False).ids
+
+
+def test_tree_in_parts_leaves_only_its_result(spark, monkeypatch):
+    """Runs counted and texts scored in parts, by many buckets, give the same scores; tables that are not read
+    any more are gone."""
+    rows = table(spark, training(spark))
+    want = {r.doc_id: r for r in suffix_tree.scores(rows, context=12, follow=3).collect()}
+    for name, value in (("BUCKET", 100), ("FULL", 0.0), ("HELD", 50)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    made, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: (made.append((label, write(df, label))), made[-1][1])[1])
+    done = {r.doc_id: r for r in suffix_tree.scores(rows, context=12, follow=3).collect()}
+    assert done.keys() == want.keys()
+    for i, r in done.items():
+        assert r[:5] == want[i][:5]
+        assert r[5:] == pytest.approx(want[i][5:], rel=1e-9)
+    left = [label for label, df in made if any(Path(f.removeprefix("file:")).exists() for f in df.inputFiles())]
+    assert len(left) > 1 and set(left) == {"sums"}
