@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -326,7 +327,8 @@ def spelled(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids, code = np.unique(np.concatenate([np.array([START, END]), words.table()]), return_inverse=True)
     codes = np.full(int(sizes.sum()), code[0])
     codes[first + sizes - 1] = code[1]
-    codes[first[words.rows] + words.places + 1] = code[2:][words.codes]
+    # Each text has a start and an end before the next one's words.
+    codes[np.arange(len(words.codes)) + 2 * words.rows + 1] = code[2:][words.codes]
     counts = np.bincount(codes, minlength=len(ids))
     # Those of one number stay in the order of their ids. The empty word comes in no text.
     order = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)]
@@ -342,7 +344,11 @@ class Runs:
     def __init__(self, sizes: np.ndarray, words: np.ndarray, codes: np.ndarray):
         self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.ids = words[codes]
-        self.pairs = C.mix((words * np.uint64(C._BASE))[codes[:-1]] + C.mix(words)[codes[1:]])
+        self.words, self.codes = words, codes
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return C.mix((self.words * np.uint64(C._BASE))[self.codes[:-1]] + C.mix(self.words)[self.codes[1:]])
 
     def at(self, length: int, places: np.ndarray) -> np.ndarray:
         if length < 3:
@@ -354,15 +360,20 @@ class Runs:
         places = places[:np.searchsorted(places, len(self.rows) - length, side="right")]
         return places[self.rows[places] == self.rows[places + length - 1]]
 
-    def passing(self, filters: list[np.ndarray | None], known: np.ndarray) -> np.ndarray:
+    def both(self, length: int, places: np.ndarray) -> np.ndarray:
+        """The places whose runs of `length` tokens are made of two that start at `places`."""
+        there = np.zeros(len(self.ids) + 1, bool)
+        there[places] = True
+        return self.whole(length, places[there[places + 1]])
+
+    def passing(self, filters: list[np.ndarray | None]) -> np.ndarray:
         """The places of the runs as long as there are filters that pass the last one; as do all parts
-        of them the one of their length. `known` tells which tokens pass the first."""
-        places = np.flatnonzero(known)
+        of them the one of their length, if there is one."""
+        places = np.flatnonzero(_passed(filters[0], self.words)[self.codes])
         for length, table in enumerate(filters[1:], 2):
-            there = np.zeros(len(known) + 1, bool)
-            there[places] = True
-            places = self.whole(length, places[there[places + 1]])
-            places = places[_passed(table, self.at(length, places))]
+            places = self.both(length, places)
+            if table is not None:
+                places = places[_passed(table, self.at(length, places))]
         return places
 
 
@@ -370,10 +381,10 @@ def run_ids(prefixes: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     return C.mix(prefixes * np.uint64(C._BASE) + C.mix(suffixes))
 
 
-def _filter(ids: DataFrame, column: str = "code", n: int | None = None) -> np.ndarray:
-    """Bits by the first bits of the ids, or of lists of them: an id whose bit is not set is not among them. `n` is
-    their number, if it is known."""
-    bits = _filter_bits(ids.count() if n is None else n)
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Bits by the first bits of ids: an id whose bit is not set is not among them. They are numbers in rows, or in
+    lists, or those of the runs whose contexts and suffixes are in lists."""
+    bits = _filter_bits(_numbers_in(ids) if ids.dtypes[0][1] == "binary" else ids.count())
     each = bits - PIECES  # a piece of the bits at a time
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,8 +394,11 @@ def _filter(ids: DataFrame, column: str = "code", n: int | None = None) -> np.nd
 
         held, size = [], 0
         for batch in batches:
-            x = batch.column(0)
-            x = L.flat(pa.chunked_array([x]), np.uint64) if pa.types.is_binary(x.type) else x.to_numpy().view(np.uint64)
+            if pa.types.is_binary(batch.column(0).type):
+                x = [L.flat(pa.chunked_array([c]), np.uint64) for c in batch.columns]
+            else:
+                x = [batch.column(0).to_numpy().view(np.uint64)]
+            x = x[0] if len(x) == 1 else run_ids(*x)
             held.append((x >> np.uint64(64 - bits)).astype(np.uint32))
             size += len(x)
             if size >= HELD:
@@ -399,7 +413,7 @@ def _filter(ids: DataFrame, column: str = "code", n: int | None = None) -> np.nd
         return pa.table({
             "piece": lists.column("piece")[:1], "bits": pa.array([np.packbits(there, bitorder="little").tobytes()], pa.binary())})
 
-    lists = ids.select(column).mapInArrow(mapped, "piece int, places binary")
+    lists = ids.mapInArrow(mapped, "piece int, places binary")
     table = np.zeros(1 << (bits - 6), np.uint64)
     for row in lists.groupBy("piece").applyInArrow(marked, "piece int, bits binary").toArrow().to_pylist():
         own = np.frombuffer(row["bits"], np.uint8)
@@ -407,8 +421,8 @@ def _filter(ids: DataFrame, column: str = "code", n: int | None = None) -> np.nd
     return table
 
 
-def _list_filter(lists: DataFrame) -> np.ndarray:
-    return _filter(lists, n=(lists.agg(F.sum(F.length("code")).alias("n")).first()["n"] or 0) // 8)
+def _numbers_in(lists: DataFrame) -> int:
+    return (lists.agg(F.sum(F.length(lists.columns[0])).alias("n")).first()["n"] or 0) // 8
 
 
 def _filter_bits(n: int) -> int:
@@ -441,7 +455,7 @@ def _followers(texts: DataFrame, length: int, candidates: np.ndarray, ends: np.n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_numbers(batch, c).view(np.int64)) for c in ("context", "suffix", "n")], names=["context", "suffix", "n"])
 
-    return lists.drop("bucket").mapInArrow(mapped, "context bigint, suffix bigint, n bigint")
+    return lists.select("context", "suffix", "n").mapInArrow(mapped, "context bigint, suffix bigint, n bigint")
 
 
 @dataclass
@@ -503,41 +517,50 @@ def _words(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def _followed(texts: DataFrame, filters: Here | Broadcast, least: int, buckets: int = 1, part: int = 0,
-              parts: int = 1) -> DataFrame:
-    """Lists (context, suffix, n), by context, of the runs of some words and a token after them, seen `least` times
-    or more; those of one of `parts` parts by code. `filters` are those that the words must pass, as do
-    their parts, one for each length; and one for the run without its first word."""
+              parts: int = 1, more: bool = False) -> DataFrame:
+    """Lists (length, context, suffix, n), by context, of the runs of some words, as many as `length`, and a token
+    after them, seen `least` times or more; those of one of `parts` parts by first word. `filters` are those
+    that the words must pass, as do their parts, one for each length; and one, or none, for the run without
+    its first word. With `more`, runs with one word more too, if both parts of their words pass."""
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates, ends = filters.value
-        length = len(candidates)
-        for batch in batches:
+        for batch in C.released(batches):
             for sizes, words, codes in zip(*[batch.column(c) for c in ("sizes", "words", "codes")]):
                 words, codes = L.opened(words.as_py(), np.uint64), L.opened(codes.as_py(), np.uint32)
                 runs = Runs(L.opened(sizes.as_py(), np.int64), words, codes)
-                places = runs.whole(length + 1, runs.passing(candidates, _passed(candidates[0], words)[codes]))
-                suffixes = runs.at(length, places + 1)
-                use = np.flatnonzero(_passed(ends, suffixes))
-                contexts, suffixes = runs.at(length, places[use]), suffixes[use]
-                ids = run_ids(contexts, suffixes)
-                if parts > 1:
-                    use = np.flatnonzero(ids % np.uint64(parts) == part)
-                    ids, contexts, suffixes = ids[use], contexts[use], suffixes[use]
-                order, first = L.groups(ids)
-                place = order[first]
-                n = np.diff(np.append(first, len(order)))
-                lists = L.listed(L.bucket_of(ids[place], buckets), contexts[place], suffixes[place], n)
-                yield pa.RecordBatch.from_arrays(lists, names=["bucket", "context", "suffix", "n"])
+                mine = words % np.uint64(parts) == part
+                places = runs.passing(candidates)
+                for length in range(len(candidates), len(candidates) + 1 + more):
+                    if length > len(candidates):
+                        places = runs.both(length, places)
+                    at = places[mine[codes[places]]] if parts > 1 else places
+                    at = runs.whole(length + 1, at)
+                    suffixes = runs.at(length, at + 1)
+                    if length == len(candidates) and ends is not None:
+                        use = np.flatnonzero(_passed(ends, suffixes))
+                        at, suffixes = at[use], suffixes[use]
+                    contexts = runs.at(length, at)
+                    ids = run_ids(contexts, suffixes)
+                    order, first = L.groups(ids)
+                    place = order[first]
+                    n = np.diff(np.append(first, len(order))).astype(np.uint32)
+                    bucket, *lists = L.listed(L.bucket_of(ids[place], buckets), contexts[place], suffixes[place], n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(bucket), length, np.int32)), bucket, *lists],
+                        names=["length", "bucket", "context", "suffix", "n"])
 
     def summed(lists: pa.Table) -> pa.Table:
         contexts, suffixes = [L.flat(lists.column(c), np.uint64) for c in ("context", "suffix")]
         codes = run_ids(contexts, suffixes)
         order, first = L.groups(codes)
-        n = L.sums(L.flat(lists.column("n"), np.int64)[order], first)
+        n = L.sums(L.flat(lists.column("n"), np.uint32)[order].astype(np.int64), first)
         place = order[first[n >= least]]
-        return _relisted(contexts[place], buckets, ("context", "suffix", "n"), contexts[place], suffixes[place], n[n >= least])
+        out = _relisted(contexts[place], buckets, ("context", "suffix", "n"), contexts[place], suffixes[place], n[n >= least])
+        return out.add_column(0, "length", pa.array(np.full(len(out), lists.column("length")[0].as_py(), np.int32)))
 
-    lists = texts.select("sizes", "words", "codes").mapInArrow(mapped, "bucket int, context binary, suffix binary, n binary")
-    return lists.groupBy("bucket").applyInArrow(summed, "bucket int, context binary, suffix binary, n binary")
+    schema = "length int, bucket int, context binary, suffix binary, n binary"
+    lists = texts.select("sizes", "words", "codes").mapInArrow(mapped, schema)
+    return lists.groupBy("length", "bucket").applyInArrow(summed, schema)
 
 
 def _relisted(codes: np.ndarray, buckets: int, names: tuple[str, ...], *columns: np.ndarray) -> pa.Table:
@@ -709,14 +732,14 @@ def _weights_of(lists: pa.Table) -> tuple[np.ndarray, ...]:
 @dataclass
 class Grown:
     """A tree in tables: the training tokens, the distinct ones, the lists of weights by bucket, per length a
-    filter of the contexts that are states, and a filter of the runs in the lists that are no hot ones."""
+    filter of the contexts that are states, and a filter of the runs in the lists."""
 
     total: int
     distinct: int
     buckets: int
     weights: DataFrame
     states: list[np.ndarray]
-    far: np.ndarray
+    weighted: np.ndarray
 
 
 def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: int = FOLLOW,
@@ -745,26 +768,39 @@ def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: i
     contexts = _lists(tokens_.where((F.col("code") != end) & (F.col("n") >= enough)).select(
         "code", F.lit(0).cast("bigint").alias("up"), F.col("n").alias("sum")
     ), buckets)
-    levels, states, candidates = [], [], []
+    ends = words.where(F.col("n") >= least).select("code")
+    levels, states, candidates, found = [], [], [], []
     for length in range(1, max(depth, 0) + 1):
-        # A run is not seen more often than what it ends in, so only runs that end in one of `shorter` move.
         contexts = C.staged(contexts, "contexts")
-        candidates.append(_list_filter(contexts))
-        filters = texts.sparkSession.sparkContext.broadcast((candidates, _list_filter(shorter)))
-        # Where most runs move, one part of them after the other.
-        full = np.bitwise_count(candidates[-1]).sum() > 64 * FULL * len(candidates[-1])
-        parts = COUNTED_IN if total > BUCKET and (length == 1 or full) else 1
+        counted, found = found, []
+        if counted:
+            candidates.append(None)
+        else:
+            # A run is not seen more often than what it ends in, so only runs that end in one of `shorter` move.
+            # From the third length on nearly all others do, too.
+            candidates.append(_filter(contexts.select("code")))
+            filters = texts.sparkSession.sparkContext.broadcast((candidates, _filter(ends) if length < 3 else None))
+            # Where most runs move, one part of them after the other; few do from the third length on, and two
+            # lengths are counted at a time.
+            full = np.bitwise_count(candidates[-1]).sum() > 64 * FULL * len(candidates[-1])
+            parts = COUNTED_IN if total > BUCKET and (length == 1 or full) else 1
+            more = 3 <= length < depth
         own = None
         for part in range(parts):
-            found = C.staged(_followed(texts, filters, least, buckets, part, parts), "found")
-            joined = C.staged(_own(found, contexts, shorter, buckets), "own")
-            discard(found)
+            table = counted[part] if counted else C.staged(_followed(texts, filters, least, buckets, part, parts, more), "found")
+            joined = C.staged(_own(table.where(F.col("length") == length), contexts, shorter, buckets), "own")
+            if more and not counted:
+                found.append(table)
+            else:
+                discard(table)
             own = joined if own is None else own.unionByName(joined)
-        filters.destroy()
+        if not counted:
+            filters.destroy()
         states.append(C.staged(_states(own, contexts, divergence * float(np.log(max(total, 2)))), "states"))
         levels.append(own)
         discard(contexts)
         contexts, shorter = _of_own(own, enough, buckets)
+        ends = own.select("context", "suffix")
     none = F.lit(0).cast("bigint").alias("n")
     lists, kept, filters = [], None, []
     for own, state in zip(reversed(levels), reversed(states)):
@@ -775,7 +811,7 @@ def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: i
         now = C.staged(now, "kept")
         discard(state, *[kept] * (kept is not None))
         kept = now
-        filters.insert(0, _filter(kept, "context"))
+        filters.insert(0, _filter(kept.select("context")))
         rows = kept.select(F.col("context").alias("code"), F.col("sum").alias("c"), none, F.col("rest").alias("score"))
         lists.append(C.staged(_weight_lists(rows, HOT * total, buckets), "weights"))
         known = _lists(kept.select(F.col("context").alias("code"), "rest"), buckets)
@@ -784,29 +820,29 @@ def grow(texts: DataFrame, depth: int = DEPTH, context: int = CONTEXT, follow: i
     runs_ = lists[0] if lists else None
     for x in lists[1:]:
         runs_ = runs_.unionByName(x)
-    far = _filter_of(np.empty(0, np.uint64))
+    weighted = _filter_of(np.empty(0, np.uint64))
     if lists:
-        far = _list_filter(runs_.where("bucket >= 0"))
+        weighted = _filter(runs_.select("code"))
     rows = words.select("code", F.col("n").alias("c"), "n", F.lit(0.0).alias("score"))
     weights = C.staged(_weight_lists(rows, HOT * total, buckets), "weights")
     discard(tokens_, *[kept] * (kept is not None))
-    return Grown(total, distinct, buckets, weights.unionByName(runs_) if lists else weights, filters, far)
+    return Grown(total, distinct, buckets, weights.unionByName(runs_) if lists else weights, filters, weighted)
 
 
 def _weighed(depth: int, tree: Here | Broadcast, buckets: int):
     """A chunk of texts at a time: by bucket, the texts and codes of its runs whose weights are to be joined; and
     per text its key, its token count and the sums of the weights at hand. `tree` has the hot weights, the
-    filters of states and the one of the other weights of runs."""
+    filters of states and the one of the weights of runs."""
     names = ["bucket", "chunk", "docs", "code", "ids", "n", "known", "base", "score"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, *weights), states, far = tree.value
+        (hot, *weights), states, weighted = tree.value
         likely = _filter_of(hot)
 
         def summed(places, rows, size):
             return [np.bincount(rows, minlength=size, weights=w[places]) for w in weights]
 
-        for batch in batches:
+        for batch in C.released(batches):
             for chunk, keys, sizes, words, codes in zip(*[batch.column(c) for c in ("chunk", "rows", "sizes", "words", "codes")]):
                 chunk, sizes, words = chunk.as_py(), L.opened(sizes.as_py(), np.int64), L.opened(words.as_py(), np.uint64)
                 codes, size = L.opened(codes.as_py(), np.uint32), len(sizes)
@@ -825,13 +861,15 @@ def _weighed(depth: int, tree: Here | Broadcast, buckets: int):
                     if length <= depth:
                         ends = np.flatnonzero(ends)
                         alive[places[ends[_passed(states[length - 1], ids[ends])]]] = True
+                    use = np.flatnonzero(_passed(weighted, ids))
+                    docs, ids = runs.rows[places[use]], ids[use]
                     near = np.flatnonzero(_passed(likely, ids))
                     place = _places(hot, ids[near])
                     hit = near[place >= 0]
-                    sums = [a + b for a, b in zip(sums, summed(place[place >= 0], runs.rows[places[hit]], size))]
-                    rest = _passed(far, ids)
+                    sums = [a + b for a, b in zip(sums, summed(place[place >= 0], docs[hit], size))]
+                    rest = np.ones(len(ids), bool)
                     rest[hit] = False
-                    far_docs.append(runs.rows[places[rest]])
+                    far_docs.append(docs[rest])
                     far_codes.append(ids[rest])
                 docs, found = np.concatenate(far_docs).astype(np.uint32), np.concatenate(far_codes)
                 order = np.argsort(found)
@@ -902,13 +940,13 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         tree = grow(texts, depth, context, follow, divergence)
         total, distinct, buckets = tree.total, tree.distinct, tree.buckets
         hot = _weights_of(tree.weights.where("bucket < 0").toArrow())
-        sent = docs.sparkSession.sparkContext.broadcast((hot, tree.states, tree.far))
+        sent = docs.sparkSession.sparkContext.broadcast((hot, tree.states, tree.weighted))
         work = _weighed(depth, sent, buckets)
         # One part of the texts after the other, so that the runs of only one are on disk.
         parts = SCORED_IN if total > BUCKET else 1
         done = []
         for part in range(parts):
-            lists = texts.where(F.pmod(F.shiftright("chunk", 1) + F.shiftright("chunk", 32), F.lit(parts)) == part).select(
+            lists = texts.where(F.pmod(F.shiftright("chunk", 32) + F.shiftright(F.col("chunk").bitwiseAND(0xFFFFFFFF), 1), F.lit(parts)) == part).select(
                 "chunk", "rows", "sizes", "words", "codes"
             ).mapInArrow(
                 work, "bucket int, chunk bigint, docs binary, code binary, ids binary, n binary, known binary, base binary, score binary"
